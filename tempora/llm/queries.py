@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
 from tempora.llm.substring_dedup import remove_repeated_passages
 
@@ -15,6 +20,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file: in TEMPORA_TOKENIZERS if that is set, else where the package has it."""
+    folder = os.environ.get("TEMPORA_TOKENIZERS")
+    if folder is None and (spec := importlib.util.find_spec("public_tokenizers")):
+        folder = str(Path(spec.origin).parent)
+    return str(Path(folder or "/opt/tokenizers") / name)
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, encoded and decoded by the automaton of a public vocabulary."""
+    out = bpe_round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
@@ -28,5 +47,5 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_remo
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_bpe_automaton)}
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL}
