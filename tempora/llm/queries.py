@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
+from tempora.llm.media import read_media, store_texts
+from tempora.llm.near_dedup import near_duplicate_classes
+from tempora.llm.packing import pack_documents
 from tempora.llm.substring_dedup import remove_repeated_passages
+from tempora.llm.toxicity import score_toxicity
+from tempora.llm.url_filter import filter_urls
+
+#: The URL rules of the registered query.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicate_classes(documents(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +33,29 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    out = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as baseline JPEG and read back."""
+    out = read_media(store_texts(documents(spark, sf_dir)))
+    feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), F.sha2("thumb_hash", 256))
+    return out.select("doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every piece of every document."""
+    return pack_documents(documents(spark, sf_dir))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file: in TEMPORA_TOKENIZERS if that is set, else where the package has it."""
     folder = os.environ.get("TEMPORA_TOKENIZERS")
@@ -47,5 +83,5 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_remo
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op6_media_columns, op7_url_filter, op9_bpe_automaton, op10_best_fit_packing)}
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL}
