@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
 from tempora.llm.media import read_media, store_texts
+from tempora.llm.metric_search import top_inner_products
 from tempora.llm.near_dedup import near_duplicate_classes
 from tempora.llm.packing import pack_documents
 from tempora.llm.substring_dedup import remove_repeated_passages
@@ -39,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of the largest inner product with every fiftieth vector."""
+    return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as baseline JPEG and read back."""
     out = read_media(store_texts(documents(spark, sf_dir)))
@@ -82,6 +88,14 @@ kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) FILTER (hit.pos I
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op6_media_columns, op7_url_filter, op9_bpe_automaton, op10_best_fit_packing)}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op9_bpe_automaton, op10_best_fit_packing)}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
