@@ -15,6 +15,7 @@ from tempora.llm.media import read_media, store_texts
 from tempora.llm.metric_search import top_inner_products
 from tempora.llm.near_dedup import near_duplicate_classes
 from tempora.llm.packing import pack_documents
+from tempora.llm.pii import find_personal_data, spans_text
 from tempora.llm.substring_dedup import remove_repeated_passages
 from tempora.llm.toxicity import score_toxicity
 from tempora.llm.url_filter import filter_urls
@@ -70,6 +71,12 @@ def vocabulary(name: str) -> str:
     return str(Path(folder or "/opt/tokenizers") / name)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document, and the terms that reveal it."""
+    out = find_personal_data(documents(spark, sf_dir))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, encoded and decoded by the automaton of a public vocabulary."""
     out = bpe_round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
@@ -97,5 +104,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op9_bpe_automaton, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing)}
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
