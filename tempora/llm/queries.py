@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
+from tempora.llm.license_scan import scan_licenses
 from tempora.llm.media import read_media, store_texts
 from tempora.llm.metric_search import top_inner_products
 from tempora.llm.near_dedup import near_duplicate_classes
@@ -35,6 +36,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates that every document contains."""
+    return scan_licenses(documents(spark, sf_dir)).withColumn("containment", F.round("containment", 6))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     out = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -104,5 +110,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing)}
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
