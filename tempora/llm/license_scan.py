@@ -92,13 +92,13 @@ def _ordered(constant: int):
 def _hits(docs: DataFrame, templates: Sequence[tuple[int, str, str]], id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame(templates, "template int, license string, t string")
-    known = _with_windows(_with_shingles(known, "t").drop("t").where(F.size("h") > 0)).withColumn("own", F.array_distinct("h"))
+    known = _with_windows(_with_shingles(known, "t").drop("t")).withColumn("own", F.array_distinct("h"))
     size = F.size("own")
     wide = F.lit(None).cast("int")
     for w, _, least, most in CLASSES:
         wide = F.when(size.between(least, most), F.lit(w)).otherwise(wide)
-    bands = known.select("template", "license", "own", wide.alias("wide"), F.explode(F.concat("w1", "w8", "w32")).alias("w")).where("w.wide = wide")
-    keys = bands.select("template", "license", "own", "wide", F.explode("w.keys").alias("key")).dropDuplicates(["template", "key"])
+    bands = known.select("template", "license", "own", wide.alias("wide"), F.explode_outer(F.concat("w1", "w8", "w32")).alias("w")).where("w.wide = wide")
+    keys = bands.select("template", "license", "own", "wide", F.explode_outer("w.keys").alias("key")).dropDuplicates(["template", "key"])
     # As many keys as a batch of templates has bands.
     wanted: dict[int, list[int]] = {w: [] for w, *_ in CLASSES}
     for r in keys.select("wide", "key").distinct().collect():
@@ -107,9 +107,10 @@ def _hits(docs: DataFrame, templates: Sequence[tuple[int, str, str]], id_col: st
     read = _with_windows(_with_shingles(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t").drop("t"))
     some = lambda w: F.filter(f"w{w}", lambda x: F.exists(x["keys"], lambda k: k.isin(wanted[w])))
     kept = F.concat(*(some(w) for w in wanted if wanted[w])) if any(wanted.values()) else F.filter("w1", lambda _: F.lit(False))
-    # Few documents have a window left, so that carrying h along with each costs little.
-    met = read.select("id", "h", kept.alias("kept")).where(F.size("kept") > 0).select("id", "h", F.explode("kept").alias("w"))
-    met = met.select("id", "h", F.col("w.at").alias("at"), F.explode("w.keys").alias("key")).join(F.broadcast(keys), "key")
+    # Few documents have a window left, so that carrying h along with each costs little. A filter on what is left, also
+    # one that a plain explode implies, would be pushed below the projections above and evaluate them again and again.
+    met = read.select("id", "h", kept.alias("kept")).select("id", "h", F.explode_outer("kept").alias("w"))
+    met = met.select("id", "h", F.col("w.at").alias("at"), F.explode_outer("w.keys").alias("key")).join(F.broadcast(keys), "key")
     # The template may begin before the window or end after it.
     begin = F.greatest(F.col("at") - size - F.col("wide"), F.lit(1))
     region = F.slice("h", begin, F.col("at") - begin + size + 2 * F.col("wide"))

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.common import written
+
 ORDER = 4
 #: The alphabet that the lowest order spreads its remaining probability over.
 ALPHABET = 128
@@ -76,9 +78,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     places = F.sequence(F.lit(1), F.char_length("url"))
     grams = urls.select("url", "times", "ruled", F.explode(F.transform(places, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))).alias("gram"))
     count = lambda what: F.sum(F.when(F.col("ruled") == what, F.col("times")).otherwise(0))
-    models = _models(grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad")))
+    counts = written(grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad")), "grams")
+    models = written(_models(counts), "models")
     scores = grams.select("url", "gram").join(models, "gram").groupBy("url").agg(F.avg("llr").alias("score"))
-    out = judged.join(scores, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = written(judged.join(scores, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "judged")
     mean = lambda what: F.avg(F.when(F.col("ruled") == what, F.col("score")))
-    cut = out.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("cut"))
-    return out.select(F.col("id").alias(id_col), "url", "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.round(F.col("score") - cut.scalar(), 9) >= 0, "allow").otherwise("block")).alias("verdict"))
+    cut = out.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("cut")).first()["cut"]
+    return out.select(F.col("id").alias(id_col), "url", "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.round(F.col("score") - F.lit(cut), 9) >= 0, "allow").otherwise("block")).alias("verdict"))
