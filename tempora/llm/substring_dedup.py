@@ -108,7 +108,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows, size = text_size(docs, text_col)
     blocks = max(1, min(rows, -(-size // block_bytes)))
     shards = max(1, -(-size // (6 * SHARD_WINDOWS)))
-    dealt = docs.select(id_col, text_col, *keep, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(BLOCK))
+    dealt = docs.select(*dict.fromkeys((id_col, text_col, *keep)), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(BLOCK))
     grouped = dealt.groupBy(BLOCK)
 
     def sketch(table: pa.Table) -> pa.Table:
