@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def local_session(cores: int | str = "*", partitions: int = 8, driver_memory: str = "8g", **more: str) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own. more: further settings, with _ for the dots."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map={k.replace("_", "."): v for k, v in more.items()})
+        .master(f"local[{cores}]")
         .appName("tempora")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set, else a folder for local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-tempora-')}"
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _LOCAL_DIRS.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _LOCAL_DIRS[app] = folder
     return folder.rstrip("/")

@@ -5,8 +5,7 @@ from tempora.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, 4, "4g")
-    session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+    session = local_session(4, 4, "4g", spark_checkpoint_dir=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
