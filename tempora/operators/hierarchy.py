@@ -24,8 +24,7 @@ def applied(edges: DataFrame, as_of: str) -> DataFrame:
 def alive(edges: DataFrame, repeal: str = REPEAL) -> DataFrame:
     """Edges (source_key, target_key, op, ...) without those whose source lies under the target of a repeal among them."""
     repealed = edges.where(F.col("op") == repeal).select(F.col("target_key").alias("__dead")).distinct()
-    keyed = edges.withColumn("__row", F.struct(*edges.columns))
-    under = keyed.select("source_key").distinct().select("source_key", F.explode(ancestors(F.col("source_key"))).alias("__dead"))
+    under = edges.select("source_key").distinct().select("source_key", F.explode(ancestors(F.col("source_key"))).alias("__dead"))
     dead = under.join(repealed, "__dead", "left_semi").select("source_key").distinct()
     return edges.join(dead, "source_key", "left_anti").select(*edges.columns)
 

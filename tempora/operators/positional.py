@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row for each key: the first in this order. Aggregated before it is shuffled, so that a hot key costs no more than others."""
+    """One row for each key: the first in this order. Spark cuts each group to its first row before it shuffles, so that a hot key costs no more than others."""
     columns = df.columns
-    rank = [F.row_number().over(Window.partitionBy(*keys).orderBy(*order))]
-    return df.withColumn("__rank", rank[0]).where("__rank = 1").select(*columns)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).where("__rank = 1").select(*columns)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
