@@ -44,6 +44,23 @@ def test_classes_are_those_of_brute_force(spark):
     assert all(r["class_id"] is None for r in got if r["doc_id"] is None)
 
 
+def family(rng, n, pairs):
+    """n texts that share about 0.7 of their shingles with each other, and pairs of them that reach the similarity."""
+    common = cases.words(rng, 90)
+    texts = [" ".join(common + cases.words(rng, 18)) for _ in range(n)]
+    twins = rng.sample(range(n), pairs)
+    return texts + [texts[i].rsplit(" ", 4)[0] + " " + " ".join(cases.words(rng, 4)) for i in twins], twins
+
+
+def test_pairs_in_a_large_loose_family_are_linked(spark):
+    texts, twins = family(random.Random(11), 1000, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(docs).collect()}
+    linked = sum(got[1000 + k] == i for k, i in enumerate(twins))
+    assert linked >= 39
+    assert sum(got[i] != i for i in range(1000)) == 0
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], cases.SCHEMA)
     assert near_duplicate_classes(empty).count() == 0
