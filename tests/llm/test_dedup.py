@@ -61,6 +61,16 @@ def test_pairs_in_a_large_loose_family_are_linked(spark):
     assert sum(got[i] != i for i in range(1000)) == 0
 
 
+def test_pairs_of_short_texts_are_linked(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        text = cases.words(rng, (8, 9, 18)[k % 3])
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + cases.words(rng, 1)))]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 299
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], cases.SCHEMA)
     assert near_duplicate_classes(empty).count() == 0
