@@ -6,10 +6,10 @@ entity's information content,
 
     disclosure(t, e) = log(N n(e, t) / (n(e) n(t))) / log(N / n(e)),
 
-with n counting documents, n(e, t) those where t stands within REACH characters of e. It is 1 where a term occurs with
-nothing but the entity. Terms from REMOVE_AT on are removed and terms from GENERALISE_AT on generalised, next to the
-entity; pairs seen in fewer than SUPPORT documents are no evidence. Counts are aggregated before they are shuffled, and
-only terms near entities are looked up in the second pass over the texts.
+with n counting documents, n(e, t) those that hold both. It is 1 where a term occurs with nothing but the entity. Terms are
+whole runs of letters. Those from REMOVE_AT on are removed and those from GENERALISE_AT on generalised, wherever they stand
+in a document that holds the entity; entities and pairs seen in fewer than SUPPORT documents are no evidence. Texts are
+never shuffled: each pass reads them again, looks identifiers and terms up in filters of a fixed size, and sends counts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tempora.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT, REMOVE_AT, GENERALISE_AT = 60, 3, 0.9, 0.75
-#: Bits of the filter of terms that the second pass counts: a fixed size, whatever the corpus.
+SUPPORT, REMOVE_AT, GENERALISE_AT = 3, 0.9, 0.75
+#: Bits of the filters of entities, terms and pairs that the later passes look up: a fixed size, whatever the corpus.
 FILTER_BITS = 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 #: Runs of 14 digits or more; those of fewer digits can't be cards.
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -78,30 +78,122 @@ def find_identifiers(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _neighbours(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the whole words near each span, outside all spans."""
-    for start, kind, end in spans:
-        value = text[start:end].lower() if kind < 2 else _digits(text[start:end])
-        for a, b in ((max(0, start - REACH), start), (end, min(len(text), end + REACH))):
-            for m in _TERM.finditer(text, a, b):
-                s, e = m.span()
-                whole = (s > a or s == 0 or not text[s - 1].isalpha()) and (e < b or e == len(text) or not text[e].isalpha())
-                if whole and not any(x < e and s < y for x, _, y in spans):
-                    yield f"{KINDS[kind]}:{value}", m[0].lower(), s, e
+def _entity(text: str, start: int, kind: int, end: int) -> str:
+    return f"{KINDS[kind]}:{text[start:end].lower() if kind < 2 else _digits(text[start:end])}"
 
 
-def _term_counts(texts: DataFrame, positions: list[int]) -> DataFrame:
-    """(term, documents that have it) for the terms that the filter lets through."""
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all spans."""
+    ends = sorted((a, b) for a, _, b in spans)
+    at, reach = 0, 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while at < len(ends) and ends[at][0] < e:
+            reach = max(reach, ends[at][1])
+            at += 1
+        if s >= reach:
+            yield m[0].lower(), s, e
+
+
+def _bit(key: str) -> int:
+    return zlib.crc32(key.encode()) & (1 << FILTER_BITS) - 1
+
+
+def _filter(keys: DataFrame, key) -> bytes:
+    """The filter that lets these keys through."""
     bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[positions] = True
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    bits[[r[0] for r in keys.select(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(1 << FILTER_BITS)).alias("p")).distinct().collect()]] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(sent) -> bytes:
+    return np.unpackbits(np.frombuffer(sent.value, np.uint8)).tobytes()
+
+
+def _pair_counts(keyed: DataFrame, entities: bytes, repeated: bytes) -> DataFrame:
+    """(entity, term, documents that hold both), for the entities that the filter lets through."""
+    spark = keyed.sparkSession
+    sent, again = spark.sparkContext.broadcast(entities), spark.sparkContext.broadcast(repeated)
+    schema = pa.schema([("id", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, twice = _unpacked(sent), _unpacked(again)
+        counts: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else ([], [], [], [])
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                text, key = text.as_py() or "", key.as_py()
+                spans = find_identifiers(text)
+                held = {e for s in spans if wanted[_bit(e := _entity(text, *s))]}
+                if not held:
+                    continue
+                # Rows of an id that repeats are told apart by it, and counted once; others are counted here.
+                name = key if twice[_bit(key)] else None
+                own = {t for t, _, _ in _terms(text, spans)}
+                for e in held:
+                    for t in own:
+                        counts[name, e, t] += 1
+                    if len(counts) > 200_000:
+                        yield rows()
+        yield rows()
+
+    met = keyed.mapInArrow(run, "id string, entity string, term string, n long")
+    once = met.groupBy("id", "entity", "term").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("id").isNull(), F.col("n")).otherwise(1))
+    return once.groupBy("entity", "term").agg(F.sum("n").alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+
+
+def _occurrences(keyed: DataFrame, id_col: str, entities: bytes, pairs: bytes) -> DataFrame:
+    """(id_col, text_key, entity, term, start, end) of the terms of pairs that the filters let through, in texts that hold the entity."""
+    context = keyed.sparkSession.sparkContext
+    sent, both = context.broadcast(entities), context.broadcast(pairs)
+    kind = keyed.schema[id_col].dataType.simpleString()
+    names = ["entity", "term", "start", "end"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = _unpacked(sent), _unpacked(both)
+        for batch in batches:
+            def rows(at: list[int], found: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                index = pa.array(at, pa.int32())
+                columns = zip(*found, strict=True) if found else ([], [], [], [])
+                values = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *values], names=[id_col, "text_key", *names])
+
+            at, found = [], []
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py() or ""
+                spans = find_identifiers(text)
+                held = {e for s in spans if wanted[_bit(e := _entity(text, *s))]}
+                memo: dict[str, list[str]] = {}
+                for t, a, b in _terms(text, spans) if held else ():
+                    if t not in memo:
+                        memo[t] = [e for e in held if known[_bit(f"{e}\n{t}")]]
+                    for e in memo[t]:
+                        at.append(i)
+                        found.append((e, t, a, b))
+                if len(at) > 100_000:
+                    yield rows(at, found)
+                    at, found = [], []
+            yield rows(at, found)
+
+    return keyed.mapInArrow(run, f"`{id_col}` {kind}, text_key long, entity string, term string, start int, end int")
+
+
+def _term_counts(texts: DataFrame, terms: bytes) -> DataFrame:
+    """(term, documents that have it) for the terms that the filter lets through."""
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8)).tobytes()
+        wanted = _unpacked(sent)
         memo: dict[str, bool] = {}
         counts: Counter = Counter()
-        mask = (1 << FILTER_BITS) - 1
 
         def rows() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
@@ -110,12 +202,12 @@ def _term_counts(texts: DataFrame, positions: list[int]) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for term in set(_TERM.findall((text.as_py() or "").lower())):
+                for term in {t.lower() for t in set(_TERM.findall(text.as_py() or ""))}:
                     keep = memo.get(term)
                     if keep is None:
                         if len(memo) > 300_000:
                             memo.clear()
-                        keep = memo[term] = wanted[zlib.crc32(term.encode()) & mask] == 1
+                        keep = memo[term] = wanted[_bit(term)] == 1
                     if keep:
                         counts[term] += 1
                 if len(counts) > 200_000:
@@ -136,34 +228,36 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span = "struct<start:int,kind:int,end:int,action:string>"
-    near = "struct<entity:string,term:string,start:int,end:int>"
     span_type = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("action", pa.string())])
-    near_type = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, around = [], []
+            base, held = [], []
             for text in batch.column(2):
                 text = text.as_py() or ""
                 spans = find_identifiers(text)
                 base.append([{"start": a, "kind": k, "end": b, "action": "mask"} for a, k, b in spans])
-                around.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in _neighbours(text, spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span_type)), pa.array(around, pa.list_(near_type))], names=[id_col, "text_key", "base", "near"])
+                held.append(sorted({_entity(text, *x) for x in spans}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(span_type)), pa.array(held, pa.list_(pa.string()))], names=[id_col, "text_key", "base", "held"])
 
     keyed = docs.select(id_col, F.xxhash64(text_col).alias("text_key"), text_col)
-    found = written(keyed.mapInArrow(scan, f"`{id_col}` {kind}, text_key long, base array<{span}>, near array<{near}>"), "personal")
+    found = written(keyed.mapInArrow(scan, f"`{id_col}` {kind}, text_key long, base array<{span}>, held array<string>"), "personal")
     total = found.count()
-    rows = found.where(F.col(id_col).isNotNull()).select(id_col, "text_key", F.explode("near").alias("x")).select(id_col, "text_key", "x.*")
-    entity = rows.select(id_col, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pair = rows.select(id_col, "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+    with_id = found.where(F.col(id_col).isNotNull())
+    rows = with_id.select(id_col, F.explode("held").alias("entity"))
+    entity = written(rows.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
+    entities = _filter(entity, F.col("entity"))
+    repeated = _filter(with_id.where(F.size("held") > 0).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col(id_col))
+    named = keyed.where(F.col(id_col).isNotNull())
+    pair = _pair_counts(named.select(F.col(id_col).cast("string"), text_col), entities, repeated)
     pairs = written(pair.join(entity, "entity"), "pairs")
-    positions = [r[0] for r in pairs.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << FILTER_BITS)).alias("p")).distinct().collect()]
-    terms = _term_counts(docs.select(text_col), positions)
+    terms = _term_counts(docs.select(text_col), _filter(pairs, F.col("term")))
     n = F.lit(float(max(total, 2)))
     disclosure = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
     known = pairs.join(terms, "term").where(F.col("n_entity") < total).withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE_AT)
-    known = known.select("entity", "term", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action"))
-    revealed = rows.join(known, ["entity", "term"]).groupBy(id_col, "text_key", "start", "end").agg(F.max("action").alias("action"))
+    known = written(known.select("entity", "term", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action")), "known")
+    places = _occurrences(named, id_col, _filter(known, F.col("entity")), _filter(known, F.concat_ws("\n", "entity", "term")))
+    revealed = places.join(known, ["entity", "term"]).groupBy(id_col, "text_key", "start", "end").agg(F.max("action").alias("action"))
     revealed = revealed.groupBy(id_col, "text_key").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("revealed"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     out = found.join(revealed, [id_col, "text_key"], "left")

@@ -74,6 +74,20 @@ def test_terms_that_reveal_an_entity(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_terms_far_from_the_entity_and_short_names(spark):
+    gap = " plain words today" * 20
+    rows = [(i, f"Zaphod{gap} {i} mail boss@x.org or Li,{gap} 王明. Zaphod") for i in range(5)] + [(10 + i, f"plain words today or mail {i}") for i in range(60)]
+    rows += [(0, f"Zaphod{gap} boss@x.org"), rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal_data(docs).collect()
+    assert len(found) == len(rows)
+    got = next(r for r in found if r["doc_id"] == 2)
+    terms = [rows[2][1][s["start"] : s["end"]] for s in got["spans"] if s["kind"] == 4]
+    assert terms == ["Zaphod", "Li", "王明", "Zaphod"]
+    near, brute = {t for _, t in rows[:5]}, pii.sanitise(docs).where("doc_id < 5").collect()
+    assert len(brute) == 7 and not near & {r["text"] for r in brute} and not any("Zaphod" in r["text"] for r in brute)
+
+
 def test_tokens_are_those_of_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = vocabulary("word_bpe_49k.json")
