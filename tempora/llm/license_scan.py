@@ -4,7 +4,8 @@ A text is its runs of letters and digits, lower-cased, and every five words are
 of w shingles overlap by half; w follows the templates' lengths (CLASSES). The minimum of a window under a hash function
 is a band of one row; templates are cut into windows of their own, and a window is retrieved when any of its BANDS bands
 equals a template's. With one row a band, windows of Jaccard similarity j meet with probability 1 - (1 - j)^BANDS (see
-`collision_probability`): a template of 4 shingles or more covers at least half of some window, which makes it 0.996;
+`collision_probability`): a template of 4 shingles or more, whole, has a Jaccard similarity of at least 0.5 with some
+window wherever it begins, which makes it 0.996 (an edited shingle costs similarity: 0.47 and 0.994 at 8 of 9);
 templates of up to 3 shingles are looked up shingle by shingle, which finds each that is there.
 
 DataFrame functions only. Windows are built from pieces, so that each shingle's hash is looked at once a band. The bands of
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: (shingles in a window, step between windows, shingles of the templates that use them: at least, at most).
-CLASSES = ((1, 1, 1, 3), (8, 4, 4, 8), (32, 16, 9, 1 << 30))
-#: Shingles in a piece: windows of 8 are two pieces, windows of 32 two runs of four.
+CLASSES = ((1, 1, 1, 3), (8, 4, 4, 8), (16, 8, 9, 16), (32, 16, 17, 1 << 30))
+#: Shingles in a piece: windows of 8 are two pieces, windows of 16 two pairs of them, windows of 32 two runs of four.
 PIECE = 4
 #: Hashes are ordered after an exclusive-or with each of these; the first and the last in that order are bands.
 FUNCTIONS = (0, -7046029254386353131, -4417276706812531889, 1609587929392839161)
@@ -41,6 +42,17 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("GPL-3.0", "You should have received a copy of the GNU General Public License along with this program."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LGPL", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("AGPL-3.0", "You should have received a copy of the GNU Affero General Public License along with this program."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 
 
@@ -64,14 +76,15 @@ def _extremes(parts: list[list[Column]]) -> Column:
 
 
 def _with_windows(rows: DataFrame) -> DataFrame:
-    """rows with w1, w8 and w32: (at, wide, keys) of each window of each class over h; `at` is its first shingle, from 1."""
+    """rows with w1, w8, w16 and w32: (at, wide, keys) of each window of each class over h; `at` is its first shingle, from 1."""
     rows = rows.withColumns({f"p{k}": F.transform("h", _ordered(c)) for k, c in enumerate(FUNCTIONS) if c})
     names = [f"p{k}" if c else "h" for k, c in enumerate(FUNCTIONS)]
     piece = lambda i: _extremes([[F.get(n, i + j) for n in names for _ in (0, 1)] for j in range(PIECE)])
     rows = rows.withColumn("pieces", F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(PIECE)), piece))
     value = lambda pieces, i: [F.get(F.get(pieces, i), F.lit(n)) for n in range(BANDS)]
-    longer = lambda i: _extremes([value("pieces", i + j) for j in range(4)])
-    rows = rows.withColumn("runs", F.transform(F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(4)), longer))
+    joined = lambda parts: lambda i: _extremes([value(parts, i), value(parts, i + 1)])
+    for parts, name in (("pieces", "duos"), ("duos", "runs")):
+        rows = rows.withColumn(name, F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), joined(parts)))
 
     def windows(pieces: str, step: int) -> Column:
         def window(_: Column, i: Column) -> Column:
@@ -82,7 +95,7 @@ def _with_windows(rows: DataFrame) -> DataFrame:
         return F.transform(pieces, window)
 
     single = F.transform("h", lambda x, i: F.struct((i + 1).alias("at"), F.lit(1).alias("wide"), F.array(F.xxhash64(x, F.lit(0), F.lit(1))).alias("keys")))
-    return rows.withColumns({"w1": single, "w8": windows("pieces", PIECE), "w32": windows("runs", 4 * PIECE)})
+    return rows.withColumns({"w1": single, "w8": windows("pieces", PIECE), "w16": windows("duos", 2 * PIECE), "w32": windows("runs", 4 * PIECE)})
 
 
 def _ordered(constant: int):
@@ -97,7 +110,7 @@ def _hits(docs: DataFrame, templates: Sequence[tuple[int, str, str]], id_col: st
     wide = F.lit(None).cast("int")
     for w, _, least, most in CLASSES:
         wide = F.when(size.between(least, most), F.lit(w)).otherwise(wide)
-    bands = known.select("template", "license", "own", wide.alias("wide"), F.explode_outer(F.concat("w1", "w8", "w32")).alias("w")).where("w.wide = wide")
+    bands = known.select("template", "license", "own", wide.alias("wide"), F.explode_outer(F.concat("w1", "w8", "w16", "w32")).alias("w")).where("w.wide = wide")
     keys = bands.select("template", "license", "own", "wide", F.explode_outer("w.keys").alias("key")).dropDuplicates(["template", "key"])
     # As many keys as a batch of templates has bands.
     wanted: dict[int, list[int]] = {w: [] for w, *_ in CLASSES}

@@ -37,6 +37,24 @@ def test_many_templates_take_more_scans(spark, monkeypatch):
     assert {r["doc_id"] for r in L.scan_licenses(docs).collect()} == {1, 2, 3, 7}
 
 
+def test_every_template_covers_half_of_a_window_at_every_offset():
+    for n in range(4, 100):
+        wide, step = next((w, step) for w, step, least, most in L.CLASSES if least <= n <= most)
+        own = [set(range(k, min(k + wide, n))) for k in range(0, n, step)]
+        for offset in range(step):
+            doc = [set(range(k - offset, k - offset + wide)) for k in range(0, offset + n, step)]
+            assert max(len(x & y) / len(x | y) for x in own for y in doc) >= 0.5, (n, offset)
+
+
+def test_templates_of_9_to_16_shingles_are_found_at_every_offset(spark):
+    rng = random.Random(8)
+    templates = [(f"t{n}", " ".join(cases.words(rng, n + 4))) for n in range(9, 17)]
+    docs = [(100 * k + at, " ".join([*cases.words(rng, 48 + at), text, *cases.words(rng, 60)])) for k, (_, text) in enumerate(templates) for at in range(32)]
+    got = {(r["doc_id"], r["license"]): r["at"] for r in L.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    assert len(got) >= 253
+    assert all(at == 49 + i % 100 and name == templates[i // 100][0] for (i, name), at in got.items())
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
