@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-from pathlib import Path
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +66,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
-def vocabulary(name: str) -> str:
-    """The place of a public vocabulary file: in TEMPORA_TOKENIZERS if that is set, else where the package has it."""
-    folder = os.environ.get("TEMPORA_TOKENIZERS")
-    if folder is None and (spec := importlib.util.find_spec("public_tokenizers")):
-        folder = str(Path(spec.origin).parent)
-    return str(Path(folder or "/opt/tokenizers") / name)
-
-
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data in every document, and the terms that reveal it."""
     out = find_personal_data(documents(spark, sf_dir))
@@ -85,7 +74,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, encoded and decoded by the automaton of a public vocabulary."""
-    out = bpe_round_trip(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    out = bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -5,14 +5,15 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from tempora.llm import license_scan as L
 from tempora.llm import media as M
 from tempora.llm import pii
-from tempora.llm.bpe import Automaton, bpe_round_trip
-from tempora.llm.queries import vocabulary
+from tempora.llm.bpe import Automaton, bpe_round_trip, compile_vocabulary
 from tempora.llm.toxicity import score_toxicity
 
 from . import cases
@@ -108,7 +109,7 @@ def test_terms_far_from_the_entity_and_short_names(spark):
 
 def test_tokens_are_those_of_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    path = vocabulary("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
     automaton = Automaton.load(open(path, encoding="utf-8").read())
     rng = random.Random(6)
@@ -208,3 +209,90 @@ def test_toxicity_is_learned_from_the_rows_that_may_teach(spark):
     nothing = score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in nothing.collect()} == {0.0}
     assert score_toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int, text string")).count() == 0
+
+
+def test_tokens_of_every_code_point_and_of_random_mixes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        automaton = Automaton.load(file.read())
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    same = lambda t: np.frombuffer(automaton.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not same(f"a{chr(c)}b")] == []
+    rng = random.Random(6)
+    ranges = [(32, 127), (97, 123), (97, 123), (0xA0, 0x370), (0x300, 0x370), (0x1E00, 0x1F00), (0x3000, 0x9FFF), (0xAC00, 0xD7A0)]
+    for _ in range(3000):
+        assert same("".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(1, 25))))
+    assert same("aaaa aaaaa " + "a" * 999 + " hahahahahahaha" * 40)
+
+
+def test_merges_that_make_one_token_twice_or_never():
+    vocab = {t: i for i, t in enumerate(["a", "b", "c", "a</w>", "b</w>", "c</w>", "ab", "bc", "abc", "bc</w>", "abc</w>", "aa"])}
+    merges = [["b", "c"], ["a", "b"], ["ab", "c"], ["a", "bc"], ["b", "c</w>"], ["ab", "c</w>"], ["a", "bc</w>"], ["a", "a"]]
+    spec = {"model": {"end_of_word_suffix": "</w>", "vocab": vocab, "merges": merges}, "added_tokens": [], "pre_tokenizer": {"pretokenizers": [{"pattern": {"Regex": r"[\p{L}]+"}}]}}
+    automaton = Automaton(compile_vocabulary(spec))
+
+    def plain(word):
+        parts = [*word[:-1], word[-1] + "</w>"]
+        for x, y in merges:
+            out = []
+            for p in parts:
+                if out and out[-1] == x and p == y:
+                    out[-1] = x + y
+                else:
+                    out.append(p)
+            parts = out
+        return tuple(vocab[p] for p in parts)
+
+    rng = random.Random(8)
+    for _ in range(2000):
+        word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+        assert automaton.path(word.encode()) == plain(word), word
+
+
+def test_no_texts_and_repeated_ones(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe_round_trip(spark.createDataFrame([], cases.SCHEMA), path).count() == 0
+    rows = bpe_round_trip(spark.createDataFrame([(1, "two words", 0), (1, "two words", 0), (None, None, 1)], "doc_id long, text string, n_tokens int"), path).collect()
+    assert sorted(r["n_tokens"] for r in rows) == [0, 2, 2]
+
+
+def test_media_that_cannot_be_read_have_a_reason(spark):
+    good = M.encode([b"x" * 384])[0]
+    progressive = good.replace(b"\xff\xc0", b"\xff\xc2")
+    rows = [(0, good), (1, good[:-40]), (2, b"not an image"), (3, progressive), (4, None), (5, good[:30]), (6, good)]
+    got = {r["k"]: r for r in M.read_media(spark.createDataFrame(rows, "k int, media binary")).collect()}
+    assert got[0]["payload"] == got[6]["payload"] == b"x" * 384 and got[0]["error"] is None
+    assert all(got[k]["error"] and got[k]["width"] is None and got[k]["payload"] == b"" for k in (1, 2, 3, 5))
+    assert got[4]["error"] is None and got[4]["payload_bytes"] == 0
+
+
+def test_template_hits_are_those_of_looking_everywhere(spark):
+    rng = random.Random(5)
+    templates = [(f"L{k}", " ".join(cases.words(rng, n))) for k, n in enumerate((5, 7, 12, 25, 60))]
+    docs = []
+    for i in range(120):
+        words = templates[i % 5][1].split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            words[rng.randrange(len(words))] = "edited"
+        docs.append((i, " ".join(cases.words(rng, rng.randrange(90)) + words + cases.words(rng, rng.randrange(90)))))
+    got = {(r["doc_id"], r["template"]): r["containment"] for r in L.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    wanted = {}
+    for i, text in docs:
+        own = set(cases.shingles(text))
+        for k, (_, t) in enumerate(templates):
+            share = len(set(cases.shingles(t)) & own) / len(set(cases.shingles(t)))
+            if share >= 0.8:
+                wanted[i, k] = share
+    assert len(wanted) > 60 and set(got) <= set(wanted) and len(set(wanted) - set(got)) <= 0.02 * len(wanted)
+    assert all(got[key] == pytest.approx(wanted[key]) for key in got)
+
+
+def test_long_and_repeated_rows_of_licenses_and_personal_data(spark):
+    notice = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    text = "filler words " * 40000 + L.TEMPLATES[1][1] + " more " * 1000 + "write to ann@example.org " * 3000 + notice
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    assert {(r["doc_id"], r["template"]) for r in L.scan_licenses(docs).collect()} == {(1, 1), (None, 1)}
+    found = pii.find_personal_data(docs).collect()
+    assert [r["n_email"] for r in found] == [3000] * 3
