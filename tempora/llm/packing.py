@@ -64,19 +64,23 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Sizes are in words. No bin holds two pieces of one source, nor of one duplicate cluster: texts that are equal after
     case and white space are folded. A null source is a source of its own kind, shared by all rows without one. A text
-    without words (or null) takes no room: it gets piece 0 with n_words 0 and a null bin. Rows that repeat an id are
-    packed each. Every row is packed whole; a hot source spreads over as many bins as it has documents. Other columns
-    are dropped.
+    without words (or null) takes no room: it gets piece 0 with n_words 0 and a null bin. Rows that repeat, in part or
+    whole, are packed each: equal rows are counted and numbered first, so that each has bins of its own. Every row is
+    packed whole; a hot source spreads over as many bins as it has documents. An empty table gives an empty one. Other
+    columns are dropped.
     """
     folded = F.trim(F.regexp_replace(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+", " "))
     sized = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(source_col), F.lit(0)).alias("source"), F.xxhash64(folded).alias("cluster"), word_count(text_col).alias("words"))
+    # Equal rows are told apart by a number, which follows from the data alone.
+    counted = sized.groupBy("id", "source", "cluster", "words").agg(F.count(F.lit(1)).alias("n"))
+    sized = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     full = F.floor(F.col("words") / capacity)
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0).cast("long")))))
     pieces = pieces.withColumn("size", F.when(F.col("piece") < full, F.lit(capacity).cast("long")).otherwise(F.col("words") - full * capacity))
     whole = pieces.where((F.col("size") == capacity) | (F.col("size") == 0))
     rest = pieces.where((F.col("size") < capacity) & (F.col("size") > 0))
     groups = max(1, -(-docs.count() // group))
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("id", "cluster", "piece"), F.lit(groups)))
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64("id", "source", "cluster", "words", "copy", "piece"), F.lit(groups)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(table: pa.Table) -> pa.Table:
@@ -90,6 +94,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"id": table["id"], "piece": table["piece"], "bin": pa.array(bins, pa.string()), "bin_offset": pa.array(offsets, pa.int64()), "n_words": table["size"], "cluster": table["cluster"]})
 
     packed = dealt.groupBy("part").applyInArrow(pack, f"id {kind}, piece long, bin string, bin_offset long, n_words long, cluster long")
-    own = F.when(F.col("size") > 0, F.concat(F.lit("full-"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("-"), F.hex("cluster"), F.lit("-"), F.col("piece").cast("string")))
+    name = F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.hex("source"), F.hex("cluster"), "words", "copy", "piece")
+    own = F.when(F.col("size") > 0, name)
     alone = whole.select("id", "piece", own.alias("bin"), F.when(F.col("size") > 0, F.lit(0).cast("long")).alias("bin_offset"), F.col("size").alias("n_words"), "cluster")
     return packed.unionByName(alone).withColumnRenamed("id", id_col)
