@@ -142,3 +142,18 @@ def text_size(docs: DataFrame, text: str) -> tuple[int, int]:
     """(rows, bytes of text): what block counts are derived from."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
     return row["n"], row["b"]
+
+
+#: Keys that hold more than a share of 1 in HOT of all rows are hot; there are at most HOT of them.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], many: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key, the number of left's rows with it (many), and what is wanted.
+
+    total: the rows of left. Hot keys, of which there can't be more than HOT, are joined by broadcast, where their rows are;
+    all others are joined by shuffle, where no key holds more than one row in HOT. how: 'inner' or 'left'.
+    """
+    hot, cold = right.where(F.col(many) * HOT > total), right.where(F.col(many) * HOT <= total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)

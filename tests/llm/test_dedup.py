@@ -127,3 +127,20 @@ def test_passages_are_those_of_brute_force(spark, block):
     found = got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, found), key=key) == sorted(brute_passages(rows), key=key)
+
+
+def test_no_link_of_a_large_family_is_lost(spark):
+    rng = random.Random(21)
+    base = cases.words(rng, 120)
+    rows = []
+    for i in range(900):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            text[rng.randrange(len(text))] = f"edit{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(text)))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs = [cases.shingles(t) for _, t in rows]
+    sets = [set(r) for r in runs]
+    for i in range(900):
+        near = [j for j in range(900) if j != i and got[j] != got[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert not [j for j in near if similarity(runs[i], runs[j])], i
