@@ -8,22 +8,21 @@ out by the triangle inequality is dropped before its own distance is computed. D
 margin for rounding; scores are exact integers, ties go to the smaller id.
 
 Queries and vectors are dealt into blocks; each block's tree meets each block of queries once, as packed arrays, and
-the best of each meeting are merged. Work is spread over (vector blocks x query blocks) tasks.
+the best of each meeting are merged. Work is spread over (vector blocks x groups of query blocks) keys of one size.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block, queries in a block, entries in a page.
-VECTORS, QUERIES, PAGE = 8192, 1024, 64
+#: Vectors in a block, queries in a block, entries in a page, and query blocks that meet a tree in one task.
+VECTORS, QUERIES, PAGE, TOGETHER = 8192, 1024, 64, 8
 
 
 def _split(points: np.ndarray, rows: np.ndarray, size: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -127,33 +126,38 @@ def top_inner_products(vectors: DataFrame, every: int, k: int, id_col: str = "ve
     """The k best of all other vectors for each query: query_id (long), rank (int, from 1), id_col (long), score (long).
 
     Queries are the rows whose id is divisible by `every`; the score is the inner product of the integer vectors; ties
-    go to the smaller id. Vectors that are null or empty, or hold null or non-finite components, take no part; all
-    others must have one length. A row's own id is no candidate, also where it is repeated; rows that repeat an id are
-    separate candidates. Fewer than k rows come back where there are fewer candidates. Other columns are dropped.
+    go to the smaller id. Vectors that are null or empty, or hold null or non-finite components, take no part; a query
+    meets only vectors of its own length. A row's own id is no candidate, also where it is repeated; rows that repeat an
+    id are separate candidates, and separate queries. Fewer than k rows come back where there are fewer candidates; an
+    empty table gives an empty one. Other columns are dropped.
     """
-    sound = quantised(vectors, id_col, vector_col).where(F.size("vector") > 0)
+    sound = quantised(vectors, id_col, vector_col).where(F.size("vector") > 0).withColumn("wide", F.size("vector"))
     n = vectors.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // (every * query_block)))
+    groups = -(-query_blocks // TOGETHER)
 
     def build(table: pa.Table) -> pa.Table:
-        return pa.table({"tree": pa.array([pickle.dumps(MTree(*_packed(table)), protocol=5)], pa.binary())})
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "wide": pa.array([table["wide"][0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(MTree(*_packed(table)), protocol=5)], pa.binary())})
 
     def collect(table: pa.Table) -> pa.Table:
-        return pa.table({"query_block": pa.array([table["query_block"][0].as_py()], pa.int64()), "queries": pa.array([pickle.dumps(_packed(table), protocol=5)], pa.binary())})
-
-    trees = sound.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(build, "tree binary")
-    queries = sound.where(F.pmod("id", F.lit(every)) == 0).withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))).groupBy("query_block").applyInArrow(collect, "query_block long, queries binary")
-    meetings = trees.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).join(queries, "query_block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, (ids, rows) = pickle.loads(tree.as_py()), pickle.loads(queries.as_py())
-                found = [(int(i), best, score) for i, row in zip(ids, rows, strict=True) for score, best in tree.search(row, int(i), k)[0]]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "id", "score"])
-
-    spread = meetings.repartition(blocks * query_blocks, F.xxhash64("query_block", "tree"))
-    found = spread.select("tree", "queries").mapInArrow(search, "query_id long, id long, score long")
+        return pa.table({"query_block": pa.array([table["query_block"][0].as_py()], pa.int64()), "wide": pa.array([table["wide"][0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps(_packed(table), protocol=5)], pa.binary())})
+
+    def search(trees: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int]] = []
+        for tree in trees["tree"]:
+            tree = pickle.loads(tree.as_py())
+            for packed in queries["queries"]:
+                ids, rows = pickle.loads(packed.as_py())
+                found += [(int(i), best, score) for i, row in zip(ids, rows, strict=True) for score, best in tree.search(row, int(i), k)[0]]
+        return pa.table({name: pa.array([f[c] for f in found], pa.int64()) for c, name in enumerate(("query_id", "id", "score"))})
+
+    upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    trees = sound.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block", "wide").applyInArrow(build, "block long, wide int, tree binary")
+    asked = sound.where(F.pmod("id", F.lit(every)) == 0).withColumn("query_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)))
+    queries = asked.groupBy("query_block", "wide").applyInArrow(collect, "query_block long, wide int, queries binary").withColumn("group", F.pmod("query_block", F.lit(groups)))
+    # A tree goes to each group of query blocks, a query block to each tree: as many meetings as blocks x groups, none larger than another.
+    left = trees.withColumn("group", upto(groups)).groupBy("block", "wide", "group")
+    right = queries.withColumn("block", upto(blocks)).groupBy("block", "wide", "group")
+    found = left.cogroup(right).applyInArrow(search, "query_id long, id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
