@@ -3,12 +3,13 @@
 Both models are variable-order Markov models over the characters of URLs with Witten-Bell interpolation: the
 probability of a character after a context of up to ORDER characters mixes the counts of that context with the
 probability after the context without its first character, weighted by how many different characters follow it. The
-models are trained on all URLs that the rules accept and reject. A URL's score is the mean log-likelihood difference
-of its characters; it is allowed where the score reaches a threshold that is calibrated as the midpoint between the mean
-scores of the accepted and of the rejected URLs.
+models are trained on the URLs that the rules accept and reject, but for one in HELD_OUT, by a hash of the URL. A URL's
+score is the mean log-likelihood difference of its characters; it is allowed where the score reaches a threshold that is
+calibrated on the URLs held out: the midpoint between the mean scores of the accepted and of the rejected among them.
 
 DataFrame functions only. URLs are counted once with their multiplicity, n-grams once over the whole corpus, so that
-the joins meet each n-gram once for each distinct URL that has it.
+the joins meet each n-gram once for each distinct URL that has it. Those that all URLs have, such as the beginning, are
+looked up by broadcast, and so are URLs that many pages have; hot keys never land in one task.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import written
+from tempora.llm.common import join_hot, written
 
-ORDER = 4
+ORDER, HELD_OUT = 4, 5
 #: The alphabet that the lowest order spreads its remaining probability over.
 ALPHABET = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +62,18 @@ def _models(grams: DataFrame) -> DataFrame:
     return scored.select("gram", (F.log("p_good") - F.log("p_bad")).alias("llr"))
 
 
+def held_out(url: str) -> Column:
+    """1 for the URLs that calibrate the threshold and teach the models nothing, else 0."""
+    return (F.pmod(F.crc32(F.col(url).cast("binary")), F.lit(HELD_OUT)) == 0).cast("int")
+
+
+def calibrated() -> Column:
+    """The threshold, an aggregate over judged pages (url, ruled, score): from held-out ones, or all where a kind is missing; 0.0 without both kinds."""
+    mean = lambda what, some: F.avg(F.when((F.col("ruled") == what) & some, F.col("score")))
+    held = held_out("url") == 1
+    return F.coalesce(*((mean("allow", some) + mean("block", some)) / 2 for some in (held, F.lit(True))), F.lit(0.0))
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each page: id_col, url, host, path, rule, score (double) and verdict ('allow' or 'block').
 
@@ -74,14 +87,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = read.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict})
     urls = judged.groupBy("url").agg(F.count(F.lit(1)).alias("times"), F.first("ruled").alias("ruled")).where("url IS NOT NULL AND url <> ''")
-    padded = F.concat(F.lit(START * ORDER), "url")
-    places = F.sequence(F.lit(1), F.char_length("url"))
-    grams = urls.select("url", "times", "ruled", F.explode(F.transform(places, lambda i: F.substring(padded, i, F.lit(ORDER + 1)))).alias("gram"))
-    count = lambda what: F.sum(F.when(F.col("ruled") == what, F.col("times")).otherwise(0))
-    counts = written(grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad")), "grams")
-    models = written(_models(counts), "models")
-    scores = grams.select("url", "gram").join(models, "gram").groupBy("url").agg(F.avg("llr").alias("score"))
-    out = written(judged.join(scores, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "judged")
-    mean = lambda what: F.avg(F.when(F.col("ruled") == what, F.col("score")))
-    cut = out.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("cut")).first()["cut"]
+    # Characters as an array: taking a slice costs the same wherever it lies, so that long URLs take linear time.
+    characters = F.concat(F.array(*[F.lit(START)] * ORDER), F.split("url", ""))
+    urls = urls.withColumn("learn", held_out("url") == 0).withColumn("characters", characters)
+    places = F.sequence(F.lit(1), F.size("characters") - ORDER)
+    gram = lambda i: F.array_join(F.slice("characters", i, F.lit(ORDER + 1)), "")
+    grams = urls.select("url", "times", "ruled", "learn", F.explode(F.transform(places, gram)).alias("gram"))
+    count = lambda what: F.sum(F.when((F.col("ruled") == what) & F.col("learn"), F.col("times")).otherwise(0))
+    counts = written(grams.groupBy("gram").agg(count("allow").alias("good"), count("block").alias("bad"), F.count(F.lit(1)).alias("many")), "grams")
+    models = written(_models(counts).join(counts.select("gram", "many"), "gram"), "models")
+    total = counts.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    scores = join_hot(grams.select("url", "gram"), models, ["gram"], "many", total).groupBy("url").agg(F.avg("llr").alias("score"))
+    scores = written(scores.join(urls.select("url", "times"), "url"), "scores")
+    judged = join_hot(judged, scores, ["url"], "times", read.count(), "left").drop("times")
+    out = written(judged.withColumn("score", F.coalesce("score", F.lit(0.0))), "judged")
+    cut = out.agg(calibrated().alias("cut")).first()["cut"]
     return out.select(F.col("id").alias(id_col), "url", "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.round(F.col("score") - F.lit(cut), 9) >= 0, "allow").otherwise("block")).alias("verdict"))

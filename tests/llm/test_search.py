@@ -2,12 +2,15 @@
 
 import collections
 import math
+import random
+import zlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tempora.llm.metric_search import MTree, top_inner_products
-from tempora.llm.packing import pack_documents
+from tempora.llm.packing import BestFit, pack_documents
 from tempora.llm.queries import URL_RULES
 from tempora.llm.url_filter import filter_urls
 
@@ -112,3 +115,89 @@ def test_pipeline_stages_keep_and_change_what_they_should(spark, tmp_path):
     assert {i for i in kept if i is not None} == set(classes.values())
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} == set(kept)
+
+
+def naive_best_fit(pieces, capacity):
+    """(bin, offset) of each (size, source, cluster): all bins are looked at, the tightest without a conflict is taken; of equal ones, that which was so tight first."""
+    bins, out, clock = [], [], 0
+    for size, source, cluster in pieces:
+        fits = [(b["rest"], b["since"], k) for k, b in enumerate(bins) if b["rest"] >= size and source not in b["sources"] and cluster not in b["clusters"]]
+        if fits:
+            k = min(fits)[2]
+        else:
+            bins.append({"rest": capacity, "since": 0, "sources": set(), "clusters": set()})
+            k = len(bins) - 1
+        clock += 1
+        out.append((k, capacity - bins[k]["rest"]))
+        bins[k] = {"rest": bins[k]["rest"] - size, "since": clock, "sources": bins[k]["sources"] | {source}, "clusters": bins[k]["clusters"] | {cluster}}
+    return out
+
+
+def test_best_fit_is_that_of_looking_at_all_bins():
+    rng = random.Random(3)
+    for capacity in (20, 200):
+        pieces = sorted(((rng.randrange(1, capacity), rng.randrange(30), rng.randrange(60)) for _ in range(400)), reverse=True)
+        fit = BestFit(capacity)
+        assert [fit.place(s, 1 << a, 1 << b) for s, a, b in pieces] == naive_best_fit(pieces, capacity)
+
+
+def test_repeated_long_rows_have_bins_of_their_own(spark):
+    text = " ".join(["word"] * 5000)
+    rows = pack_documents(spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, text, None), (1, text, "t"), (1, text.upper(), "s")], "doc_id long, text string, source string")).collect()
+    check_bins(rows, 2048)
+    assert sum(r["n_words"] for r in rows) == 25000 and len({r["bin"] for r in rows}) == len(rows) == 15
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i + j) / 50 for j in range(2 + i % 2)]) for i in range(40)] + [(0, [0.1, 0.2])]
+    got = collections.defaultdict(list)
+    for r in top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 3, block=8, query_block=2).collect():
+        got[r["query_id"], r["rank"]].append((r["vec_id"], r["score"]))
+    vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    for q, v in vectors:
+        if q % 10 == 0 and q:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))[:3]
+            assert [got[q, k + 1] for k in range(3)] == [[(i, -s)] for s, i in best]
+
+
+def test_url_scores_are_those_of_counting_by_hand(spark):
+    urls = [f"https://{w}.{tld}/{lang}/{n}" for w in ("alpha", "beta") for tld in ("org", "com", "net") for lang in ("fr", "de", "xx") for n in range(9)] + ["https://example.org/es/" + "z" * 5000, "https://alpha.net/fr/0"]
+    got = {r["url"]: r for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()}
+    verdict = {u: {"allow": "good", "block": "bad"}.get(got[u]["verdict"]) if got[u]["rule"] else None for u in urls}
+    held = {u: zlib.crc32(u.encode()) % 5 == 0 for u in urls}
+    grams = lambda u: [("\x02" * 4 + u)[i : i + 5] for i in range(len(u))]
+    seen = {"good": collections.Counter(), "bad": collections.Counter()}
+    for u in urls:
+        if verdict[u] and not held[u]:
+            for g in grams(u):
+                for k in range(1, 6):
+                    seen[verdict[u]][g[-k:]] += 1
+
+    def probability(side, g):
+        p = 1 / 128
+        for k in range(1, 6):
+            after = [n for x, n in seen[side].items() if len(x) == k and x[:-1] == g[-k:-1]]
+            if after:
+                p = (seen[side][g[-k:]] + len(after) * p) / (sum(after) + len(after))
+        return p
+
+    memo = {}
+    for u in urls:
+        parts = [memo.setdefault(g, math.log(probability("good", g)) - math.log(probability("bad", g))) for g in grams(u)]
+        assert got[u]["score"] == pytest.approx(sum(parts) / len(parts), abs=1e-9)
+    mean = lambda side: np.mean([got[u]["score"] for u in urls if held[u] and verdict[u] == side])
+    cut = (mean("good") + mean("bad")) / 2
+    for u in urls:
+        if not verdict[u]:
+            assert got[u]["verdict"] == ("allow" if round(got[u]["score"] - cut, 9) >= 0 else "block")
+
+
+def test_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(*r[:5], 7, "x", "y") for r in cases.documents(11)]
+    docs = spark.createDataFrame(rows, schema + ", __row long, __copy string, known string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {r["__row"] for r in out.collect()} == {7}
