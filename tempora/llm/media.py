@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tempora.llm.common import slices
+
 #: Blocks in a row of an image, and rows in an image at most: JPEG counts samples in 16 bits.
 ROW, MOST_ROWS = 192, 8191
 #: Huffman codes of our files: numbers of codes by length, and their symbols. One AC symbol: end of block.
@@ -167,6 +169,12 @@ class _Image:
         self.end = at
 
 
+    def missing(self) -> bool:
+        """Whether there are fewer restart intervals than the image needs."""
+        units = self.across * self.down
+        return len(self.intervals) < (-(-units // self.restart) if self.restart else 1)
+
+
 _LOOKUPS: dict[bytes, np.ndarray] = {}
 
 
@@ -229,6 +237,8 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
         own, at = [], 0
         while at < len(data):
             own.append(_Image(data, at))
+            if not all((own[-1].width, own[-1].height)) or own[-1].missing():
+                raise ValueError("the image has no size, or its scan is cut short")
             at = own[-1].end
         images.append(own)
     out: list[list] = [[None] * len(own) for own in images]
@@ -260,6 +270,17 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
     return out
 
 
+def readable_thumbnails(files: list[bytes]) -> list[list[np.ndarray] | str]:
+    """The thumbnails of each file, or what is wrong with it: files are read together, and one by one where that fails."""
+    try:
+        return thumbnails(files)
+    except (ValueError, KeyError, IndexError, AttributeError, struct.error) as fault:
+        if len(files) == 1:
+            return [f"{type(fault).__name__}: {fault}"]
+        half = len(files) // 2
+        return readable_thumbnails(files[:half]) + readable_thumbnails(files[half:])
+
+
 def thumbnail_hash(grid: np.ndarray) -> str:
     """64 bits: which cells of an 8 x 8 grid over the thumbnail are brighter than its mean."""
     y, x = (np.arange(8) * n // 8 for n in grid.shape)
@@ -279,8 +300,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
                 texts = [(t.as_py() or "").encode() for t in part.column(1)]
                 files = encode([t + b" " * (max(1, -(-len(t) // ROW)) * ROW - len(t)) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
@@ -292,24 +313,28 @@ def read_media(media: DataFrame, media_col: str = "media") -> DataFrame:
     """media's columns, with payload (binary), payload_bytes, tail_crc32 (long), width and height (int) and thumb_hash (string).
 
     width and height are of the first image, thumb_hash of all its thumbnails. Null or empty media have an empty
-    payload and null dimensions and hash. A value that isn't baseline JPEG fails the task.
+    payload and null dimensions and hash; so have values that are cut short or aren't baseline JPEG, with the reason in
+    error (string), which is null for all others. Repeated rows are read each; an empty table gives an empty one.
     """
-    added = pa.schema([("payload", pa.binary()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("thumb_hash", pa.string())])
+    added = pa.schema([("payload", pa.binary()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("thumb_hash", pa.string()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, to in slices(batch.column(media_col)):
+                part = batch.slice(at, to - at)
                 files = [m or b"" for m in part.column(media_col).to_pylist()]
                 rows = []
-                for data, grids in zip(files, thumbnails(files), strict=True):
+                for data, grids in zip(files, readable_thumbnails(files), strict=True):
+                    if isinstance(grids, str):
+                        rows.append((b"", 0, zlib.crc32(b""), None, None, None, grids))
+                        continue
                     payload = b"".join(g.tobytes() for g in grids)
                     shape = (grids[0].shape[1] * 8, grids[0].shape[0] * 8) if grids else (None, None)
-                    rows.append((payload, len(payload), zlib.crc32(payload[-16:]), *shape, "".join(map(thumbnail_hash, grids)) if grids else None))
+                    rows.append((payload, len(payload), zlib.crc32(payload[-16:]), *shape, "".join(map(thumbnail_hash, grids)) if grids else None, None))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, f.type) for c, f in zip(zip(*rows), added, strict=True))], names=[*part.schema.names, *added.names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
-    return media.mapInArrow(run, f"{kinds}, payload binary, payload_bytes long, tail_crc32 long, width int, height int, thumb_hash string")
+    return media.mapInArrow(run, f"{kinds}, payload binary, payload_bytes long, tail_crc32 long, width int, height int, thumb_hash string, error string")
 
 
 def digest(data: bytes) -> str:
