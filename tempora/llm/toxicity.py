@@ -147,13 +147,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are learned from rows that aren't held out, at most `sample` of them; ids, languages and sources are no
     features. Null and empty texts have features of zero and are scored like others. Rows with a null id or label
     teach nothing; of an id with several labels, the largest counts. Without labels of both kinds every score is the
-    share of toxic labels (0.0 without labels). Repeated rows are scored alike and all returned. Other columns are
-    dropped.
+    share of toxic labels (0.0 without labels). Repeated rows are scored alike and all returned; of an id with several
+    texts, the first in order teaches. The lexicon has at most TERMS terms, the weightiest. Other columns are dropped.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # The sample is bounded by a parameter, so it may be sent to every task.
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text"))
     rows = written(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))), "labelled")
     fit_rows = rows.where("part <> 0")
     lexicon = learn_lexicon(fit_rows.dropDuplicates(["text"]).repartition(6))
