@@ -22,17 +22,17 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the labels are read beside the documents."""
     scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("score") >= TOXIC)
-    rejected = scores.select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["__rejected"], "left_anti")
+    return docs.join(scores.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest id."""
-    classes = near_duplicate_classes(docs).where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias("__copy")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == classes["__copy"], "left_anti")
-    # Rows that repeat an id are one document; rows without an id are in no class and all stay.
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("__row", own).dropDuplicates(["doc_id", "__row"]).drop("__row")
+    copies = near_duplicate_classes(docs).where(F.col("doc_id") > F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    # Rows that repeat an id are one document, the first of them by text; rows without an id are in no class and all stay.
+    row = F.struct(F.col("text"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*").select(*docs.columns)
+    return one.unionByName(kept.where("doc_id IS NULL"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
