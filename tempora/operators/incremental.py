@@ -72,7 +72,11 @@ def bucketed(rows: DataFrame, doc: str, buckets: int) -> DataFrame:
 
 
 def replace_documents(spark, path: str, new: DataFrame, scope: DataFrame, doc: str, key: str, buckets: int) -> None:
-    """Incremental load: the touched buckets are read, changed and staged beside the table, then swapped in by partition."""
+    """Incremental load: the touched buckets are read, changed and staged beside the table, then swapped in by partition.
+
+    A bucket that is left without rows is removed, as an overwrite would not touch it; the staged copy goes last. Run
+    again after a failure, the same load gives the same table.
+    """
     schema = bucketed(new, doc, buckets).schema
     touched = bucketed(scope, doc, buckets).select("bucket").distinct()
     existing = spark.read.schema(schema).parquet(path).join(touched, "bucket", "left_semi").drop("bucket")
@@ -80,5 +84,11 @@ def replace_documents(spark, path: str, new: DataFrame, scope: DataFrame, doc: s
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     after.select(*schema.names).write.partitionBy("bucket").parquet(staged)
     done = spark.read.schema(schema).parquet(staged)
-    if not done.isEmpty():
+    filled = {r["bucket"] for r in done.select("bucket").distinct().collect()}
+    emptied = [r["bucket"] for r in touched.collect() if r["bucket"] not in filled]
+    if filled:
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for place in (*(f"{path}/bucket={b}" for b in emptied), staged):
+        files.delete(hadoop(place), True)

@@ -37,10 +37,22 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], begins:
     return df.withColumn(name, F.sum(begins.cast("long")).over(window))
 
 
-def uniquified(df: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, name: str) -> DataFrame:
-    """Labels made unique in a group: the nth repeat gets ' (n)'."""
-    n = F.row_number().over(Window.partitionBy(*keys, label).orderBy(*order))
-    return df.withColumn(name, F.when(n > 1, F.concat(F.col(label), F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col(label)))
+def uniquified(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], label: str, name: str) -> DataFrame:
+    """Labels made unique in a group, in order (columns, ascending): a repeat gets the first ' (n)', from 2, that no label before it has.
+
+    Groups are the units of one document's article, which are gathered in a row.
+    """
+    row = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order), F.struct(*df.columns).alias("__row"))
+    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+
+    def named(used: Column, own: Column) -> Column:
+        marked = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(own, F.lit(" ("), n.cast("string"), F.lit(")")))
+        free = F.get(F.filter(marked, lambda x: ~F.array_contains(used, x)), F.lit(0))
+        return F.concat(used, F.array(F.when(F.array_contains(used, own), free).otherwise(own)))
+
+    labels = F.aggregate(F.transform("__rows", lambda r: r["__row"][label].cast("string")), F.array().cast("array<string>"), named)
+    pairs = groups.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), labels.alias("n"))).alias("__pair"))
+    return pairs.select("__pair.r.__row.*", F.col("__pair.n").alias(name))
 
 
 def lines_with_offsets(df: DataFrame, text: str) -> DataFrame:

@@ -19,6 +19,7 @@ SECTION = re.compile(r"^\s*(Mục|MỤC)\s+(\d+)")
 ENDING = re.compile(r"^\s*(Nơi nhận\s*:|PHỤ LỤC|Phụ lục\s+[IVXLC\d]+\s*$)")
 CLAUSE = re.compile(r"^\s*(\d+[a-zđ]?)\.\s")
 POINT = re.compile(r"^\s*([a-zđ])\)\s")
+ROMAN, DASH = re.compile(r"^\s*(\([ivx]+\))\s"), re.compile(r"^\s*([-–+])\s")
 #: Characters that a chunk may have.
 CHUNK = 2000
 
@@ -132,26 +133,53 @@ def _pieces(text: str, most: int) -> Iterator[str]:
     yield text
 
 
+def _runs(text: str, marker: re.Pattern) -> list[tuple[str | None, str]]:
+    """(number, text) of the runs of lines that a marker begins; what stands before the first goes with it."""
+    out: list[tuple[str | None, str]] = []
+    for line in text.split("\n"):
+        found = marker.match(line)
+        if found and out and out[-1][0] is not None or not out:
+            out.append((found[1] if found else None, line))
+        else:
+            out[-1] = (found[1] if found else out[-1][0], f"{out[-1][1]}\n{line}")
+    return out
+
+
+def _gathered(runs: list[tuple[str | None, str]], most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Neighbouring runs together as long as they fit."""
+    held: list[tuple[str | None, str]] = []
+    for run in runs:
+        if held and sum(len(body) + 1 for _, body in held) + len(run[1]) > most:
+            yield held
+            held = []
+        held.append(run)
+    yield held
+
+
 def chunks(label: str, text: str, most: int = CHUNK) -> Iterator[tuple[str, str]]:
-    """(label, text) of an article's chunks: whole if it fits, else runs of clauses, else parts cut at lines, sentences or spaces."""
+    """(label, text) of an article's chunks, no label twice.
+
+    An article that fits stays whole; of several clauses, neighbours go together as long as they fit, and one clause that
+    doesn't is whole. Other articles are cut before points, else before (i), else before dashes, else at lines, sentences
+    and spaces, and their chunks are numbered as parts.
+    """
     if len(text) <= most:
         yield label, text
         return
-    starts = [at for at, kind in ((at, CLAUSE.match(line)) for at, line in lines_of(text)) if kind]
-    if not starts:
-        for n, part in enumerate(_pieces(text, most), 1):
-            yield f"{label} (phần {n})", part
+    clauses = _runs(text, CLAUSE)
+    if sum(name is not None for name, _ in clauses) > 1:
+        used: set[str] = set()
+        for held in _gathered(clauses, most):
+            name = own = _clause_label(label, held[0][0] or "", held[-1][0] or "")
+            while name in used:
+                name = f"{own} ({sum(u == own or u.startswith(own + ' (') for u in used) + 1})"
+            used.add(name)
+            yield name, "\n".join(body for _, body in held)
         return
-    names = [CLAUSE.match(text[a:])[1] for a in starts]
-    bounds = [0, *starts[1:], len(text)]
-    held, first, last = "", names[0], names[0]
-    for i, name in enumerate(names):
-        body = text[bounds[i] : bounds[i + 1]].rstrip("\n")
-        if held and len(held) + 1 + len(body) > most:
-            yield _clause_label(label, first, last), held
-            held, first = "", name
-        held, last = f"{held}\n{body}" if held else body, name
-    yield _clause_label(label, first, last), held
+    finer = next((runs for marker in (POINT, ROMAN, DASH) if len(runs := _runs(text, marker)) > 1), None)
+    parts = ["\n".join(body for _, body in held) for held in _gathered(finer, most)] if finer else list(_pieces(text, most))
+    for n, part in enumerate(parts, 1):
+        yield f"{label} (phần {n})", part
 
 
 def _clause_label(label: str, first: str, last: str) -> str:

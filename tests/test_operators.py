@@ -104,6 +104,11 @@ def test_fingerprints_and_scoped_replacement(spark, tmp_path):
         I.replace_documents(spark, path, new.where("doc = 'a'"), scope, "doc", "id", 4)
         got = {(r["doc"], r["id"], r["text"]) for r in spark.read.parquet(path).collect()}
         assert got == {("a", "a1", "x2"), ("b", "b1", ""), ("c", "c1", "q")}
+    I.replace_documents(spark, path, new.limit(0), spark.createDataFrame([("c",), ("zz",)], "doc string"), "doc", "id", 4)
+    assert {r["id"] for r in spark.read.schema(I.bucketed(old, "doc", 4).schema).parquet(path).collect()} == {"a1", "b1"}
+    I.replace_documents(spark, path, new.limit(0), spark.createDataFrame([("a",), ("b",)], "doc string"), "doc", "id", 4)
+    assert spark.read.schema(I.bucketed(old, "doc", 4).schema).parquet(path).count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
 
 
 def test_positions(spark):
@@ -113,6 +118,8 @@ def test_positions(spark):
     assert [r[0] for r in sizes.select(P.packed_sizes(F.col("s"), 10)).collect()] == [[0, 0, 1, 2, 3], []]
     labels = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "i int, l string")
     assert [r["u"] for r in P.uniquified(labels, [], ["i"], "l", "u").orderBy("i").collect()] == ["x", "x (2)", "y"]
+    taken = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x (2)"), (4, "x"), (5, "x (2)")], "i int, l string")
+    assert [r["u"] for r in P.uniquified(taken, [], ["i"], "l", "u").orderBy("i").collect()] == ["x", "x (2)", "x (2) (2)", "x (3)", "x (2) (3)"]
 
 
 TEXT = "Chương I\nĐiều 1. Phạm vi\n1. Một\na) điểm a\nđ) điểm đ\n“Điều 9. trong\ntrích dẫn”\nMục 1\nĐiều 2. Hai\nChương II\nĐiều 3. Ba\nNơi nhận:\n- Điều 4. không"
