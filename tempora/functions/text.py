@@ -19,7 +19,7 @@ MARKERS = {
     "condition": ("nếu", "trường hợp", "trừ trường hợp", "if", "unless"),
 }
 #: Verbs that begin an amending command, in the order in which they are tried.
-COMMANDS = (("bai_bo", r"(?i)^\s*bãi bỏ"), ("thay_the", r"(?i)^\s*thay thế"), ("sua_doi_bo_sung", r"(?i)^\s*sửa đổi, bổ sung"), ("bo_sung", r"(?i)^\s*bổ sung"), ("sua_doi", r"(?i)^\s*sửa đổi"))
+COMMANDS = (("bai_bo", r"(?iu)^\s*bãi bỏ"), ("thay_the", r"(?iu)^\s*thay thế"), ("sua_doi_bo_sung", r"(?iu)^\s*sửa đổi, bổ sung"), ("bo_sung", r"(?iu)^\s*bổ sung"), ("sua_doi", r"(?iu)^\s*sửa đổi"))
 
 
 def fold_keep_d(s: Column) -> Column:

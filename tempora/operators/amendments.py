@@ -14,7 +14,7 @@ from tempora.functions.text import COMMANDS
 from tempora.operators.segments import lines_of, quote_mask, quote_spans
 
 _ORDINAL = re.compile(r"^\s*(?:\d+[a-zđ]?[.)]|[a-zđ]\))\s*")
-_BASE = re.compile(r"(?i)(?:của|sửa đổi[^.]*?)\s+(?:thông tư|nghị định|luật|quyết định)\s+(?:số\s+)?(\d+\w*/[\w/-]*\w)")
+_BASE = re.compile(r"(?iu)(?:của|sửa đổi[^.]*?)\s+(?:thông tư|nghị định|luật|quyết định)\s+(?:số\s+)?(\d+\w*/[\w/-]*\w)")
 _VERBS = [(name, re.compile(pattern)) for name, pattern in COMMANDS]
 
 
@@ -60,6 +60,6 @@ class AmendmentEdges:
 
 def amendments(articles: DataFrame) -> DataFrame:
     """Edges of articles (text, source_key, base, valid_from), with the new wording beside its offsets."""
-    wanted = articles.where(F.col("text").rlike("(?i)(bãi bỏ|thay thế|sửa đổi|bổ sung)"))
+    wanted = articles.where(F.col("text").rlike("(?iu)(bãi bỏ|thay thế|sửa đổi|bổ sung)"))
     edges = wanted.lateralJoin(AmendmentEdges(F.col("text").outer(), F.col("source_key").outer(), F.col("base").outer(), F.col("valid_from").outer()).alias("e"))
     return edges.select("e.*", F.substring("text", F.col("e.span_start") + 1, F.col("e.span_end") - F.col("e.span_start")).alias("new_text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tempora.functions.text import marker_groups, number_tokens
 
 #: Roles of articles by their titles, tried in order.
-ROLES = (("scope", r"(?i)phạm vi|scope"), ("subject", r"(?i)đối tượng|subject"), ("definition", r"(?i)giải thích từ ngữ|definition"), ("transition", r"(?i)chuyển tiếp|transition"), ("effect", r"(?i)hiệu lực|effect"))
+ROLES = (("scope", r"(?iu)phạm vi|scope"), ("subject", r"(?iu)đối tượng|subject"), ("definition", r"(?iu)giải thích từ ngữ|definition"), ("transition", r"(?iu)chuyển tiếp|transition"), ("effect", r"(?iu)hiệu lực|effect"))
 
 
 def tier(rules: Sequence[tuple[int, Column]], default: int) -> Column:

@@ -1,12 +1,15 @@
 """Ranking: vectors, BM25 with a phrase clause, weighted reciprocal ranks, fused scores, validity after fusion.
 
-All operators take many queries at once. Vectors are compared by higher-order functions inside the scan; BM25 joins the
-queries' terms with postings by term, and its statistics are aggregates. Queries are a small table by contract: it is
-broadcast where it has at most BROADCAST_QUERIES rows, and joined by shuffle beyond.
+All operators take many queries at once. Vectors meet queries in blocks: items are dealt into slices, queries into blocks
+of QUERY_BLOCK, and each pair of a slice and a block is one matrix product whose best rows leave the task. BM25 explodes the
+tokens where the text is and keeps those that a query has before anything is shuffled. Phrases are looked up by their
+rarest word. Only a table of terms of checked size is broadcast.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from tempora.functions.text import tokens
 K1, B = 1.2, 0.75
 #: Reciprocal ranks: the constant, and the weights of the two branches.
 RRF, DENSE, SPARSE = 60, 1.0, 0.1
-BROADCAST_QUERIES = 1000
+#: Queries and items that meet in one task, and rows of a table that may be broadcast.
+QUERY_BLOCK, ITEM_SLICE, BROADCAST_ROWS = 512, 65_536, 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,16 +35,46 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """The query table, marked for broadcast if its size allows."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def small(rows: DataFrame) -> DataFrame:
+    """A table that is joined by its key, marked for broadcast if its size allows; beyond, it is joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def vector_pool(queries: DataFrame, items: DataFrame, pool: int, metric: str = "cosine") -> DataFrame:
-    """(query, id, score, rank): the pool best items of each query (query, vector); every item meets each stated query once."""
-    score = cosine(F.col("q_vector"), F.col("vector")) if metric == "cosine" else -l2(F.col("q_vector"), F.col("vector"))
-    met = items.select("id", "vector").join(small(queries.select("query", F.col("vector").alias("q_vector"))), F.lit(True))
-    return ranked(met.select("query", "id", F.round(score, 9).alias("score")), pool)
+    """(query, id, score, rank): the pool best items of each query (query, vector), by 'cosine' or 'l2'.
+
+    Every item meets each stated query once, in matrix products of bounded size; vectors of a query's length take part.
+    A vector without length has no cosine.
+    """
+    n_items, n_queries = items.count(), queries.count()
+    slices, blocks = max(1, -(-n_items // ITEM_SLICE)), max(1, -(-n_queries // QUERY_BLOCK))
+    sound = lambda df, key: df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.col(key), F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("wide"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = sound(items, "id").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", upto(blocks))
+    right = sound(queries, "query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("slice", upto(slices))
+    by = ("slice", "block", "wide")
+
+    def best(item: pa.Table, query: pa.Table) -> pa.Table:
+        take_query, take_item, scores = [], [], []
+        if item.num_rows and query.num_rows:
+            x, q = (np.asarray(t["vector"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (item, query))
+            ids = np.asarray(item["id"])
+            if metric == "cosine":
+                norms = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None]
+                score = np.divide(q @ x.T, norms, out=np.full(norms.shape, np.nan), where=norms > 0)
+            else:
+                score = np.stack([-np.sqrt(((x - v) ** 2).sum(1)) for v in q])
+            score = np.round(score, 9)
+            for k, row in enumerate(score):
+                order = np.lexsort((ids, -row))[:pool]
+                order = order[~np.isnan(row[order])]
+                take_query += [k] * len(order)
+                take_item += order.tolist()
+                scores += row[order].tolist()
+        return pa.table({"query": query["query"].take(pa.array(take_query, pa.int64())), "id": item["id"].take(pa.array(take_item, pa.int64())), "score": pa.array(scores, pa.float64())})
+
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double"
+    return ranked(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, kinds), pool)
 
 
 def ranked(scores: DataFrame, pool: int) -> DataFrame:
@@ -49,10 +83,12 @@ def ranked(scores: DataFrame, pool: int) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") < pool)
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """(term, id, tf, dl) of items (id, text)."""
+def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl) of items (id, text), of all terms or of those wanted (term), which are picked before anything is shuffled."""
     words = items.select("id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
-    return words.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = words.select("id", "dl", F.explode("w").alias("term"))
+    rows = rows if wanted is None else rows.join(small(wanted), "term", "left_semi")
+    return rows.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -60,7 +96,7 @@ def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) ->
     terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
     sizes = items.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    lists = postings(items).join(small(wanted), "term")
+    lists = postings(items, wanted)
     df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -70,9 +106,15 @@ def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) ->
 
 def phrase_bonus(queries: DataFrame, items: DataFrame, bonus: float) -> DataFrame:
     """(query, id, score): the bonus where the query's words stand in an item one after the other."""
-    line = lambda c: F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" "))
-    q = queries.select("query", line("text").alias("phrase")).where(F.col("phrase") != "  ")
-    met = items.select("id", line("text").alias("line")).join(small(q), F.expr("contains(line, phrase)"))
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    asked = queries.select("query", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    lists = postings(items, asked.select(F.explode("w").alias("term")).distinct())
+    # A phrase is looked for only in items that have its rarest word; one with a word that no item has is nowhere.
+    df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = asked.select("query", "w", F.explode(F.array_distinct("w")).alias("term")).join(df, "term", "left")
+    rare = words.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rare"), F.first("w").alias("w")).where("rare.df > 0")
+    hits = lists.select("term", "id").join(rare.select("query", line(F.col("w")).alias("phrase"), F.col("rare.term").alias("term")), "term")
+    met = items.select("id", line(tokens(F.col("text"))).alias("line")).join(hits, "id").where(F.expr("contains(line, phrase)"))
     return met.select("query", "id", F.lit(bonus).alias("score"))
 
 

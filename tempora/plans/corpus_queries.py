@@ -40,17 +40,19 @@ def list_member_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(10)
 
 
-@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT unnest(string_split(p_type, ' ')) AS c) WHERE lower(c) = 'steel')")
+@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT unnest(string_split(p_name, ' ')) AS c) WHERE lower(c) = (SELECT lower(min(split_part(p_name, ' ', 1))) FROM part))")
 def list_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose list column has a member, whatever its case."""
-    return table(spark, sf_dir, "part").where(F.exists(F.split("p_type", " "), lambda c: F.lower(c) == F.lower(F.lit("STEEL")))).select("p_partkey")
+    """Rows whose list column has a member, whatever its case: here the first word of all names."""
+    part = table(spark, sf_dir, "part")
+    wanted = part.agg(F.upper(F.min(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("wanted"))
+    return part.join(F.broadcast(wanted), F.exists(F.split("p_name", " "), lambda c: F.lower(c) == F.lower("wanted"))).select("p_partkey")
 
 
-@query("""WITH l AS (SELECT o_orderkey, unnest(range(o_custkey % 50, o_custkey % 50 + 3)) AS doc_id FROM orders)
+@query("""WITH l AS (SELECT o_orderkey, unnest(range(o_orderkey, o_orderkey + 3)) AS doc_id FROM orders)
 SELECT o_orderkey, doc_id, n_chars FROM l JOIN documents USING (doc_id)""")
 def linked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the documents whose ids they list."""
-    base = F.col("o_custkey") % 50
+    base = F.col("o_orderkey")
     links = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.sequence(base, base + 2)).alias("doc_id"))
     return links.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("o_orderkey", "doc_id", "n_chars")
 
@@ -87,13 +89,13 @@ def one_hop_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, event_type, event_id FROM events), b AS (SELECT user_id AS target_doc, event_id % 7 AS source_doc FROM e WHERE event_type = 'error' OR event_id % 11 = 0), r AS (SELECT user_id FROM e WHERE event_type = 'purchase')
+WITH e AS (SELECT user_id, event_type, event_id FROM events), b AS (SELECT user_id AS target_doc, event_id % 7 AS source_doc FROM e WHERE event_type = 'error' OR event_id % 11 = 0), r AS (SELECT user_id FROM e WHERE event_type = 'purchase' AND event_id % 40 = 0)
 SELECT target_doc, array_to_string(list_sort(list(DISTINCT source_doc)), ',') AS repealed_by FROM b WHERE target_doc NOT IN (SELECT user_id FROM r) GROUP BY target_doc""")
 def legislative_void(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is repealed and not replaced, with what repealed it."""
     e = table(spark, sf_dir, "events")
     repeals = e.where("event_type = 'error' OR event_id % 11 = 0").select((F.col("event_id") % 7).alias("source_doc"), F.col("user_id").alias("target_doc"), F.lit("BAI_BO").alias("rel_type"))
-    replaced = e.where("event_type = 'purchase'").select(F.lit(0).cast("long").alias("source_doc"), F.col("user_id").alias("target_doc"), F.lit("THAY_THE").alias("rel_type"))
+    replaced = e.where("event_type = 'purchase' AND event_id % 40 = 0").select(F.lit(0).cast("long").alias("source_doc"), F.col("user_id").alias("target_doc"), F.lit("THAY_THE").alias("rel_type"))
     return G.void(repeals.unionAll(replaced)).select("target_doc", F.array_join(F.transform("repealed_by", lambda x: x.cast("string")), ",").alias("repealed_by"))
 
 
@@ -223,52 +225,66 @@ def url_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slug_title(F.col("url")).alias("title"))
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, ' ' || regexp_replace(CASE doc_id % 6 WHEN 0 THEN 'A bank must not lend; it may refuse if asked.' WHEN 1 THEN 'Customers shall pay unless exempt' WHEN 2 THEN 'Maybe mustard' WHEN 3 THEN 'Tổ chức phải báo cáo' WHEN 4 THEN 'Nghiêm cấm sử dụng nếu chưa được phép' ELSE '' END, '[;.]', ' ', 'g') || ' ' AS s FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'condition,permission,prohibition' WHEN 1 THEN 'condition,obligation' WHEN 3 THEN 'obligation' WHEN 4 THEN 'condition,permission,prohibition' ELSE '' END AS groups FROM d""")
+def _markers_sql() -> str:
+    """The groups by SQL: letters around a marker are told apart by doubling what isn't a letter, as there is no looking behind."""
+    steps, cases, last = [], [], "d"
+    for n, group in enumerate(("prohibition", "obligation", "permission", "condition")):
+        words = "|".join(w.replace(" ", "  ") for w in sorted(T.MARKERS[group], key=len, reverse=True))
+        pattern = rf"([^\p{{L}}\p{{N}}_])({words})([^\p{{L}}\p{{N}}_])"
+        steps.append(rf"g{n} AS (SELECT *, regexp_matches(s, '{pattern}') AS m{n} FROM (SELECT * {'' if n == 0 else 'EXCLUDE (r) REPLACE (r AS s)'} FROM {last})), h{n} AS (SELECT *, regexp_replace(s, '{pattern}', '\1 \3', 'g') AS r FROM g{n})")
+        last = f"h{n}"
+        cases.append(f"CASE WHEN m{n} THEN '{group}' END")
+    return rf"""WITH d AS (SELECT doc_id, '  ' || regexp_replace(lower(text), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || '  ' AS s FROM documents), {", ".join(steps)}
+SELECT doc_id, array_to_string(list_sort(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL)), ',') AS groups FROM {last}"""
+
+
+@query(_markers_sql())
 def modality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deontic groups of a sentence."""
-    said = ["A bank must not lend; it may refuse if asked.", "Customers shall pay unless exempt", "Maybe mustard", "Tổ chức phải báo cáo", "Nghiêm cấm sử dụng nếu chưa được phép", ""]
-    sentence = F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.marker_groups(sentence), ",").alias("groups"))
+    """The deontic groups of every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.marker_groups(F.col("text")), ",").alias("groups"))
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '40/2024/TT-NHNN' WHEN 1 THEN '59/2020/QH14' WHEN 2 THEN '7/2021/NĐ-CP' WHEN 3 THEN '1627/QĐ-NHNN' WHEN 5 THEN '41/2025/TT-NHNN' END AS number,
-  CASE doc_id % 8 WHEN 0 THEN 'TT40-2024' WHEN 1 THEN 'L59-2020' WHEN 2 THEN 'ND7-2021' WHEN 3 THEN 'QD1627-NHNN' WHEN 5 THEN 'TT41-2025' END AS id FROM documents""")
+WITH r AS (SELECT c_custkey, upper(c_custkey || '/' || (1990 + c_nationkey) || '/' || left(c_mktsegment, 2) || '-' || c_mktsegment) AS n, c_nationkey FROM customer)
+SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN NULL ELSE regexp_replace(n, '^0+([0-9])', '\1') END AS number,
+  CASE WHEN c_nationkey = 7 THEN NULL ELSE regexp_extract(n, '/([A-Z]+)-', 1) || regexp_extract(n, '^0*([0-9]+)', 1) || '-' || regexp_extract(n, '/([0-9]{4})/', 1) END AS id FROM r""")
 def official_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Official numbers made canonical, and the ids made of them."""
-    raw = ["40 / 2024/TT-NHNN", "59/2020/QH14", "07/2021/nđ-cp", "1627/QĐ-NHNN", "no number", "41/2025/ТТ-NHNN", "40/2024/TT-", ""]
-    number = T.official_number(F.element_at(F.array(*map(F.lit, raw)), (F.col("doc_id") % 8 + 1).cast("int")))
-    return table(spark, sf_dir, "documents").select("doc_id", number.alias("number"), T.doc_id_of(number).alias("id"))
+    """Official numbers written with spaces, leading zeros and small letters, made canonical, and the ids made of them."""
+    c = table(spark, sf_dir, "customer")
+    raw = F.concat(F.lit("0"), F.col("c_custkey").cast("string"), F.lit(" / "), (1990 + F.col("c_nationkey")).cast("string"), F.lit("/"), F.lower(F.left("c_mktsegment", F.lit(2))), F.lit("-"), F.lower("c_mktsegment"))
+    number = T.official_number(F.when(F.col("c_nationkey") == 7, F.concat(raw, F.lit("-"))).otherwise(raw))
+    return c.select("c_custkey", number.alias("number"), T.doc_id_of(number).alias("id"))
 
 
-@query(r"""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'dieu khoan đat đai' WHEN 1 THEN 'truong hop' WHEN 2 THEN 'nguoi su dung' ELSE 'uy ban' END AS kept, CASE doc_id % 4 WHEN 0 THEN 'dieu khoan dat dai' WHEN 1 THEN 'truong hop' WHEN 2 THEN 'nguoi su dung' ELSE 'uy ban' END AS folded FROM documents""")
+@query(f"""SELECT doc_id, md5(translate(lower(text), '{T._MARKED}', '{T._PLAIN}')) AS kept, md5(replace(translate(lower(text), '{T._MARKED}', '{T._PLAIN}'), 'đ', 'd')) AS folded FROM documents""")
 def accent_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two foldings of accents: one keeps đ, one doesn't."""
-    said = F.element_at(F.array(*map(F.lit, ["Điều khoản đất đai", "TRƯỜNG HỢP", "Người sử dụng", "Ủy ban"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    said = F.when(F.col("doc_id") % 4 == 0, F.replace(said, F.lit("Điều"), F.lit("dieu"))).otherwise(said)
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold_keep_d(said).alias("kept"), T.fold_all(said).alias("folded"))
+    """Two foldings of accents in every text, as digests: one keeps đ, one doesn't."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_keep_d(F.col("text"))).alias("kept"), F.md5(T.fold_all(F.col("text"))).alias("folded"))
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'N#than/dieu_3' WHEN 1 THEN 'N#than/dieu_3#khoan_2' WHEN 2 THEN 'N#than/dieu_3' WHEN 3 THEN 'N#than/dieu_3' WHEN 5 THEN 'N#than/dieu_30' END AS key,
-  CASE doc_id % 7 WHEN 0 THEN 'Điều 3 N' WHEN 1 THEN 'khoản 2 Điều 3 N' WHEN 2 THEN 'Điều 3 N' WHEN 3 THEN 'Điều 3 N' WHEN 5 THEN 'Điều 30 N' END AS cited, doc_id % 7 IN (0, 1, 2, 3, 4) AS under_3 FROM documents""")
+WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 40 AS a, l_quantity::INTEGER AS c, l_returnflag AS f, 'N' || l_suppkey AS number FROM lineitem)
+SELECT l_orderkey, l_linenumber, number || '#than/dieu_' || a || CASE WHEN f = 'N' THEN '#khoan_' || c ELSE '' END AS key,
+  CASE WHEN f = 'N' THEN 'khoản ' || c || ' ' ELSE '' END || 'Điều ' || a || ' ' || number AS cited, a = 3 AS under_3 FROM l""")
 def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node keys of chunk ids, their citations, and prefixes at a boundary."""
-    labels = ["Điều 3", "Điều 3 Khoản 2", "Điều 3 Khoản 1-6", "Điều 3 Khoản 2 (2)", "Điều 3 (phần 2)", "Điều 30", "Phụ lục"]
-    label = F.element_at(F.array(*map(F.lit, labels)), (F.col("doc_id") % 7 + 1).cast("int"))
-    key = K.node_key(F.concat(F.lit("D::"), label), F.lit("N"))
-    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), F.when(key.isNotNull(), K.citation(key)).alias("cited"), K.prefix_at(label, F.lit("Điều 3"), " ").alias("under_3"))
+    """Node keys of chunk ids (articles, clauses, merged clauses), their citations, and prefixes at a boundary."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    text = lambda c: c.cast("int").cast("string")
+    article, clause = F.concat(F.lit("Điều "), text(F.col("l_orderkey") % 40)), text(F.col("l_quantity"))
+    label = F.when(F.col("l_returnflag") == "A", article).when(F.col("l_returnflag") == "N", F.concat(article, F.lit(" Khoản "), clause)).otherwise(F.concat(article, F.lit(" Khoản "), clause, F.lit("-99")))
+    key = K.node_key(F.concat(text(F.col("l_partkey")), F.lit("::"), label), F.concat(F.lit("N"), text(F.col("l_suppkey"))))
+    return l.select("l_orderkey", "l_linenumber", key.alias("key"), K.citation(key).alias("cited"), K.prefix_at(label, F.lit("Điều 3"), " ").alias("under_3"))
 
 
 @query(r"""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'sua_doi_bo_sung' WHEN 1 THEN 'bai_bo' WHEN 2 THEN 'thay_the' WHEN 3 THEN 'bo_sung' END AS op FROM documents""")
+WITH s AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'Sửa đổi, bổ sung ' WHEN 'de' THEN '  BÃI BỎ ' WHEN 'fr' THEN 'Thay thế ' WHEN 'es' THEN 'bổ sung ' ELSE '' END || coalesce(text, '') AS s FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(lower(s), '^\s*bãi bỏ') THEN 'bai_bo' WHEN regexp_matches(lower(s), '^\s*thay thế') THEN 'thay_the' WHEN regexp_matches(lower(s), '^\s*sửa đổi, bổ sung') THEN 'sua_doi_bo_sung'
+  WHEN regexp_matches(lower(s), '^\s*bổ sung') THEN 'bo_sung' WHEN regexp_matches(lower(s), '^\s*sửa đổi') THEN 'sua_doi' END AS op FROM s""")
 def command_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operation that a command begins with."""
-    said = ["Sửa đổi, bổ sung Điều 3", "  Bãi bỏ khoản 2", "Thay thế cụm từ", "Bổ sung Điều 5a", "Điều 3 được sửa đổi"]
-    return table(spark, sf_dir, "documents").select("doc_id", T.command_verb(F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 5 + 1).cast("int"))).alias("op"))
+    """The operation that a text commands: every text, behind a verb that follows from its language."""
+    lang = F.col("lang")
+    said = F.when(lang == "en", "Sửa đổi, bổ sung ").when(lang == "de", "  BÃI BỎ ").when(lang == "fr", "Thay thế ").when(lang == "es", "bổ sung ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", T.command_verb(F.concat(said, F.coalesce("text", F.lit("")))).alias("op"))
 
 
 @query(r"""
@@ -303,10 +319,15 @@ def partition_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("p_brand", proof["missing"].alias("missing"), proof["foreign"].alias("foreign_values"), proof["repeated"].alias("repeated"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, replace('Điều 1. ' || source || chr(10) || '1. ' || text, '"', '''') AS first FROM documents),
+u AS (SELECT doc_id, 'Điều 1' AS article, regexp_replace(first, '\s+$', '') AS body, 9 AS char_start FROM d UNION ALL SELECT doc_id, 'Điều 2', 'Điều 2. End' || chr(10) || '“Điều 9. quoted”', 9 + length(first) + 1 FROM d)
+SELECT doc_id, article, 'Chương I' AS chapter, char_start::INTEGER AS char_start, (char_start + length(body))::INTEGER AS char_end, md5(body) AS body, true AS exact FROM u""")
 def article_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as an amending text of articles, split with exact offsets; spans that don't give their text back are none."""
-    body = F.concat(F.lit("Chương I\nĐiều 1. "), F.col("source"), F.lit("\n1. "), F.left("text", F.lit(300)), F.lit("\nĐiều 2. End\n“Điều 9. quoted”\nNơi nhận:\n- x"))
+    """Every document, whole, inside an amending text of articles, split with exact offsets."""
+    body = F.concat(F.lit("Chương I\nĐiều 1. "), F.col("source"), F.lit("\n1. "), F.col("text"), F.lit("\nĐiều 2. End\n“Điều 9. quoted”\nNơi nhận:\n- x"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(body, F.lit('"'), F.lit("'")).alias("whole"))
     S.register(spark)
-    return docs.lateralJoin(S.SplitArticles(F.col("whole").outer())).select("doc_id", "article", "chapter", "char_start", "char_end", (F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("body")).alias("exact"))
+    split = docs.lateralJoin(S.SplitArticles(F.col("whole").outer()))
+    exact = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("body")
+    return split.select("doc_id", "article", "chapter", "char_start", "char_end", F.md5("body").alias("body"), exact.alias("exact"))

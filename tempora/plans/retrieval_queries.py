@@ -40,7 +40,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_VQ}, s AS (SELECT query, vec_id AS id, -round(list_distance(qv::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM q, embeddings)
-SELECT query, id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1)::INTEGER AS rank FROM s QUALIFY rank < 15""")
+SELECT query, id, round(score, 6) + 0.0 AS score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1)::INTEGER AS rank FROM s QUALIFY rank < 15""")
 def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors by Euclidean distance."""
     return R.vector_pool(*_vector_queries(spark, sf_dir), 15, "l2").select("query", "id", F.round("score", 6).alias("score"), "rank")
@@ -62,17 +62,18 @@ def phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.phrase_bonus(*_texts(spark, sf_dir), 2.0)
 
 
-_BRANCHES = f"""{_COS}, s AS (SELECT vec_id AS query, doc_id AS id, round(1.0 / (1 + abs(n_chars - 20 * vec_id)), 9) AS score FROM documents, (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) WHERE doc_id % 3 <> 0),
-sr AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM s)"""
+_BRANCHES = f"""dv AS (SELECT vec_id, embedding FROM embeddings), hq AS (SELECT item_id AS query, embedding AS qv FROM benchmark JOIN dv ON vec_id = item_id),
+dense AS (SELECT query, vec_id AS id, round(list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM hq, dv),
+dr AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM dense),
+{_BM}, sr AS (SELECT query, id, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm)"""
 
 
 def _branches(spark: SparkSession, sf_dir: str, pool: int = 15) -> tuple[DataFrame, DataFrame]:
-    """A vector branch, and one that ranks documents by how near their length is to a wanted one."""
-    queries, items = _vector_queries(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "n_chars")
-    score = F.round(1.0 / (1 + F.abs(F.col("n_chars") - 20 * F.col("query"))), 9)
-    sparse = docs.join(R.small(queries.select("query")), F.lit(True)).select("query", "id", score.alias("score"))
-    return R.vector_pool(queries, items, pool), R.ranked(sparse, pool)
+    """A vector branch and a BM25 branch of every benchmark text, each over all its table."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked, docs = _texts(spark, sf_dir)
+    queries = asked.select("query").join(vectors.select(F.col("id").alias("query"), "vector"), "query")
+    return R.vector_pool(queries, vectors, pool), R.ranked(R.bm25(asked, docs).withColumn("score", F.round("score", 9)), pool)
 
 
 @query(f"""WITH {_BRANCHES}, u AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM dr WHERE rank < 15 UNION ALL SELECT query, id, 0.1 / (60 + rank) FROM sr WHERE rank < 15)

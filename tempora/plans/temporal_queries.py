@@ -237,14 +237,15 @@ def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lead("role", 1).over(w).alias("next_role"), F.lead("role", 2).over(w).alias("then_role"))
 
 
-@query("""
-WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '2024-02-29' WHEN 1 THEN '2024-02-30' WHEN 2 THEN '' WHEN 3 THEN '2024-7-1' WHEN 4 THEN '2023-12-31 ' END AS raw,
-  CASE doc_id % 3 WHEN 0 THEN '31/12/2023' WHEN 1 THEN '1/2/2024' ELSE '99/99/2024' END AS dmy FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN DATE '2024-02-29' WHEN 4 THEN DATE '2023-12-31' END AS day, CASE WHEN regexp_matches(dmy, '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') THEN substr(dmy, 7) || '-' || substr(dmy, 4, 2) || '-' || left(dmy, 2) END AS iso,
-  CASE doc_id % 6 WHEN 0 THEN '2024-02-28' WHEN 4 THEN '2023-12-30' END AS eve FROM d""")
+@query(r"""
+WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d/%m/%Y') AS dmy, o_orderpriority AS p FROM orders),
+r AS (SELECT o_orderkey, CASE left(p, 1) WHEN '1' THEN iso || ' ' WHEN '2' THEN replace(iso, '-', '/') WHEN '3' THEN left(iso, 8) || '31' WHEN '4' THEN '' ELSE iso END AS raw, CASE left(p, 1) WHEN '5' THEN '9' || dmy ELSE dmy END AS dmy FROM d)
+SELECT o_orderkey, CASE WHEN regexp_full_match(trim(raw), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(trim(raw) AS DATE) END AS day,
+  CASE WHEN regexp_full_match(dmy, '[0-9]{2}/[0-9]{2}/[0-9]{4}') THEN substr(dmy, 7) || '-' || substr(dmy, 4, 2) || '-' || left(dmy, 2) END AS iso,
+  CASE WHEN regexp_full_match(trim(raw), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN strftime(TRY_CAST(trim(raw) AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') END AS eve FROM r""")
 def date_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tolerant ISO dates, day-first dates whose shape alone is checked, and the day before."""
-    m = F.col("doc_id") % 6
-    raw = F.when(m == 0, "2024-02-29").when(m == 1, "2024-02-30").when(m == 2, "").when(m == 3, "2024-7-1").when(m == 4, "2023-12-31 ")
-    dmy = F.when(F.col("doc_id") % 3 == 0, "31/12/2023").when(F.col("doc_id") % 3 == 1, "1/2/2024").otherwise("99/99/2024")
-    return table(spark, sf_dir, "documents").select("doc_id", V.parse_date(raw).alias("day"), V.day_first(dmy).alias("iso"), V.day_before(raw).alias("eve"))
+    """Tolerant ISO dates (some with blanks, slashes, days that don't exist), day-first dates of the right shape, and the day before."""
+    iso, dmy, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.left("o_orderpriority", F.lit(1))
+    raw = F.when(kind == "1", F.concat(iso, F.lit(" "))).when(kind == "2", F.replace(iso, F.lit("-"), F.lit("/"))).when(kind == "3", F.concat(F.left(iso, F.lit(8)), F.lit("31"))).when(kind == "4", "").otherwise(iso)
+    said = F.when(kind == "5", F.concat(F.lit("9"), dmy)).otherwise(dmy)
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.parse_date(raw).alias("day"), V.day_first(said).alias("iso"), V.day_before(raw).alias("eve"))
