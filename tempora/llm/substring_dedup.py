@@ -1,13 +1,14 @@
 """Substring deduplication with a count-min prefilter.
 
-Documents are dealt into blocks. Every block sketches its windows of `window` words; the sketches, cut into shards of the
-hash range, are merged by a shuffle, and each block gets back which of its sketch cells more than one block touched. A
-window whose cells all came back is estimated repeated: the estimate can be too high, never too low, so that none is
-lost. A second pass groups just those windows exactly, by 96 bits of hash, and tells each block which of its windows
+Documents are dealt into blocks. Every block counts its windows of `window` words in a count-min sketch; the sketches, cut
+into shards of the hash range, are added up by a shuffle, and each block gets back which of its cells count more than it put
+there itself. A window all of whose cells do is estimated repeated elsewhere: the estimate can be too high, never too low,
+so that none is lost. A second pass groups just those windows exactly, by 96 bits of hash, and tells each block which of its windows
 start in a smaller document elsewhere. Repeats inside a block are settled there.
 
-Only packed integers travel besides the text, which is dealt out once. Both counts, blocks and shards, grow with the
-input; a passage that a third of all documents share is one entry a block.
+Only packed integers travel besides the text, which is dealt out once, by a hash of the whole row, so that an id that many
+rows have is no hot key. Both counts, blocks and shards, grow with the input; a passage that a third of all documents share
+is one entry a block.
 """
 
 from __future__ import annotations
@@ -68,6 +69,7 @@ class _Block:
         self.least = np.minimum.reduceat(self.window_id[by], heads) if len(heads) else np.zeros(0, np.int64)
         self.group = np.empty(len(by), np.int64)
         self.group[by] = np.cumsum(new) - 1
+        self.times = np.diff(np.append(heads, len(by))).astype(np.uint64)
         shard = (self.h1 >> U64(32)) * U64(shards) >> U64(32)
         self.bounds = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
@@ -79,8 +81,13 @@ class _Block:
     def cells(self, a: int, b: int, row: int) -> np.ndarray:
         return mix(self.h1[a:b] ^ _ROWS[row]) >> U64(64 - CELL_BITS)
 
+    def counts(self, a: int, b: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, windows counted in each) of one row of the sketch."""
+        cells, inverse = np.unique(self.cells(a, b, row), return_inverse=True)
+        return cells, np.bincount(inverse, self.times[a:b].astype(np.float64), len(cells)).astype(np.uint64)
+
     def repeated(self, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
-        """Of each distinct window, whether the merged sketch estimates that several blocks have it."""
+        """Of each distinct window, whether the merged sketch estimates that another block has it."""
         out = np.ones(len(self.h1), bool)
         for s, a, b in self.shards():
             for row in (0, 1):
@@ -108,25 +115,32 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows, size = text_size(docs, text_col)
     blocks = max(1, min(rows, -(-size // block_bytes)))
     shards = max(1, -(-size // (6 * SHARD_WINDOWS)))
-    dealt = docs.select(*dict.fromkeys((id_col, text_col, *keep)), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(BLOCK))
+    dealt = docs.select(*dict.fromkeys((id_col, text_col, *keep)), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias(BLOCK))
     grouped = dealt.groupBy(BLOCK)
 
     def sketch(table: pa.Table) -> pa.Table:
         block, out = _Block(table, id_col, text_col, window, shards), []
         key = table[BLOCK][0].as_py()
         for s, a, b in block.shards():
-            out.append((key, s, 0, *(pack_sorted(np.unique(block.cells(a, b, row))) for row in (0, 1)), b""))
+            (x, n), (y, m) = (block.counts(a, b, row) for row in (0, 1))
+            out.append((key, s, 0, pack_sorted(x), pack_sorted(y), pack(np.concatenate([n, m]))))
         return _rows(_SKETCH, out)
 
     def merge(table: pa.Table) -> pa.Table:
         answers: list[list] = [[k, s, 1, b"", b"", b""] for k, s in zip(table[BLOCK].to_pylist(), table["shard"].to_pylist(), strict=True)]
         for row, column in enumerate(("x", "y")):
-            touched = np.zeros(1 << CELL_BITS, np.uint8)
-            for value in table[column]:
-                cells = unpack_sorted(value.as_py())
-                touched[cells] += touched[cells] < 2
-            for answer, value in zip(answers, table[column], strict=True):
-                answer[3 + row] = np.packbits(touched[unpack_sorted(value.as_py())] >= 2).tobytes()
+            total = np.zeros(1 << CELL_BITS, np.uint32)
+
+            def own(cells: pa.Scalar, counts: pa.Scalar, row: int = row) -> tuple[np.ndarray, np.ndarray]:
+                cells, counts = unpack_sorted(cells.as_py()), unpack(counts.as_py())
+                return cells, counts[len(counts) - len(cells) :] if row else counts[: len(cells)]
+
+            for value, counts in zip(table[column], table["z"], strict=True):
+                cells, n = own(value, counts)
+                total[cells] += n.astype(np.uint32)
+            for answer, value, counts in zip(answers, table[column], table["z"], strict=True):
+                cells, n = own(value, counts)
+                answer[3 + row] = np.packbits(total[cells] > n).tobytes()
         return _rows(_SKETCH, answers)
 
     def answered(table: pa.Table) -> dict[int, tuple[bytes, bytes]]:
