@@ -57,3 +57,47 @@ def resolved_chunks(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     longer = rest.select("claim", F.explode(cut).alias("id")).join(chunks.select("id"), "id")
     one = longer.groupBy("claim").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("claim", "id")
     return exact.select("claim", "id").unionAll(one)
+
+
+#: Groups of markers that a claim may not add of its own.
+HARD = ("obligation", "prohibition")
+
+
+def invented(claim: Column, source: Column) -> Column:
+    """Hard groups that a claim has and its source hasn't."""
+    return F.array_intersect(F.array_except(marker_groups(claim), marker_groups(source)), F.array(*map(F.lit, HARD)))
+
+
+def effect_date(text: Column) -> Column:
+    """The day on which a text says it takes effect, or null."""
+    pattern = r"(?iu)có hiệu lực(?: thi hành)?(?: kể)? từ ngày (\d{1,2}) tháng (\d{1,2}) năm (\d{4})"
+    part = lambda n: F.regexp_extract(text, pattern, n)
+    return F.when(part(3) != "", F.try_to_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd"))
+
+
+def unit_class(text: Column, title: Column) -> tuple[Column, Column]:
+    """(class, path) of a unit: gates by role or effect date, then norms by their markers, then definitions, else a premise.
+
+    path names the tests that were tried, in order, the last being the one that decided.
+    """
+    groups, own = marker_groups(text), role(title)
+    tests = (
+        ("gate", own.isin("scope", "subject", "effect", "transition") | effect_date(text).isNotNull()),
+        ("definition", own == "definition"),
+        ("actor", F.arrays_overlap(groups, F.array(*map(F.lit, ("obligation", "prohibition", "permission"))))),
+        ("condition", F.array_contains(groups, "condition")),
+    )
+    kind, path = F.lit("premise"), F.array(*(F.lit(n) for n, _ in tests), F.lit("premise"))
+    for i in reversed(range(len(tests))):
+        name, holds = tests[i]
+        kind = F.when(holds, name).otherwise(kind)
+        path = F.when(holds, F.array(*(F.lit(n) for n, _ in tests[: i + 1]))).otherwise(path)
+    return kind, path
+
+
+def compared_conditions(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(id, point, state) of conditions on either side: 'same', 'different', 'extra' or 'lost', for records that both sides have."""
+    ids = predicted.select("id").intersect(gold.select("id"))
+    p, g = predicted.join(ids, "id", "left_semi").withColumnRenamed("value", "p"), gold.join(ids, "id", "left_semi").withColumnRenamed("value", "g")
+    state = F.when(F.col("g").isNull(), "extra").when(F.col("p").isNull(), "lost").when(F.col("p") == F.col("g"), "same").otherwise("different")
+    return p.join(g, ["id", "point"], "full").select("id", "point", state.alias("state"))

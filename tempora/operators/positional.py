@@ -87,3 +87,13 @@ def out_of_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nu
     """Rows whose number is below that of the row before them in the group."""
     before = F.lag(number).over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("before", before).where(F.col(number) < F.col("before"))
+
+
+def sequence_faults(units: DataFrame, keys: Sequence[str], order: Sequence[Column], number: str) -> DataFrame:
+    """(keys, fault, number) of numbered units: 'repeated', 'out_of_order' (below the one before) and 'missing' between least and greatest."""
+    keys = list(keys)
+    repeated = units.groupBy(*keys, number).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("repeated").alias("fault"), number)
+    behind = out_of_order(units, keys, order, number).select(*keys, F.lit("out_of_order"), number)
+    sets = units.groupBy(*keys).agg(F.collect_set(number).alias("xs"))
+    absent = sets.select(*keys, F.lit("missing"), F.explode(missing_numbers(F.col("xs"))).alias(number))
+    return repeated.unionAll(behind).unionAll(absent)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.text import tokens
+from tempora.operators.graph import expansion
 
 K1, B = 1.2, 0.75
 #: Reciprocal ranks: the constant, and the weights of the two branches.
@@ -170,3 +171,27 @@ def sweep(dense: DataFrame, sparse: DataFrame, weights: list[float]) -> DataFram
     part = F.when(F.col("branch") == 0, F.lit(DENSE)).otherwise(F.col("weight")) / (RRF + F.col("rank"))
     met = both.join(F.broadcast(grid), F.lit(True)).where((F.col("branch") == 0) | (F.col("weight") > 0))
     return met.groupBy("weight", "query", "id").agg(F.sum(part).alias("score"))
+
+
+def graph_augmented(queries: DataFrame, items: DataFrame, edges: DataFrame, valid: Column, k: int = 6, extra: int = 3, sparse_weight: float = SPARSE) -> DataFrame:
+    """(query, id, part, place): the hybrid's hits, then up to `extra` more from the documents one edge away from theirs.
+
+    queries: (query, text, vector); items: (id, doc, text, vector, ...). The neighbours are ranked like a scoped search of
+    their own, each query within its own scope: pairs of a query and an item meet by document, not all with all.
+    """
+    base = hybrid(queries, items, valid, k, sparse_weight)
+    seeds = base.join(items.select("id", "doc"), "id").select("query", F.col("doc").alias("id")).distinct()
+    near = expansion(edges, seeds).select("query", F.col("id").alias("doc"))
+    pool = max(2 * extra, 8)
+    scope = near.join(items.select("id", "doc", "vector"), "doc").join(queries.select("query", F.col("vector").alias("q")), "query")
+    scored = scope.select("query", "id", F.round(cosine(F.col("q"), F.col("vector")), 9).alias("dense")).join(bm25(queries, items).select("query", "id", F.round("score", 9).alias("sparse")), ["query", "id"], "left")
+    at = lambda name: F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last(name), "id")) - 1
+    both = scored.withColumns({"d": at("dense"), "s": at("sparse")})
+    part = lambda rank, weight, has: F.when(has & (F.col(rank) < pool), weight / (RRF + F.col(rank)))
+    both = both.withColumns({"d_part": part("d", DENSE, F.lit(True)), "s_part": part("s", sparse_weight, F.col("sparse").isNotNull())}).where("d_part IS NOT NULL OR s_part IS NOT NULL")
+    seen = F.least(F.when(F.col("d_part").isNotNull(), F.col("d")), F.when(F.col("s_part").isNotNull(), 1_000_000 + F.col("s")))
+    both = both.select("query", "id", (F.coalesce("d_part", F.lit(0.0)) + F.coalesce("s_part", F.lit(0.0))).alias("score"), seen.alias("first_seen")).join(items.where(valid).select("id"), "id", "left_semi")
+    more = both.join(base.select("query", "id"), ["query", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_seen"))
+    more = more.withColumn("place", place).where(F.col("place") <= extra)
+    return base.select("query", "id", F.lit("base").alias("part"), "place").unionAll(more.select("query", "id", F.lit("extra"), "place"))

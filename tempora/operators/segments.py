@@ -246,3 +246,32 @@ def register(spark) -> None:
 def broken_spans(units_of: DataFrame, text: str, unit: str) -> DataFrame:
     """Units whose offsets don't give their text back: has no rows where all is well."""
     return units_of.where(F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col(unit))
+
+
+def whole_documents(units_of: DataFrame, doc: str, text: str, unit: str) -> DataFrame:
+    """(doc) of documents all of whose units give their text back at their offsets: one that doesn't rejects its document."""
+    same = F.coalesce(F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col(unit), F.lit(False))
+    return units_of.groupBy(doc).agg(F.bool_and(same).alias("ok")).where("ok").select(doc)
+
+
+def provenance(edges: DataFrame, articles_of: DataFrame, texts: DataFrame) -> DataFrame:
+    """edges (doc, span_start, span_end, ...) with the article that holds their span, the first by offset, and the text of the span.
+
+    articles_of: (doc, article, char_start, char_end); texts: (doc, text). Spans meet articles of their document only.
+    """
+    a = articles_of.select(F.col("doc"), F.col("article"), F.col("char_start").alias("a0"), F.col("char_end").alias("a1"))
+    met = edges.join(a, "doc").where((F.col("a0") <= F.col("span_start")) & (F.col("span_end") <= F.col("a1")))
+    holds = met.groupBy("doc", "span_start", "span_end").agg(F.min_by("article", "a0").alias("article"))
+    said = F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+    return edges.join(holds, ["doc", "span_start", "span_end"], "left").join(texts.select("doc", "text"), "doc", "left").withColumn("span_text", said).drop("text")
+
+
+def grounded(claims: DataFrame, units_of: DataFrame) -> DataFrame:
+    """(id, start, end) of claims (id, uids array, quote) over units (id, uid, start, end, text): the hull of the units, narrowed
+    to the quote where it stands in one of them; null where a unit doesn't exist or none is named."""
+    named = claims.select("id", "quote", F.size(F.array_distinct("uids")).alias("n"), F.explode(F.array_distinct("uids")).alias("uid"))
+    met = named.join(units_of, ["id", "uid"])
+    at = F.when(F.coalesce(F.col("quote"), F.lit("")) != "", F.nullif(F.instr(F.col("text"), F.col("quote")), F.lit(0)))
+    spans = met.withColumn("at", F.col("start") + at - 1).groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("found"), F.min("start").alias("a"), F.max("end").alias("b"), F.min("at").alias("q"), F.first(F.char_length("quote")).alias("long"))
+    ok = spans.where("n = found").select("id", F.coalesce("q", "a").alias("start"), F.when(F.col("q").isNotNull(), F.col("q") + F.col("long")).otherwise(F.col("b")).alias("end"))
+    return claims.select("id").join(ok, "id", "left")

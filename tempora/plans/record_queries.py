@@ -9,10 +9,11 @@ from tempora.functions import labels as L
 from tempora.functions import spans as S
 from tempora.functions import temporal as V
 from tempora.operators import evaluation as E
-from tempora.operators import graph as G
+from tempora.operators import normative as N
+from tempora.operators import positional as P
 from tempora.operators import records as C
 from tempora.operators import reports as A
-from tempora.operators import retrieval as R
+from tempora.operators import segments as X
 from tempora.plans.catalog import query
 from tempora.session import table
 
@@ -320,3 +321,66 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document would be embedded, as a digest."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.embedding_text(F.concat(F.lit("Doc "), _s("doc_id")), F.col("source"), F.col("text"))).alias("said"))
+
+
+_LINES = "l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line, (length(array_to_string(ls[1:i - 1], chr(10))) + CASE WHEN i > 1 THEN 1 ELSE 0 END)::INTEGER AS start FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, len(ls) + 1) r(i))"
+
+
+@query("""WITH r AS (SELECT l_orderkey, 'repeated' AS fault, l_suppkey % 9 AS number FROM lineitem GROUP BY l_orderkey, l_suppkey % 9 HAVING count(*) > 1), o AS (SELECT l_orderkey, 'out_of_order' AS fault, number FROM (SELECT l_orderkey, l_suppkey % 9 AS number, lag(l_suppkey % 9) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE number < b),
+s AS (SELECT l_orderkey, list(DISTINCT l_suppkey % 9) AS xs FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, 'missing' AS fault, unnest(list_filter(range(list_min(xs), list_max(xs) + 1), lambda x: NOT list_contains(xs, x))) AS number FROM s)
+SELECT * FROM r UNION ALL SELECT * FROM o UNION ALL SELECT * FROM m""")
+def sequence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that repeat, run backwards or are missing in each list."""
+    l = table(spark, sf_dir, "lineitem").withColumn("number", F.col("l_suppkey") % 9)  # noqa: E741
+    return P.sequence_faults(l, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "number")
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE line_no = 1 AND line LIKE '%e%')")
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose units all give their text back; second lines with an e are broken first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    units = P.lines_with_offsets(docs, "text").withColumns({"char_start": F.col("start"), "char_end": F.col("start") + F.char_length("line")})
+    broken = (F.col("line_no") == 1) & F.col("line").contains("e")
+    return X.whole_documents(units.withColumn("line", F.when(broken, F.concat("line", F.lit("x"))).otherwise(F.col("line"))), "doc_id", "text", "line")
+
+
+@query(f"WITH {_LINES}, e AS (SELECT doc_id AS doc, (n_chars // 3)::INTEGER AS span_start, (n_chars // 3 + 12)::INTEGER AS span_end, text FROM documents) SELECT doc, span_start, span_end, min(l.line_no)::INTEGER AS article, substr(text, span_start + 1, 12) AS span_text FROM e LEFT JOIN l ON l.doc_id = doc AND l.start <= span_start AND span_end <= l.start + length(l.line) GROUP BY ALL")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit that holds each span, and the span's text."""
+    docs = table(spark, sf_dir, "documents")
+    a = F.floor(F.col("n_chars") / 3).cast("int")
+    edges = docs.select(F.col("doc_id").alias("doc"), a.alias("span_start"), (a + 12).alias("span_end"))
+    lines = P.lines_with_offsets(docs.select(F.col("doc_id").alias("doc"), "text"), "text").select("doc", F.col("line_no").alias("article"), F.col("start").alias("char_start"), (F.col("start") + F.char_length("line")).alias("char_end"))
+    return X.provenance(edges, lines, docs.select(F.col("doc_id").alias("doc"), "text")).select("doc", "span_start", "span_end", "article", "span_text")
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'the' ELSE '' END AS quote FROM documents), h AS (SELECT doc_id, count(*) AS n, min(start) AS a, max(start + length(line)) AS b, min(CASE WHEN quote <> '' AND contains(line, quote) THEN start + strpos(line, quote) - 1 END) AS q FROM l JOIN c USING (doc_id) WHERE line_no < 2 GROUP BY doc_id)
+SELECT c.doc_id AS id, CASE WHEN n = 2 THEN coalesce(q, a) END::INTEGER AS start, CASE WHEN n = 2 THEN CASE WHEN q IS NOT NULL THEN q + 3 ELSE b END END::INTEGER AS "end" FROM c LEFT JOIN h USING (doc_id)""")
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span of the units that a claim names, narrowed to its quote; null where one doesn't exist."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    units = P.lines_with_offsets(docs, "text").select("id", F.col("line_no").alias("uid"), "start", (F.col("start") + F.char_length("line")).alias("end"), F.col("line").alias("text"))
+    claims = docs.select("id", F.array(F.lit(0), F.lit(1), F.lit(1)).alias("uids"), F.when(F.col("id") % 2 == 0, "the").otherwise("").alias("quote"))
+    return X.grounded(claims, units)
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Phạm vi điều chỉnh' WHEN p_size % 5 = 1 THEN 'Giải thích từ ngữ' ELSE p_name END AS title, CASE WHEN p_size % 3 = 0 THEN 'Ngân hàng phải ' WHEN p_size % 3 = 1 THEN 'nếu ' ELSE '' END || p_type || CASE WHEN p_size % 7 = 0 THEN ' có hiệu lực từ ngày ' || (p_size % 28 + 1) || ' tháng 2 năm 2024' ELSE '' END AS s, p_size FROM part)
+SELECT p_partkey, CASE WHEN contains(title, 'Phạm vi') OR contains(s, 'hiệu lực') THEN 'gate' WHEN contains(title, 'Giải thích') THEN 'definition' WHEN contains(s, 'phải') THEN 'actor' WHEN contains(s, 'nếu') THEN 'condition' ELSE 'premise' END AS kind, CASE WHEN contains(s, 'hiệu lực') THEN make_date(2024, 2, p_size % 28 + 1) END AS effect FROM t""")
+def unit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as gates, definitions, norms, conditions or premises, and the day that they take effect."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    title = F.when(size % 5 == 0, "Phạm vi điều chỉnh").when(size % 5 == 1, "Giải thích từ ngữ").otherwise(F.col("p_name"))
+    lead = F.when(size % 3 == 0, "Ngân hàng phải ").when(size % 3 == 1, "nếu ").otherwise("")
+    day = F.when(size % 7 == 0, F.concat(F.lit(" có hiệu lực từ ngày "), _s(size % 28 + 1), F.lit(" tháng 2 năm 2024"))).otherwise("")
+    said = F.concat(lead, F.col("p_type"), day)
+    return p.select("p_partkey", N.unit_class(said, title)[0].alias("kind"), N.effect_date(said).alias("effect"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS point, l_quantity AS v FROM lineitem WHERE l_suppkey % 4 <> 0), g AS (SELECT l_orderkey AS id, l_linenumber AS point, CASE WHEN l_partkey % 5 = 0 THEN l_quantity + 1 ELSE l_quantity END AS v FROM lineitem WHERE l_partkey % 3 <> 0),
+k AS (SELECT id FROM p INTERSECT SELECT id FROM g), j AS (SELECT coalesce(p.id, g.id) AS id, coalesce(p.point, g.point) AS point, p.v AS a, g.v AS b FROM (SELECT * FROM p WHERE id IN (SELECT id FROM k)) p FULL JOIN (SELECT * FROM g WHERE id IN (SELECT id FROM k)) g ON p.id = g.id AND p.point = g.point)
+SELECT CASE WHEN b IS NULL THEN 'extra' WHEN a IS NULL THEN 'lost' WHEN a = b THEN 'same' ELSE 'different' END AS state, count(*)::BIGINT AS n FROM j GROUP BY 1""")
+def compared_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of records on both sides: same, different, extra and lost."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("point"), F.col("l_quantity").alias("value"), "l_suppkey", "l_partkey")  # noqa: E741
+    gold = l.where("l_partkey % 3 <> 0").withColumn("value", F.when(F.col("l_partkey") % 5 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return N.compared_conditions(l.where("l_suppkey % 4 <> 0").select("id", "point", "value"), gold.select("id", "point", "value")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))

@@ -247,3 +247,20 @@ def compliance_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts against gold: correct, half, wrong, unassessed."""
     verdict = F.when(F.col("doc_id") % 5 == 0, "not_assessed").when(F.col("quality") == 0, "warning").when(F.col("doc_id") % 7 == 0, "violation").otherwise("pass")
     return E.grades(table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "violation").otherwise("pass").alias("gold"), verdict.alias("verdict")))
+
+
+@query("WITH " + _hybrid_sql("", 18, 6).replace("SELECT query, id, round(score, 9)::DOUBLE AS score, place::INTEGER AS place FROM p WHERE place <= 6", """
+, b AS (SELECT query, id, place FROM p WHERE place <= 6), ed AS (SELECT doc_id AS s, (doc_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS t FROM documents),
+nb AS (SELECT DISTINCT query, x AS id FROM (SELECT query, t AS x FROM b JOIN ed ON s = id UNION ALL SELECT query, s FROM b JOIN ed ON t = id) z WHERE NOT EXISTS (SELECT 1 FROM b q WHERE q.query = z.query AND q.id = z.x)),
+d2 AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM cs JOIN nb USING (query, id)), s2 AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM bm JOIN nb USING (query, id)),
+u2 AS (SELECT query, id, 1.0 / (60 + rank) AS part, rank AS seen FROM d2 WHERE rank < 8 UNION ALL SELECT query, id, 0.1 / (60 + rank), 1000000 + rank FROM s2 WHERE rank < 8), f2 AS (SELECT query, id, sum(part) AS score, min(seen) AS seen FROM u2 GROUP BY query, id),
+x AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, seen) AS place FROM f2 JOIN items USING (id) WHERE n_chars <= 1500)
+SELECT query, id, 'base' AS part, place::INTEGER AS place FROM b UNION ALL SELECT query, id, 'extra', place::INTEGER FROM x WHERE place <= 3"""))
+def graph_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid's hits, then up to three from the documents one edge away from theirs."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "n_chars").join(vectors, "id")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text").join(vectors.select(F.col("id").alias("query"), "vector"), "query")
+    edges = docs.select(F.col("doc_id").alias("source_doc"), ((F.col("doc_id") * 7 + 3) % vectors.count()).alias("target_doc"))
+    return R.graph_augmented(queries, items, edges, F.col("n_chars") <= 1500)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.text import collapse, strip_tags
+from tempora.functions.text import collapse, fold_all, strip_tags
 from tempora.operators.graph import RELATIONS
 
 ARTICLE = "struct<article:string,text:string,valid_from:string,valid_to:string,superseded:boolean,chapter:string,section:string,char_start:int,char_end:int>"
@@ -94,3 +94,47 @@ def sitemap_urls(spark: SparkSession, path: str, keyword: str | None = None) ->
 def visible_to(rows: DataFrame, user: str, role: str, owner: str = "user_id") -> DataFrame:
     """Row-level security: owners see their rows, administrators all."""
     return rows if role == "admin" else rows.where(F.col(owner) == user)
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog knows a table."""
+    return spark.catalog.tableExists(name)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An artefact that may not be there yet: no rows then. Other failures are raised when it is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = hadoop(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
+def read_first(spark: SparkSession, paths: Sequence[str], schema: str, strict: bool = False) -> DataFrame:
+    """The first of several places that has the table; none gives no rows, or an error where it is to be read and written again."""
+    for path in paths:
+        rows = read_or_empty(spark, path, schema)
+        if not rows.isEmpty():
+            return rows
+    if strict:
+        raise FileNotFoundError(f"none of {list(paths)} has rows")
+    return spark.createDataFrame([], schema)
+
+
+def read_fixtures(spark: SparkSession, folder: str, index: str) -> DataFrame:
+    """(key, name, text) of text files by an index of (name, key) as JSON lines; files that it lacks are left out."""
+    keys = spark.read.schema("name string, key string").json(index)
+    return read_texts(spark, folder).join(F.broadcast(keys), "name").select("key", "name", "text")
+
+
+def slug_search(urls: DataFrame, words: str, most: int = 20) -> DataFrame:
+    """URLs whose last part has the words in order, whatever their accents; at most `most`, which is the feature."""
+    slug = fold_all(F.regexp_extract("url", r"([^/?#]*)/?(?:[?#].*)?$", 1))
+    return urls.where(F.contains(slug, F.replace(fold_all(F.trim(F.lit(words))), F.lit(" "), F.lit("-")))).orderBy("url").limit(most)
+
+
+def judged_records(raw: DataFrame) -> DataFrame:
+    """raw (slug, number, title, body, units array<struct<char_start,char_end,text>>) with reason: why a record is refused, or null."""
+    span = lambda u: F.substring(F.col("body"), u["char_start"] + 1, u["char_end"] - u["char_start"]) == u["text"]
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    reason = F.when(blank("number"), "no number").when(blank("body"), "no text").when(F.coalesce(F.size("units"), F.lit(0)) < 1, "no units").when(~F.coalesce(F.forall("units", span), F.lit(False)), "broken offsets")
+    return raw.withColumn("reason", reason)

@@ -45,3 +45,31 @@ def reviewed(rows: DataFrame, doc_id: str, verdict: str) -> DataFrame:
         raise ValueError(verdict)
     pending = (F.col("doc_id") == doc_id) & (F.col("status") == "pending")
     return rows.withColumn("status", F.when(pending, verdict).otherwise(F.col("status")))
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Sessions, messages and audit rows: appended; columns that come later are read by merging schemas."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """What `append_rows` wrote, with all columns that ever came."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def write_selection(rows: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A selection, written through as a whole and in order."""
+    rows.dropDuplicates().orderBy(*order).write.mode("overwrite").json(path)
+
+
+def replace_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """A full reload of the graph: both tables replaced; keys are checked first."""
+    require_unique(vertices, ["id"])
+    require_unique(edges, ["source_doc", "target_doc", "rel_type"])
+    vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def forced(wanted: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents asked for that exist, those that don't) of two tables (doc)."""
+    return wanted.select("doc").intersect(existing.select("doc")), wanted.select("doc").exceptAll(existing.select("doc"))
