@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tempora.functions.text import marker_groups
 
-#: Kinds of gates that have no actor, and the most words of a replaced run that can be a swapped marker.
-NO_ACTOR, FLIP_WORDS = ("thoi_gian", "chu_de"), 6
+#: Kinds of gates that have no actor, and the most words of a replaced run that can be a swapped marker.
+NO_ACTOR, FLIP_WORDS = ("thoi_gian", "lanh_tho"), 6
 _CHANGES = ArrayType(StructType([StructField(c, StringType()) for c in ("kind", "source", "claim")]))
 
 

@@ -89,6 +89,12 @@ def test_gates(spark):
     assert gate("hết hiệu lực khi luật mới có hiệu lực")[:] == ("end", None, "relative") and gate("không gì") is None and gate(None) is None
 
 
+def test_records_of_gates_without_actors_need_no_subject(spark):
+    rows = spark.createDataFrame([(1, "meta", ["thoi_gian", "lanh_tho"], 0), (2, "meta", ["thoi_gian", "chu_the"], 0), (3, "meta", [], 0), (4, "actor", ["thoi_gian"], 0), (5, "meta", ["thoi_gian"], 2), (6, None, None, None)], "id int, role string, kinds array<string>, n int")
+    got = {r["id"]: (r["s"], r["c"]) for r in rows.select("id", K.no_subject(F.col("role"), F.col("kinds")).alias("s"), K.no_conditions(F.col("role"), F.col("kinds"), F.col("n")).alias("c")).collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (True, False), 6: (False, False)}
+
+
 def test_swapped_markers_are_flips(spark):
     said = lambda s, c: [tuple(x) for x in one(spark, K.flips(K.word_changes(F.col("s"), F.col("c"))), s=s, c=c)]
     assert said("The bank may lend to others", "The bank must lend to others") == [("may", "must")]
