@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tempora.llm.near_dedup import near_duplicate_classes
 from tempora.llm.packing import pack_documents
 from tempora.llm.pii import find_personal_data, spans_text
 from tempora.llm.substring_dedup import remove_repeated_passages
+from tempora.llm.suffix_dedup import remove_repeated_bytes
 from tempora.llm.toxicity import score_toxicity
 from tempora.llm.url_filter import filter_urls
 
@@ -74,10 +74,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, encoded and decoded by the automaton of a public vocabulary."""
+    import public_tokenizers
+
     out = bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 400-byte string which starts elsewhere too, removed."""
+    out = remove_repeated_bytes(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
@@ -99,5 +107,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing)}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL}
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400),
+win AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS k FROM p),
+hit AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+new AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM hit),
+run AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM new),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, r, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY r), 1) AS a, a AS z FROM span
+          UNION ALL SELECT doc_id, max(r) + 1, max(z), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(b, piece.a, coalesce(piece.z, n + 1) - 1)), '' ORDER BY r) AS h FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing, op11_suffix_dedup)}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op11_suffix_dedup": OP11_SQL}
