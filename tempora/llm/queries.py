@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
+from tempora.llm.conversations import NOTHING, damage, repair_conversations
 from tempora.llm.license_scan import scan_licenses
 from tempora.llm.media import read_media, store_texts
 from tempora.llm.metric_search import top_inner_products
@@ -86,6 +87,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair_conversations(damage(rows))
+    names = rows.select("conv_id").distinct()
+    out = names.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(NOTHING)).alias("repaired_sha256"))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
@@ -124,5 +135,39 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing, op11_suffix_dedup)}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op11_suffix_dedup": OP11_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE key AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+                 xor(c >> 8, list_reduce([xor(c, b) & 255, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295) % 20 AS code FROM key),
+dam AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+               CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE code <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dam),
+seen AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS ini,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM num),
+x AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM seen),
+dp AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS v0, {'c': 6::BIGINT, 'a': 'II', 'r': ['user:', 'assistant:']} AS v1,
+         {'c': 3::BIGINT, 'a': 'I', 'r': ['assistant:']} AS v2, {'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]} AS v3 FROM num WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, list_min([b0, {'c': 3 + w2.c, 'a': 'I' || w2.a, 'r': list_prepend('user:', w2.r)}]) AS v0, list_min([b1, {'c': 3 + w2.c, 'a': 'I' || w2.a, 'r': list_prepend('user:', w2.r)}]) AS v1, w2 AS v2, w3 AS v3
+  FROM (SELECT *, list_min([b2, {'c': 3 + b3.c, 'a': 'I' || b3.a, 'r': list_prepend('assistant:', b3.r)}]) AS w2, list_min([b3, {'c': 3 + b2.c, 'a': 'I' || b2.a, 'r': list_prepend('user:', b2.r)}]) AS w3
+  FROM (SELECT conv_id, i, list_min([{'c': 4 + v0.c, 'a': 'D' || v0.a, 'r': v0.r}, CASE WHEN ini = 's' AND stays THEN {'c': t + v1.c, 'a': 'K' || v1.a, 'r': list_prepend(own, v1.r)} END, ku, ru]) AS b0,
+               list_min([{'c': 4 + v1.c, 'a': 'D' || v1.a, 'r': v1.r}, ku, ru]) AS b1,
+               list_min([{'c': 4 + v2.c, 'a': 'D' || v2.a, 'r': v2.r}, CASE WHEN ini = 'a' AND stays THEN {'c': t + v3.c, 'a': 'K' || v3.a, 'r': list_prepend(own, v3.r)} END,
+                         CASE WHEN stays THEN {'c': 3 + t + v3.c, 'a': 'R' || v3.a, 'r': list_prepend('assistant:' || text, v3.r)} END]) AS b2,
+               list_min([{'c': 4 + v3.c, 'a': 'D' || v3.a, 'r': v3.r}, ku, ru]) AS b3
+  FROM (SELECT dp.conv_id, x.i, v0, v1, v2, v3, ini, text, role || ':' || text AS own, f NOT IN ('b', 'd') AS stays, CASE WHEN f = 't' THEN 3 ELSE 0 END AS t,
+               CASE WHEN ini = 'u' AND f NOT IN ('b', 'd') THEN {'c': t + v2.c, 'a': 'K' || v2.a, 'r': list_prepend(own, v2.r)} END AS ku,
+               CASE WHEN f NOT IN ('b', 'd') THEN {'c': 3 + t + v2.c, 'a': 'R' || v2.a, 'r': list_prepend('user:' || text, v2.r)} END AS ru
+        FROM dp JOIN x ON dp.conv_id IS NOT DISTINCT FROM x.conv_id AND x.i = dp.i - 1)))),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                 count(*) FILTER (f = 't') AS truncated, count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON c.conv_id IS NOT DISTINCT FROM facts.conv_id
+LEFT JOIN dp ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = 1
+"""
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing, op11_suffix_dedup, op13_conversation_repair)}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op11_suffix_dedup": OP11_SQL, "op13_conversation_repair": OP13_SQL}

@@ -31,13 +31,12 @@ def lyndon_groups(codes: list[int]) -> tuple[list[int], list[int], list[int]]:
         members[g].append(i)
     size = [len(m) for m in members]
     below = list(range(-1, len(members) - 1))
-    above = list(range(1, len(members) + 1))
+    above = [*range(1, len(members)), -1] if members else []
     place = [0] * len(members)
     previous, jump = [-1] * n, [-1] * n
     done = bytearray(n)
     end, at = n, len(members) - 1
     top = len(members)
-    above[-1] = -1
     while at >= 0:
         here = [i for i in members[at] if group[i] == at]
         members[at] = []
