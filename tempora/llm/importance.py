@@ -8,9 +8,9 @@ its counts up by bucket. From the buckets of the corpus and of the target come t
 shards: a string's gain times its count in a document goes to that document's weight, summed inside a block's part of a
 shard before it travels.
 
-A string, however frequent, is one entry of a block, and a shard reads its rows one after the other: only its dictionary is
-held. Both numbers, of blocks and of shards, grow with the input; a block has a row for a shard only if it has strings there,
-so there are never more rows than distinct strings in blocks.
+A string, however frequent, is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
+numbers, of blocks and of shards, grow with the input; a block has a row for a shard only if it has strings there, so there
+are never more rows than distinct strings in blocks.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import U64, mix, slices, text_size, written
+from tempora.llm.suffix_groups import Rolling
 
 BUCKETS = 10_000
 #: Bytes of text of a block, and of text dealt to a shard on average.
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 24 << 20
+#: Rows of a range of scores.
+RANGE_ROWS = 100_000
 SHARD = "__tempora_shard"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,7 +153,15 @@ def _runs(keys: list[np.ndarray]) -> np.ndarray:
 
 def _sent(shard: np.ndarray, distinct: pa.Array, parts: list[np.ndarray], doc: np.ndarray, block: int, kind: int) -> Iterator[tuple]:
     """Rows for the shards of a block: each distinct n-gram once, with its documents and counts. One entry for each place."""
-    by = np.lexsort((doc, *parts[::-1], shard))
+    # Places come in the order of their texts, which stable sorts keep.
+    key, wide = np.zeros(len(shard), np.int64), len(distinct) + 1
+    if wide ** len(parts) < 1 << 63:
+        for p in parts:
+            key = key * wide + (p + 1)
+        by = np.argsort(key, kind="stable")
+    else:
+        by = np.lexsort(parts[::-1])
+    by = by[np.argsort(shard[by].astype(np.uint16 if shard.max(initial=0) < 1 << 16 else np.int32), kind="stable")]
     shard, doc, parts = shard[by], doc[by], [p[by] for p in parts]
     pairs = _runs([shard, *parts, doc])
     times = np.diff(np.append(pairs, len(shard)))
@@ -192,8 +203,6 @@ def _block(ids: list, texts: pa.Array, block: int, shards: int) -> Iterator[tupl
 
 
 def _hashes(body: np.ndarray, off: np.ndarray) -> np.ndarray:
-    from tempora.llm.suffix_groups import Rolling
-
     rolling = Rolling(body[: int(off[-1])])
     return rolling.of(off[:-1], off[1:])
 
@@ -284,7 +293,7 @@ def _rows_of(table: pa.Table) -> Iterator[dict]:
                 yield row
 
 
-_PART = f"block long, ids array<long>, n array<long>, m array<long>, doc binary, weight array<long>"
+_PART = "block long, ids array<long>, n array<long>, m array<long>, doc binary, weight array<long>"
 
 
 def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
@@ -312,7 +321,7 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
                 own = of_string[kind][at[kind] : at[kind] + size]
                 at[kind] += size
                 have = place >= 0
-                np.add.at(weight, doc[have], own[place[have]] * times[have])
+                weight += np.bincount(doc[have], own[place[have]] * times[have], len(weight)).astype(np.int64)
             met = np.unique(doc)
             for name, value in zip(out, (block, None, None, None, _zip(met, "zstd"), weight[met].tolist()), strict=True):
                 out[name].append(value)
@@ -329,7 +338,7 @@ def _summed(table: pa.Table) -> pa.Table:
     weight = np.zeros(len(head["ids"]), np.int64)
     for doc, part in zip(table["doc"], table["weight"], strict=True):
         if part.is_valid:
-            np.add.at(weight, _unzip(doc.as_py()), np.asarray(part.values, np.int64))
+            weight[_unzip(doc.as_py())] += np.asarray(part.values, np.int64)
     return pa.table({"id": pa.array(head["ids"], pa.int64()), "n_features": pa.array(head["n"], pa.int64()), "n_words": pa.array(head["m"], pa.int64()), "weight": pa.array(weight)})
 
 
@@ -384,7 +393,7 @@ def resample(weights: DataFrame, id_col: str = "doc_id", percent: int = 5, seed:
     order = [F.desc("score"), F.asc_nulls_last(id_col), F.asc("weight"), F.asc("n_features")]
     enough = scored.where(F.col("n_words") >= least_words)
     n = enough.count()
-    ranges = max(1, -(-n // 100_000))
+    ranges = max(1, -(-n // RANGE_ROWS))
     dealt = written(enough.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))

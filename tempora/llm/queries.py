@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempora.llm.bpe import bpe_round_trip
 from tempora.llm.common import documents
 from tempora.llm.conversations import NOTHING, damage, repair_conversations
+from tempora.llm.importance import importance_weights, resample
 from tempora.llm.license_scan import scan_licenses
 from tempora.llm.media import read_media, store_texts
 from tempora.llm.metric_search import top_inner_products
@@ -87,6 +88,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The importance of every document for the benchmark's n-grams, and the sample drawn by it."""
+    weights = importance_weights(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return resample(weights).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, and its cheapest repair."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -135,6 +142,31 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE hexes AS (SELECT i::BIGINT AS b, lpad(hex(i), 2, '0') AS hx, list_reduce([i::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+df AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+       list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS g FROM d) GROUP BY ALL),
+qf AS (SELECT g, count(*) AS c FROM (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+       list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS g FROM q) GROUP BY ALL),
+sf AS (SELECT g, sum(c) AS c FROM df GROUP BY g),
+dict AS MATERIALIZED (SELECT g, row_number() OVER () AS id FROM (SELECT g FROM sf UNION SELECT g FROM qf)),
+tab AS (SELECT 0 AS j, hx, v FROM hexes UNION ALL SELECT 0, 'start', 4294967295
+        UNION ALL SELECT j + 1, tab.hx, xor(tab.v >> 8, hexes.v) FROM tab JOIN hexes ON hexes.b = tab.v & 255 WHERE j <= (SELECT max(strlen(g)) FROM dict)),
+bytes AS (SELECT id, n - 1 - k AS j, substr(h, 2 * k + 1, 2) AS hx FROM (SELECT id, strlen(g) AS n, hex(encode(g)) AS h, unnest(range(strlen(g))) AS k FROM dict)),
+mixed AS (SELECT id, bit_xor(v) AS x FROM bytes JOIN tab USING (j, hx) GROUP BY id),
+bucket AS MATERIALIZED (SELECT g, xor(xor(x, v), 4294967295) % 10000 AS b FROM dict JOIN mixed USING (id) JOIN tab ON tab.hx = 'start' AND tab.j = strlen(g)),
+s AS (SELECT b, sum(c) AS s FROM sf JOIN bucket USING (g) GROUP BY b),
+t AS (SELECT b, sum(c) AS t FROM qf JOIN bucket USING (g) GROUP BY b),
+total AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS S_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS T_all),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (S_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (T_all + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (b), total),
+weighed AS (SELECT doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM df JOIN bucket USING (g) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS enough,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE enough)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM ranked) * 5 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
 OP13_SQL = r"""
 WITH RECURSIVE key AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
 raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -169,5 +201,5 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON c.conv_id
 LEFT JOIN dp ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing, op11_suffix_dedup, op13_conversation_repair)}
-ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op11_suffix_dedup": OP11_SQL, "op13_conversation_repair": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_substring_dedup, op4_toxicity, op5_exact_topk, op6_media_columns, op7_url_filter, op8_pii, op9_bpe_automaton, op10_best_fit_packing, op11_suffix_dedup, op12_importance_resampling, op13_conversation_repair)}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op5_exact_topk": OP5_SQL, "op11_suffix_dedup": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_conversation_repair": OP13_SQL}
