@@ -29,7 +29,7 @@ from tempora.llm.suffix_groups import Rolling
 
 BUCKETS = 10_000
 #: Bytes of text of a block, and of text dealt to a shard on average.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
 #: Rows of a range of scores.
 RANGE_ROWS = 100_000
 SHARD = "__tempora_shard"
@@ -215,121 +215,112 @@ def _features(shards: int, block_bytes: int):
             for a, b in slices(texts, block_bytes):
                 rows = _block(ids[a:b], texts.slice(a, b - a), (task << 32) + k, shards)
                 k += 1
-                for row in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ROW, strict=True)], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
     return run
 
 
 class _Row:
-    """The strings of a block in a shard: full strings, their two-word prefixes, documents and counts."""
-
-    def __init__(self, row: dict):
-        self.sizes, self.copies, self.doc, self.times = (_unzip(row[c]) for c in ("sizes", "copies", "doc", "times"))
-        size = int.from_bytes(row["text"][:8], "little")
-        self.body = pa.decompress(row["text"][8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-        self.pair = _unzip(row["pair"]) if row["kind"] == 3 else None
-        self.heads = np.cumsum(self.copies) - self.copies
-
-    def strings(self) -> pa.Array:
-        bounds = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(bounds), pa.py_buffer(self.body)])
-
-    def pairs(self) -> tuple[pa.Array, np.ndarray]:
-        """(each two-word string once, the string of each full one); strings with one prefix lie side by side."""
-        all_of = self.strings()
-        start = np.cumsum(self.sizes) - self.sizes
-        data = np.frombuffer(self.body, np.uint8)
-        step = np.arange(int(self.pair.sum())) - np.repeat(np.cumsum(self.pair) - self.pair, self.pair)
-        bounds = np.concatenate([[0], np.cumsum(self.pair)]).astype(np.int64)
-        prefixes = pa.Array.from_buffers(pa.large_binary(), len(all_of), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[np.repeat(start, self.pair) + step]))])
-        coded = prefixes.dictionary_encode()
+    """A block's strings in a shard, read from row i of a table when they are asked for."""
+
+    def __init__(self, table: pa.Table, i: int):
+        self.table, self.i = table, i
+        self.block, self.kind = table["block"][i].as_py(), table["kind"][i].as_py()
+
+    def _numbers(self, column: str) -> np.ndarray:
+        return _unzip(self.table[column][self.i].as_py())
+
+    def strings(self, feature: int) -> tuple[pa.Array, np.ndarray | None]:
+        """(distinct strings of so many words, the place among them of each string of the row, -1 if it isn't one)."""
+        packed = self.table["text"][self.i].as_py()
+        size = int.from_bytes(packed[:8], "little")
+        body = pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+        sizes = self._numbers("sizes")
+        strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(body)])
+        if feature == 1:
+            return strings, np.arange(len(sizes))
+        pair = self._numbers("pair")
+        if feature == 3:
+            full = sizes > pair
+            return strings.filter(pa.array(full)), np.where(full, np.cumsum(full) - 1, -1)
+        step = np.arange(int(pair.sum())) - np.repeat(np.cumsum(pair) - pair, pair)
+        prefixes = np.frombuffer(body, np.uint8)[np.repeat(np.cumsum(sizes) - sizes, pair) + step]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(pair))), pa.py_buffer(prefixes)]).dictionary_encode()
         return coded.dictionary, np.asarray(coded.indices)
 
-    def features(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """(distinct strings, for each (string, document) of the row its place among them or -1), for each kind of feature."""
-        if self.pair is None:
-            yield self.strings(), np.repeat(np.arange(len(self.sizes)), self.copies)
-            return
-        full = self.sizes > self.pair
-        place = np.where(full, np.cumsum(full) - 1, -1)
-        yield self.strings().filter(pa.array(full)), np.repeat(place, self.copies)
-        pairs, of = self.pairs()
-        yield pairs, np.repeat(of, self.copies)
+    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string of the row, document, how often), for each string and document that has it."""
+        copies = self._numbers("copies")
+        return np.repeat(np.arange(len(copies)), copies), self._numbers("doc"), self._numbers("times")
 
 
-class _Dictionary:
-    """Distinct strings and what is known of each; strings are looked up a batch at a time."""
+#: Words of a feature, and the kind of row that has it.
+_FEATURES = {1: 1, 2: 3, 3: 3}
 
-    def __init__(self, parts: list[pa.Array], counts: list[np.ndarray]):
-        coded = pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode() if parts else pa.array([], pa.large_binary()).dictionary_encode()
-        self.strings = coded.dictionary
-        self.codes = np.asarray(coded.indices)
-        self.count = np.bincount(self.codes, np.concatenate(counts), len(self.strings)) if parts else np.zeros(0)
-        self.bucket = (crc32s(self.strings) % np.uint32(BUCKETS)).astype(np.int64)
+
+def _dictionary(rows: list[_Row], words: int) -> tuple[pa.Array, np.ndarray]:
+    """(distinct strings of so many words in these rows, the place among them of each row's strings one after the other)."""
+    parts = [r.strings(words)[0] for r in rows if r.kind == _FEATURES[words]]
+    coded = pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices)
+
+
+def _buckets(strings: pa.Array) -> np.ndarray:
+    return (crc32s(strings) % np.uint32(BUCKETS)).astype(np.int32)
 
 
 def _bucket_counts(table: pa.Table) -> pa.Table:
     """The counts of a shard's strings by bucket: strings are counted, each is hashed once, counts are added up."""
-    parts: dict[int, tuple[list, list]] = {1: ([], []), 3: ([], []), 2: ([], [])}
-    for row in _rows_of(table):
-        r = _Row(row)
-        for kind, (strings, place) in zip((1,) if r.pair is None else (3, 2), r.features(), strict=True):
-            have = place >= 0
-            parts[kind][0].append(strings)
-            parts[kind][1].append(np.bincount(place[have], r.times[have], len(strings)))
+    rows = [_Row(table, i) for i in range(table.num_rows)]
     total = np.zeros(BUCKETS)
-    for strings, counts in parts.values():
-        known = _Dictionary(strings, counts)
-        total += np.bincount(known.bucket, known.count, BUCKETS)
+    for words, kind in _FEATURES.items():
+        known, codes = _dictionary(rows, words)
+        count, at = np.zeros(len(known)), 0
+        for r in rows:
+            if r.kind == kind:
+                strings, place = r.strings(words)
+                of, _, times = r.met()
+                here = place[of]
+                have = here >= 0
+                # Strings are distinct in a row.
+                count[codes[at : at + len(strings)]] += np.bincount(here[have], times[have], len(strings))
+                at += len(strings)
+        total += np.bincount(_buckets(known), count, BUCKETS)
     at = np.flatnonzero(total)
     return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
 
-def _rows_of(table: pa.Table) -> Iterator[dict]:
-    for batch in table.to_batches(max_chunksize=16):
-        for row in batch.to_pylist():
-            if row["kind"]:
-                yield row
-
-
 _PART = "block long, ids array<long>, n array<long>, m array<long>, doc binary, weight array<long>"
+_PART_TYPES = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "m": pa.list_(pa.int64()), "doc": pa.binary(), "weight": pa.list_(pa.int64())}
 
 
 def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
     """For each row of a shard, the gains of its strings summed by document; rows of documents pass through."""
-    out: dict[str, list] = {c: [] for c in ("block", "ids", "n", "m", "doc", "weight")}
+    out: list[tuple] = []
     if table.num_rows:
         gain = np.asarray(gains["gains"][0].values, np.int64)
-        parts: dict[int, list] = {1: [], 3: [], 2: []}
-        rows = [(row["block"], _Row(row)) for row in _rows_of(table)]
-        made = []
-        for block, r in rows:
-            kinds = (1,) if r.pair is None else (3, 2)
-            features = list(r.features())
-            for kind, (strings, _) in zip(kinds, features, strict=True):
-                parts[kind].append(strings)
-            made.append((block, r.doc, r.times, [(kind, len(strings), place) for kind, (strings, place) in zip(kinds, features, strict=True)]))
-        of_string = {}
-        for kind, strings in parts.items():
-            known = _Dictionary(strings, [np.zeros(len(s)) for s in strings])
-            of_string[kind] = gain[known.bucket][known.codes]
-        at = dict.fromkeys(parts, 0)
-        for block, doc, times, features in made:
-            weight = np.zeros(int(doc.max(initial=-1)) + 1, np.int64)
-            for kind, size, place in features:
-                own = of_string[kind][at[kind] : at[kind] + size]
-                at[kind] += size
-                have = place >= 0
-                weight += np.bincount(doc[have], own[place[have]] * times[have], len(weight)).astype(np.int64)
-            met = np.unique(doc)
-            for name, value in zip(out, (block, None, None, None, _zip(met, "zstd"), weight[met].tolist()), strict=True):
-                out[name].append(value)
-        for row in table.filter(pc.equal(table["kind"], 0)).select(["block", "ids", "n", "m"]).to_pylist():
-            for name, value in zip(out, (row["block"], row["ids"], row["n"], row["m"], b"", None), strict=True):
-                out[name].append(value)
-    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
-    return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds, strict=True)})
+        rows = [_Row(table, i) for i in range(table.num_rows)]
+        weights: list[np.ndarray | int] = [0] * len(rows)
+        for words, kind in _FEATURES.items():
+            known, codes = _dictionary(rows, words)
+            own, at = gain[_buckets(known)][codes], 0
+            del known, codes
+            for k, r in enumerate(rows):
+                if r.kind == kind:
+                    strings, place = r.strings(words)
+                    of, doc, times = r.met()
+                    here = place[of]
+                    have = here >= 0
+                    part = own[at : at + len(strings)][here[have]] * times[have]
+                    weights[k] = weights[k] + np.bincount(doc[have], part, int(doc.max(initial=-1)) + 1).astype(np.int64)
+                    at += len(strings)
+        for r, weight in zip(rows, weights, strict=True):
+            if r.kind:
+                met = np.unique(r.met()[1])
+                out.append((r.block, None, None, None, _zip(met, "zstd"), weight[met].tolist()))
+            else:
+                out.append((r.block, *(table[c][r.i].as_py() for c in ("ids", "n", "m")), b"", None))
+    return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(_PART_TYPES.items())})
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -365,7 +356,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id
     """
     rows, shards = _spread(docs, id_col, text_col, block_bytes, shard_bytes)
     wanted, _ = _spread(target, None, target_text_col, block_bytes, shard_bytes)
-    count = lambda r, name: r.where("kind > 0").groupBy(SHARD).applyInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias(name))
+    count = lambda r, name: r.groupBy(SHARD).applyInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias(name))
     buckets = count(rows, "s").join(count(wanted, "t"), "bucket", "full").select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"))
     # One row: all buckets, those of no feature too. Its size is fixed; each shard gets a copy.
     found = buckets.agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("s", "t").alias("v")))).alias("b"), F.coalesce(F.sum("s"), F.lit(0)).alias("S"), F.coalesce(F.sum("t"), F.lit(0)).alias("T"))
