@@ -8,7 +8,7 @@ its counts up by bucket. From the buckets of the corpus and of the target come t
 shards: a string's gain times its count in a document goes to that document's weight, summed inside a block's part of a
 shard before it travels.
 
-A string, however frequent, is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
+A string travels as the places of its words among the words of its row. However frequent, it is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
 numbers, of blocks and of shards, grow with the input; a block has a row for a shard only if it has strings there, so there
 are never more rows than distinct strings in blocks.
 """
@@ -29,7 +29,7 @@ from tempora.llm.suffix_groups import Rolling
 
 BUCKETS = 10_000
 #: Bytes of text of a block, and of text dealt to a shard on average.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
 #: Rows of a range of scores.
 RANGE_ROWS = 100_000
 SHARD = "__tempora_shard"
@@ -121,13 +121,13 @@ def _spelled(distinct: pa.Array, parts: list[np.ndarray]) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
 
 
-def _zip(x: np.ndarray, kind: str) -> bytes:
+def _zip(x: np.ndarray) -> bytes:
     """Integers as compressed bytes; the type is the narrowest that holds them."""
     x = np.asarray(x)
     top = int(x.max(initial=0))
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
     raw = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec=kind, asbytes=True) if raw else b""
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
 def _unzip(data: bytes) -> np.ndarray:
@@ -139,8 +139,9 @@ def _unzip(data: bytes) -> np.ndarray:
 
 
 #: kind 0: a block's documents (ids, n_features, n_words). kind 1: single words; kind 3: three words, or a text's last two.
-_ROW = pa.schema([(SHARD, pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("text", pa.binary()), ("sizes", pa.binary()), ("pair", pa.binary()), ("copies", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
-_ROW_DDL = f"{SHARD} int, block long, kind int, ids array<long>, n array<long>, m array<long>, text binary, sizes binary, pair binary, copies binary, doc binary, times binary"
+#: words: those that the row's strings consist of; x, y, z: which of them each string has, z from 1, 0 for none.
+_ROW = pa.schema([(SHARD, pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("words", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("copies", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
+_ROW_DDL = f"{SHARD} int, block long, kind int, ids array<long>, n array<long>, m array<long>, words binary, x binary, y binary, z binary, copies binary, doc binary, times binary"
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -168,18 +169,16 @@ def _sent(shard: np.ndarray, distinct: pa.Array, parts: list[np.ndarray], doc: n
     heads = _runs([shard[pairs], *(p[pairs] for p in parts)])
     copies = np.diff(np.append(heads, len(pairs)))
     at = pairs[heads]
-    strings = _spelled(distinct, [p[at] for p in parts])
-    bounds = np.frombuffer(strings.buffers()[1], np.int64)[: len(at) + 1]
-    body = memoryview(strings.buffers()[2]) if strings.buffers()[2] is not None else b""
-    sizes = np.diff(bounds)
-    word = np.diff(np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1])
-    pair = word[parts[0][at]] + 1 + word[parts[1][at]] if kind == 3 else sizes
+    parts = [p[at] for p in parts]
     edges = _runs([shard[at]]) if len(at) else np.zeros(0, np.int64)
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
         c, d = int(heads[a]), int(heads[b]) if b < len(heads) else len(pairs)
-        raw = bytes(body[int(bounds[a]) : int(bounds[b])])
+        own = [p[a:b] for p in parts]
+        used = np.unique(np.concatenate([own[0], *(p[p >= 0] for p in own[1:])]))
+        x, y, z = (b"", b"", b"") if kind == 1 else (_zip(np.searchsorted(used, p) + (k == 2) * (p >= 0)) for k, p in enumerate(own))
+        raw = b" ".join(distinct.take(pa.array(used)).to_pylist())
         packed = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-        yield (int(shard[at[a]]), block, kind, None, None, None, packed, _zip(sizes[a:b], "zstd"), _zip(pair[a:b], "zstd") if kind == 3 else b"", _zip(copies[a:b], "zstd"), _zip(doc[pairs[c:d]], "zstd"), _zip(times[c:d], "zstd"))
+        yield (int(shard[at[a]]), block, kind, None, None, None, packed, x, y, z, _zip(copies[a:b]), _zip(doc[pairs[c:d]]), _zip(times[c:d]))
 
 
 def _block(ids: list, texts: pa.Array, block: int, shards: int) -> Iterator[tuple]:
@@ -187,7 +186,7 @@ def _block(ids: list, texts: pa.Array, block: int, shards: int) -> Iterator[tupl
     code, first = words.code, words.first
     count = np.diff(first)
     n = count + np.maximum(count - 1, 0) + np.maximum(count - 2, 0)
-    yield (block % shards, block, 0, ids, n.tolist(), count.tolist(), b"", b"", b"", b"", b"", b"")
+    yield (block % shards, block, 0, ids, n.tolist(), count.tolist(), b"", b"", b"", b"", b"", b"", b"")
     if not len(code):
         return
     doc = np.repeat(np.arange(len(count)), count)
@@ -230,23 +229,20 @@ class _Row:
     def _numbers(self, column: str) -> np.ndarray:
         return _unzip(self.table[column][self.i].as_py())
 
-    def strings(self, feature: int) -> tuple[pa.Array, np.ndarray | None]:
+    def strings(self, feature: int) -> tuple[pa.Array, np.ndarray]:
         """(distinct strings of so many words, the place among them of each string of the row, -1 if it isn't one)."""
-        packed = self.table["text"][self.i].as_py()
-        size = int.from_bytes(packed[:8], "little")
-        body = pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-        sizes = self._numbers("sizes")
-        strings = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(body)])
+        packed = self.table["words"][self.i].as_py()
+        body = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+        words = pa.array(body.split(b" "), pa.large_binary())
         if feature == 1:
-            return strings, np.arange(len(sizes))
-        pair = self._numbers("pair")
+            return words, np.arange(len(words))
+        x, y, z = (self._numbers(c) for c in "xyz")
         if feature == 3:
-            full = sizes > pair
-            return strings.filter(pa.array(full)), np.where(full, np.cumsum(full) - 1, -1)
-        step = np.arange(int(pair.sum())) - np.repeat(np.cumsum(pair) - pair, pair)
-        prefixes = np.frombuffer(body, np.uint8)[np.repeat(np.cumsum(sizes) - sizes, pair) + step]
-        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(pair))), pa.py_buffer(prefixes)]).dictionary_encode()
-        return coded.dictionary, np.asarray(coded.indices)
+            full = z > 0
+            return _spelled(words, [p[full] for p in (x, y, z - 1)]), np.where(full, np.cumsum(full) - 1, -1)
+        # Strings with the same first two words lie side by side.
+        heads = _runs([x, y])
+        return _spelled(words, [x[heads], y[heads]]), np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(x))))
 
     def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string of the row, document, how often), for each string and document that has it."""
@@ -317,7 +313,7 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
         for r, weight in zip(rows, weights, strict=True):
             if r.kind:
                 met = np.unique(r.met()[1])
-                out.append((r.block, None, None, None, _zip(met, "zstd"), weight[met].tolist()))
+                out.append((r.block, None, None, None, _zip(met), weight[met].tolist()))
             else:
                 out.append((r.block, *(table[c][r.i].as_py() for c in ("ids", "n", "m")), b"", None))
     return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(_PART_TYPES.items())})
