@@ -8,7 +8,7 @@ its counts up by bucket. From the buckets of the corpus and of the target come t
 shards: a string's gain times its count in a document goes to that document's weight, summed inside a block's part of a
 shard before it travels.
 
-A string travels as the places of its words among the words of its row. However frequent, it is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
+A string, however frequent, is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
 numbers, of blocks and of shards, grow with the input; a block has a row for a shard only if it has strings there, so there
 are never more rows than distinct strings in blocks.
 """
@@ -29,7 +29,7 @@ from tempora.llm.suffix_groups import Rolling
 
 BUCKETS = 10_000
 #: Bytes of text of a block, and of text dealt to a shard on average.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 #: Rows of a range of scores.
 RANGE_ROWS = 100_000
 SHARD = "__tempora_shard"
@@ -100,8 +100,8 @@ class _Words:
         self.first = np.searchsorted(first, off)
 
 
-def _spelled(distinct: pa.Array, parts: list[np.ndarray]) -> pa.Array:
-    """Strings of the words with these codes, joined by one space; a code of -1 is no word."""
+def _spelled(distinct: pa.Array, parts: list[np.ndarray], end: int) -> pa.Array:
+    """Strings of the words with these codes, joined by one space, each with a byte at its end; a code of -1 is no word."""
     _, offsets, data = distinct.buffers()
     off = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
     body = np.frombuffer(data, np.uint8)
@@ -109,8 +109,9 @@ def _spelled(distinct: pa.Array, parts: list[np.ndarray]) -> pa.Array:
     n = len(parts[0])
     lengths = [np.where(p >= 0, sizes[p] + (k > 0), 0) for k, p in enumerate(parts)]
     bounds = np.zeros(n + 1, np.int64)
-    np.cumsum(sum(lengths), out=bounds[1:])
+    np.cumsum(sum(lengths) + 1, out=bounds[1:])
     out = np.full(int(bounds[-1]), 0x20, np.uint8)
+    out[bounds[1:] - 1] = end
     to = bounds[:-1].copy()
     for k, (p, length) in enumerate(zip(parts, lengths, strict=True)):
         have = np.flatnonzero(length)
@@ -121,6 +122,9 @@ def _spelled(distinct: pa.Array, parts: list[np.ndarray]) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
 
 
+_PACKED = pa.Codec("zstd", compression_level=6)
+
+
 def _zip(x: np.ndarray) -> bytes:
     """Integers as compressed bytes; the type is the narrowest that holds them."""
     x = np.asarray(x)
@@ -139,9 +143,9 @@ def _unzip(data: bytes) -> np.ndarray:
 
 
 #: kind 0: a block's documents (ids, n_features, n_words). kind 1: single words; kind 3: three words, or a text's last two.
-#: words: those that the row's strings consist of; x, y, z: which of them each string has, z from 1, 0 for none.
-_ROW = pa.schema([(SHARD, pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("words", pa.binary()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("copies", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
-_ROW_DDL = f"{SHARD} int, block long, kind int, ids array<long>, n array<long>, m array<long>, words binary, x binary, y binary, z binary, copies binary, doc binary, times binary"
+#: text: the row's strings, sorted, a line each.
+_ROW = pa.schema([(SHARD, pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("m", pa.list_(pa.int64())), ("text", pa.binary()), ("copies", pa.binary()), ("doc", pa.binary()), ("times", pa.binary())])
+_ROW_DDL = f"{SHARD} int, block long, kind int, ids array<long>, n array<long>, m array<long>, text binary, copies binary, doc binary, times binary"
 
 
 def _runs(keys: list[np.ndarray]) -> np.ndarray:
@@ -169,16 +173,15 @@ def _sent(shard: np.ndarray, distinct: pa.Array, parts: list[np.ndarray], doc: n
     heads = _runs([shard[pairs], *(p[pairs] for p in parts)])
     copies = np.diff(np.append(heads, len(pairs)))
     at = pairs[heads]
-    parts = [p[at] for p in parts]
+    strings = _spelled(distinct, [p[at] for p in parts], 0x0A)
+    bounds = np.frombuffer(strings.buffers()[1], np.int64)[: len(at) + 1]
+    body = memoryview(strings.buffers()[2]) if len(at) else b""
     edges = _runs([shard[at]]) if len(at) else np.zeros(0, np.int64)
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True):
         c, d = int(heads[a]), int(heads[b]) if b < len(heads) else len(pairs)
-        own = [p[a:b] for p in parts]
-        used = np.unique(np.concatenate([own[0], *(p[p >= 0] for p in own[1:])]))
-        x, y, z = (b"", b"", b"") if kind == 1 else (_zip(np.searchsorted(used, p) + (k == 2) * (p >= 0)) for k, p in enumerate(own))
-        raw = b" ".join(distinct.take(pa.array(used)).to_pylist())
-        packed = len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-        yield (int(shard[at[a]]), block, kind, None, None, None, packed, x, y, z, _zip(copies[a:b]), _zip(doc[pairs[c:d]]), _zip(times[c:d]))
+        raw = bytes(body[int(bounds[a]) : int(bounds[b])])
+        packed = len(raw).to_bytes(8, "little") + _PACKED.compress(raw, asbytes=True)
+        yield (int(shard[at[a]]), block, kind, None, None, None, packed, _zip(copies[a:b]), _zip(doc[pairs[c:d]]), _zip(times[c:d]))
 
 
 def _block(ids: list, texts: pa.Array, block: int, shards: int) -> Iterator[tuple]:
@@ -186,7 +189,7 @@ def _block(ids: list, texts: pa.Array, block: int, shards: int) -> Iterator[tupl
     code, first = words.code, words.first
     count = np.diff(first)
     n = count + np.maximum(count - 1, 0) + np.maximum(count - 2, 0)
-    yield (block % shards, block, 0, ids, n.tolist(), count.tolist(), b"", b"", b"", b"", b"", b"", b"")
+    yield (block % shards, block, 0, ids, n.tolist(), count.tolist(), b"", b"", b"", b"")
     if not len(code):
         return
     doc = np.repeat(np.arange(len(count)), count)
@@ -219,6 +222,14 @@ def _features(shards: int, block_bytes: int):
     return run
 
 
+def _cut(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings [start, end) of a buffer."""
+    size = end - start
+    bounds = np.append(0, np.cumsum(size))
+    step = np.arange(int(bounds[-1])) - np.repeat(bounds[:-1], size)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(body[np.repeat(start, size) + step])])
+
+
 class _Row:
     """A block's strings in a shard, read from row i of a table when they are asked for."""
 
@@ -231,18 +242,21 @@ class _Row:
 
     def strings(self, feature: int) -> tuple[pa.Array, np.ndarray]:
         """(distinct strings of so many words, the place among them of each string of the row, -1 if it isn't one)."""
-        packed = self.table["words"][self.i].as_py()
-        body = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-        words = pa.array(body.split(b" "), pa.large_binary())
-        if feature == 1:
-            return words, np.arange(len(words))
-        x, y, z = (self._numbers(c) for c in "xyz")
+        packed = self.table["text"][self.i].as_py()
+        body = np.frombuffer(_PACKED.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), np.uint8)
+        end = np.flatnonzero(body == 0x0A)
+        start = np.append(0, end[:-1] + 1)
+        if feature != 1:
+            # A string's second space, if it has one, ends its first two words.
+            space = np.flatnonzero(body == 0x20)
+            pair = np.minimum(np.append(space, len(body))[np.minimum(np.searchsorted(space, start) + 1, len(space))], end)
         if feature == 3:
-            full = z > 0
-            return _spelled(words, [p[full] for p in (x, y, z - 1)]), np.where(full, np.cumsum(full) - 1, -1)
-        # Strings with the same first two words lie side by side.
-        heads = _runs([x, y])
-        return _spelled(words, [x[heads], y[heads]]), np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(x))))
+            full = pair < end
+            return _cut(body, start[full], end[full]), np.where(full, np.cumsum(full) - 1, -1)
+        if feature == 2:
+            coded = _cut(body, start, pair).dictionary_encode()
+            return coded.dictionary, np.asarray(coded.indices)
+        return _cut(body, start, end), np.arange(len(start))
 
     def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string of the row, document, how often), for each string and document that has it."""
