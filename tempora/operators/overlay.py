@@ -1,6 +1,6 @@
 """Routing of chunks through amendments: intact, amended in the base text, or quoted inside an amending document.
 
-Everything is a join on keys: ancestors are exploded, spans are compared within one document only, and citations are built
+Everything is a join on keys: ancestors are exploded, spans meet by cells of their document, and citations are built
 by grouping, from points over clauses and articles to documents.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.keys import ancestors, citation, letter_rank, node_key
 from tempora.functions.spans import overlap
+from tempora.operators import span_joins
 from tempora.operators.hierarchy import REPEAL, alive, applied
 
 #: Units that a citation names at most; the rest is counted.
@@ -80,7 +81,7 @@ def routed(chunks: DataFrame, edges: DataFrame, as_of: str) -> DataFrame:
     live = alive(applied(edges, as_of))
     worded = edges.where("span_start IS NOT NULL").select("source_key", "target_key", F.regexp_extract("source_key", "^([^#]+)", 1).alias("number"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
     counts = live.select("source_key", "target_key").distinct().withColumn("alive", F.lit(True))
-    met = known.where("key IS NOT NULL").join(worded, "number").where(overlap(F.col("span_start"), F.col("span_end"), F.col("a"), F.col("b")))
+    met = span_joins.met(known.where("key IS NOT NULL").drop("key"), worded, ["number"], ("span_start", "span_end"), ("a", "b")).where(overlap(F.col("span_start"), F.col("span_end"), F.col("a"), F.col("b")))
     met = met.join(counts, ["source_key", "target_key"], "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
     some = met.groupBy("chunk_id").agg(F.max("alive").alias("some"))
     told = met.join(some, "chunk_id").where(F.col("alive") | ~F.col("some"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.pages import paragraphs, prefix_level, stripped
+from tempora.operators.span_joins import numbered, over_places
 
 #: A category of a relation tab with its count, and the line that parts outgoing from incoming ones.
 CATEGORY, MIDDLE = r"^(.+?)\s*\((\d+)\)$", "VĂN BẢN ĐANG XEM"
@@ -81,12 +82,13 @@ def numbered_impacts(impacts: DataFrame, doc: str) -> DataFrame:
 def painted(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, start, end, role, shared, piece): texts (id, text) cut at every edge of their spans (id, start, end, role); a piece has the
     role of the narrowest span over it (the first by start, end and role of equally narrow ones), null outside all; shared: whether
-    several cover it. Spans meet pieces of their own record only."""
+    several cover it. Spans are cut into dyadic ranges of pieces, so that nested spans don't multiply."""
     length = texts.select("id", "text", F.char_length("text").alias("length"))
     sound = spans.join(length.select("id", "length"), "id").where("0 <= start AND start < end AND end <= length").drop("length")
     edges = length.select("id", F.explode(F.array(F.lit(0), "length")).alias("start")).unionAll(sound.select("id", F.explode(F.array("start", "end")))).distinct()
-    pieces = edges.withColumn("end", F.lead("start").over(Window.partitionBy("id").orderBy("start"))).where("end IS NOT NULL")
-    s = sound.select(F.col("id").alias("of"), F.col("start").alias("a"), F.col("end").alias("b"), "role")
-    met = pieces.join(s, (F.col("id") == F.col("of")) & (F.col("a") <= F.col("start")) & (F.col("b") >= F.col("end")), "left")
-    best = met.groupBy("id", "start", "end").agg(F.min(F.when(F.col("a").isNotNull(), F.struct((F.col("b") - F.col("a")).alias("width"), "a", "b", "role"))).alias("best"), (F.count("a") > 1).alias("shared"))
-    return best.join(length, "id").select("id", "start", "end", "best.role", "shared", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
+    places = numbered(edges, ["id"], "start", "place").withColumn("end", F.lead("start").over(Window.partitionBy("id").orderBy("start")))
+    at = places.select("id", F.col("start").alias("__at"), "place")
+    s = sound.join(at.withColumnsRenamed({"__at": "start", "place": "i"}), ["id", "start"]).join(at.withColumnsRenamed({"__at": "end", "place": "j"}), ["id", "end"])
+    narrow = F.struct((F.col("end") - F.col("start")).alias("width"), F.col("start").alias("a"), F.col("end").alias("b"), "role")
+    best = over_places(places.where("end IS NOT NULL"), s, ["id"], "place", "i", "j", narrow, "best", "covers")
+    return best.join(length, "id").select("id", "start", "end", "best.role", (F.col("covers") > 1).alias("shared"), F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -55,32 +58,57 @@ def uniquified(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return pairs.select("__pair.r.__row.*", F.col("__pair.n").alias(name))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _starts(lengths: pd.Series) -> pd.Series:
+    """The offset of each part, from the lengths of all, each followed by a gap of one."""
+    return lengths.map(lambda x: None if x is None else np.cumsum(np.concatenate([[0], np.asarray(x, np.int64)[:-1] + 1])) if len(x) else [])
+
+
 def lines_with_offsets(df: DataFrame, text: str) -> DataFrame:
-    """A row for each line: line_no (from 0), line, and start, its offset in code points. Offsets stay inside the row: nothing is shuffled."""
+    """A row for each line: line_no (from 0), line, and start, its offset in code points. Offsets are summed up inside the row: nothing is shuffled."""
     lines = F.split(F.col(text), "\n", -1)
-    lengths = F.transform(lines, F.char_length)
-    step = lambda acc, n: F.struct((acc["at"] + n + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(lengths, zero, step, lambda acc: acc["starts"])
-    both = F.arrays_zip(lines.alias("line"), starts.alias("start"))
-    return df.withColumn("__lines", both).select("*", F.posexplode("__lines").alias("line_no", "__line")).select(*df.columns, "line_no", F.col("__line.line").alias("line"), F.col("__line.start").alias("start"))
+    rows = df.withColumn("__lines", lines).withColumn("__starts", _starts(F.transform("__lines", F.char_length)))
+    rows = rows.select(*df.columns, F.arrays_zip(F.col("__lines").alias("line"), F.col("__starts").alias("start")).alias("__both"))
+    return rows.select(*df.columns, F.posexplode("__both").alias("line_no", "__line")).select(*df.columns, "line_no", F.col("__line.line").alias("line"), F.col("__line.start").alias("start"))
 
 
 def packed_sizes(sizes: Column, most: int, gap: int = 1) -> Column:
     """Greedy packing of adjacent units: the bin (from 0) of each size; a unit joins the bin before it while both fit with a gap."""
 
-    def step(acc: Column, n: Column) -> Column:
-        fits = (F.size(acc["bins"]) > 0) & (acc["used"] + gap + n <= most)
-        bin_no = F.when(F.size(acc["bins"]) == 0, F.lit(0)).when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
-        return F.struct(F.when(fits, acc["used"] + gap + n).otherwise(n).alias("used"), bin_no.alias("bin"), F.concat(acc["bins"], F.array(bin_no)).alias("bins"))
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def bins(rows: pd.Series) -> pd.Series:
+        def packed(row):
+            out, used, at = [], None, 0
+            for n in row:
+                if used is not None and used + gap + n <= most:
+                    used += gap + n
+                else:
+                    at, used = at + (used is not None), n
+                out.append(at)
+            return out
+
+        return rows.map(lambda row: None if row is None else packed(row))
+
+    return bins(sizes)
+
+
+def number_gaps(numbers: Column) -> Column:
+    """(first, last) of each run of integers between the least and the greatest that are absent, ascending; null without numbers."""
+    known = F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.isNotNull())))
+    pairs = F.zip_with(F.slice(known, 1, F.greatest(F.size(known) - 1, F.lit(0))), F.slice(known, 2, F.size(known)), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    return F.when(F.size(known) > 0, F.filter(pairs, lambda p: p["first"] <= p["last"]))
+
 
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("bins"))
-    return F.aggregate(sizes, zero, step, lambda acc: acc["bins"])
+#: Numbers of a gap that are unfolded at once.
+UNFOLD = 10_000
 
 
-def missing_numbers(numbers: Column) -> Column:
-    """The integers between the least and the greatest that are absent, ascending."""
-    return F.when(F.size(numbers) > 0, F.array_sort(F.array_except(F.sequence(F.array_min(numbers), F.array_max(numbers)), numbers)))
+def missing_numbers(df: DataFrame, numbers: Column, keep: Sequence[str | Column], name: str) -> DataFrame:
+    """A row (keep, name) for each absent integer: gaps are unfolded in pieces, so that no row holds a range of any width."""
+    gaps = df.select(*keep, F.explode(number_gaps(numbers)).alias("__gap"))
+    pieces = gaps.withColumn("__from", F.explode(F.sequence(F.col("__gap.first"), F.col("__gap.last"), F.lit(UNFOLD).cast(gaps.schema["__gap"].dataType["first"].dataType))))
+    rows = pieces.withColumn(name, F.explode(F.sequence("__from", F.least(F.col("__from") + UNFOLD - 1, F.col("__gap.last")))))
+    return rows.drop("__gap", "__from")
 
 
 def out_of_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], number: str) -> DataFrame:
@@ -95,5 +123,5 @@ def sequence_faults(units: DataFrame, keys: Sequence[str], order: Sequence[Colum
     repeated = units.groupBy(*keys, number).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit("repeated").alias("fault"), number)
     behind = out_of_order(units, keys, order, number).select(*keys, F.lit("out_of_order"), number)
     sets = units.groupBy(*keys).agg(F.collect_set(number).alias("xs"))
-    absent = sets.select(*keys, F.lit("missing"), F.explode(missing_numbers(F.col("xs"))).alias(number))
+    absent = missing_numbers(sets, F.col("xs"), [*keys, F.lit("missing").alias("fault")], number)
     return repeated.unionAll(behind).unionAll(absent)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from tempora.operators import span_joins
+
 ARTICLE = re.compile(r"^\s*Điều\s+(\d+[a-zđ]?)\s*[.:]?")
 CHAPTER = re.compile(r"^\s*(Chương|CHƯƠNG)\s+([IVXLC\d]+)")
 SECTION = re.compile(r"^\s*(Mục|MỤC)\s+(\d+)")
@@ -257,10 +259,11 @@ def whole_documents(units_of: DataFrame, doc: str, text: str, unit: str) -> Data
 def provenance(edges: DataFrame, articles_of: DataFrame, texts: DataFrame) -> DataFrame:
     """edges (doc, span_start, span_end, ...) with the article that holds their span, the first by offset, and the text of the span.
 
-    articles_of: (doc, article, char_start, char_end); texts: (doc, text). Spans meet articles of their document only.
+    articles_of: (doc, article, char_start, char_end); texts: (doc, text). Spans meet articles of their document by cells.
     """
     a = articles_of.select(F.col("doc"), F.col("article"), F.col("char_start").alias("a0"), F.col("char_end").alias("a1"))
-    met = edges.join(a, "doc").where((F.col("a0") <= F.col("span_start")) & (F.col("span_end") <= F.col("a1")))
+    met = span_joins.met(edges.select("doc", "span_start", "span_end").distinct(), a, ["doc"], ("span_start", "span_end"), ("a0", "a1"))
+    met = met.where((F.col("a0") <= F.col("span_start")) & (F.col("span_end") <= F.col("a1")))
     holds = met.groupBy("doc", "span_start", "span_end").agg(F.min_by("article", "a0").alias("article"))
     said = F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
     return edges.join(holds, ["doc", "span_start", "span_end"], "left").join(texts.select("doc", "text"), "doc", "left").withColumn("span_text", said).drop("text")

@@ -12,7 +12,8 @@ from tempora.operators import graph as G
 from tempora.operators import incremental as I
 from tempora.operators import normative as N
 from tempora.operators import positional as P
-from tempora.operators import segments as S
+from tempora.operators import quotes as Q
+from tempora.operators import span_joins as J
 from tempora.plans.catalog import query
 from tempora.session import table
 
@@ -327,7 +328,65 @@ def article_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, inside an amending text of articles, split with exact offsets."""
     body = F.concat(F.lit("Chương I\nĐiều 1. "), F.col("source"), F.lit("\n1. "), F.col("text"), F.lit("\nĐiều 2. End\n“Điều 9. quoted”\nNơi nhận:\n- x"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(body, F.lit('"'), F.lit("'")).alias("whole"))
-    S.register(spark)
-    split = docs.lateralJoin(S.SplitArticles(F.col("whole").outer()))
+    split = Q.article_rows(docs, "doc_id", "whole").join(docs, "doc_id")
     exact = F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("body")
     return split.select("doc_id", "article", "chapter", "char_start", "char_end", F.md5("body").alias("body"), exact.alias("exact"))
+
+
+_QUOTED = r"""d AS (SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'th', '“th'), 'en', 'en”'), 'es', '"') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM d),
+o AS (SELECT doc_id, line_no, line, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1)::BIGINT AS start FROM l),
+c AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(t, '([“”"])', chr(1) || '\1', 'g'), chr(1))) AS piece, generate_subscripts(string_split_regex(regexp_replace(t, '([“”"])', chr(1) || '\1', 'g'), chr(1)), 1) AS run FROM d),
+r AS (SELECT doc_id, run, left(piece, 1) AS mark, run > 1 AS marked, sum(length(piece)) OVER w - length(piece) AS start,
+        sum(CASE WHEN run > 1 AND left(piece, 1) = '“' THEN 1 WHEN run > 1 AND left(piece, 1) = '”' THEN -1 ELSE 0 END) OVER w AS depth, sum(CASE WHEN run > 1 AND left(piece, 1) = '"' THEN 1 ELSE 0 END) OVER w % 2 = 1 AS straight
+      FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY run)),
+b AS (SELECT doc_id, min(depth) >= 0 AND arg_max(depth, run) = 0 AND NOT arg_max(straight, run) AS balanced FROM r GROUP BY doc_id),
+n AS (SELECT o.doc_id, o.line_no, o.start, max(run) AS run FROM o JOIN r ON r.doc_id = o.doc_id AND r.start <= o.start GROUP BY ALL)"""
+
+
+@query(f"""WITH {_QUOTED}
+SELECT n.doc_id, n.line_no::INTEGER AS line_no, n.start::INTEGER AS start, balanced, depth::INTEGER AS depth, straight, balanced AND (depth > 0 OR straight OR (marked AND r.start = n.start)) AS masked
+FROM n JOIN r ON r.doc_id = n.doc_id AND r.run = n.run JOIN b ON b.doc_id = n.doc_id""")
+def quote_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every line of every text, how deep in quotations it begins; marks are put where certain letters stand."""
+    docs = _with_marks(spark, sf_dir)
+    lines, runs = Q.masked_lines(docs, "doc_id", "t"), Q.quote_runs(docs, "doc_id", "t")
+    last = J.met(lines.withColumn("at", F.col("start")), runs.select("doc_id", "run", F.col("start").alias("a"), F.col("end").alias("b"), "depth", "straight", "balanced"), ["doc_id"], ("start", "at"), ("a", "b"))
+    best = last.groupBy("doc_id", "line_no", "start", "masked").agg(F.max_by(F.struct("balanced", "depth", "straight"), "run").alias("r"))
+    return best.select("doc_id", "line_no", "start", "r.balanced", "r.depth", "r.straight", "masked")
+
+
+def _with_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for a, b in (("th", "“th"), ("en", "en”"), ("es", '"')):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN i % 5 = 4 THEN '“' || replace(replace(x, '"', ''), '”', '') || '”' WHEN i % 5 = 0 THEN (i // 5 + 1) || '. ' || replace(x, '"', '') WHEN i % 5 < 3 THEN chr((96 + i % 5)::INTEGER) || ') ' || replace(x, '"', '') ELSE replace(x, '"', '') END AS line FROM l),
+o AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1) AS a, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS n FROM m),
+u AS (SELECT * FROM o WHERE i % 5 < 3), c AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, i // 5 + 1 AS k FROM u),
+d AS (SELECT *, lead(a) OVER (PARTITION BY doc_id, i % 5 = 0 ORDER BY i) AS nxt_clause FROM c)
+SELECT doc_id, CASE WHEN i % 5 = 0 THEN 'khoan_' || k ELSE 'khoan_' || k || '#diem_' || chr((96 + i % 5)::INTEGER) END AS unit, CASE WHEN i % 5 = 0 THEN 'clause' ELSE 'point' END AS kind,
+       CASE WHEN i % 5 > 0 THEN 'khoan_' || k END AS parent, a::INTEGER AS char_start, coalesce(CASE WHEN i % 5 = 0 THEN nxt_clause ELSE nxt END, n)::INTEGER AS char_end FROM d""")
+def numbered_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses and points of every text whose lines are numbered in turn, each fifth one quoted and so no unit."""
+    bare = lambda x: F.replace(x, F.lit('"'), F.lit(""))
+    said = lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("“"), F.replace(bare(x), F.lit("”"), F.lit("")), F.lit("”"))).when(i % 5 == 0, F.concat((F.floor(i / 5) + 1).cast("string"), F.lit(". "), bare(x))).when(i % 5 < 3, F.concat(F.char(96 + i % 5), F.lit(") "), bare(x))).otherwise(bare(x))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), said), "\n").alias("t"))
+    return Q.unit_rows(docs, "doc_id", "t").withColumn("char_start", F.col("char_start").cast("int")).withColumn("char_end", F.col("char_end").cast("int"))
+
+
+@query("""WITH t AS (SELECT doc_id AS id, length(text) AS n FROM documents), s AS (SELECT id, unnest(range(n // 10)) AS k, n FROM t WHERE n >= 40), v AS (SELECT id, k, k * 7 % n AS a, least(n, k * 7 % n + 5 + k * k % 90) AS b FROM s),
+w AS (SELECT id, k AS j, k * 11 % n AS c, least(n, k * 11 % n + 1 + k * 3 % 40) AS d FROM s WHERE k % 3 = 0)
+SELECT v.id, count(*)::BIGINT AS pairs, sum(least(b, d) - greatest(a, c))::BIGINT AS shared FROM v JOIN w ON v.id = w.id AND a < d AND c < b GROUP BY v.id""")
+def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of two dense sets over every text meet, and how much they share."""
+    n = F.char_length("text")
+    base = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), n.alias("n")).where("n >= 40").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 10).cast("int") - 1))).withColumn("k", F.col("k").cast("long"))
+    v = base.select("id", (F.col("k") * 7 % F.col("n")).alias("a"), F.least("n", F.col("k") * 7 % F.col("n") + 5 + F.col("k") * F.col("k") % 90).alias("b"))
+    w = base.where("k % 3 = 0").select("id", (F.col("k") * 11 % F.col("n")).alias("c"), F.least("n", F.col("k") * 11 % F.col("n") + 1 + F.col("k") * 3 % 40).alias("d"))
+    pairs = J.met(v, w, ["id"], ("a", "b"), ("c", "d")).where("a < d AND c < b")
+    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("b", "d") - F.greatest("a", "c")).alias("shared"))

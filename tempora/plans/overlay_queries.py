@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import overlay as O
 from tempora.plans.catalog import query
-from tempora.session import table
+from tempora.session import settled, table
 
 AS_OF = "1996-06-30"
 _EDGES = f"""e AS (SELECT 's' || l_suppkey || '#than/dieu_' || (l_orderkey % 30) || '#khoan_' || l_linenumber AS source_key, 'c' || o_custkey || '#than/dieu_' || (l_partkey % 30) || CASE WHEN l_returnflag <> 'A' THEN '#khoan_' || l_linenumber ELSE '' END
@@ -86,7 +86,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ROUTES}, tq AS (SELECT chunk_id, target_key AS key FROM told), {_citations_sql('tq', 'chunk_id')} SELECT chunk_id, r.key, route, target_key, CASE WHEN route = 'quoted' THEN citation END AS quoted FROM r LEFT JOIN cit USING (chunk_id)")
 def route_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk as intact, amended, repealed, or quoted inside an amending act, with what decides it."""
-    out = O.routed(_chunks(spark, sf_dir), _edges(spark, sf_dir), AS_OF)
+    out = O.routed(_chunks(spark, sf_dir), settled(_edges(spark, sf_dir), "edges"), AS_OF)
     return out.select("chunk_id", "key", "route", "target_key", F.when(F.col("route") == "quoted", F.regexp_extract("citation", r"^(.*?) \((?:sửa|từng)", 1)).alias("quoted"))
 
 
@@ -107,7 +107,7 @@ SELECT query, chunk_id, rank, route FROM kept UNION ALL SELECT query, chunk_id,
 def annotate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without repealed ones, and behind quotations the chunks of the units that they amend."""
     chunks = _chunks(spark, sf_dir)
-    routes = O.routed(chunks, _edges(spark, sf_dir), AS_OF)
+    routes = O.routed(chunks, settled(_edges(spark, sf_dir), "edges"), AS_OF)
     from pyspark.sql import Window
 
     hits = chunks.select(F.col("number").alias("query"), "chunk_id", F.row_number().over(Window.partitionBy("number").orderBy("chunk_id")).alias("rank"))

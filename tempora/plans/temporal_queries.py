@@ -224,7 +224,7 @@ SELECT conv_id, unnest(list_filter(range(list_min(xs), list_max(xs) + 1), lambda
 def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers absent between the first and the last of a group."""
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(F.col("turn") * 2 + F.col("conv_id") % 3).alias("xs"))
-    return n.select("conv_id", F.explode(P.missing_numbers(F.col("xs"))).alias("missing"))
+    return P.missing_numbers(n, F.col("xs"), ["conv_id"], "missing")
 
 
 @query("""

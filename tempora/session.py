@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
         folder = _LOCAL_DIRS.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         _LOCAL_DIRS[app] = folder
     return folder.rstrip("/")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for what several parts of a plan read: computed once, and there after an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
