@@ -268,11 +268,17 @@ class _Row:
 _FEATURES = {1: 1, 2: 3, 3: 3}
 
 
-def _dictionary(rows: list[_Row], words: int) -> tuple[pa.Array, np.ndarray]:
-    """(distinct strings of so many words in these rows, the place among them of each row's strings one after the other)."""
-    parts = [r.strings(words)[0] for r in rows if r.kind == _FEATURES[words]]
+def _dictionary(rows: list[_Row], words: int) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+    """(distinct strings of so many words in these rows, for each row the places among them of its own distinct strings, and
+    which of these each string of the row has, -1 for none); rows of another kind have none."""
+    parts, places = [], []
+    for r in rows:
+        strings, place = r.strings(words) if r.kind == _FEATURES[words] else (pa.array([], pa.large_binary()), np.zeros(0, np.int64))
+        parts.append(strings)
+        places.append(place.astype(np.int32))
     coded = pa.chunked_array(parts, pa.large_binary()).combine_chunks().dictionary_encode()
-    return coded.dictionary, np.asarray(coded.indices)
+    ends = np.cumsum([len(x) for x in parts])[:-1] if parts else []
+    return coded.dictionary, np.split(np.asarray(coded.indices), ends), places
 
 
 def _buckets(strings: pa.Array) -> np.ndarray:
@@ -284,17 +290,15 @@ def _bucket_counts(table: pa.Table) -> pa.Table:
     rows = [_Row(table, i) for i in range(table.num_rows)]
     total = np.zeros(BUCKETS)
     for words, kind in _FEATURES.items():
-        known, codes = _dictionary(rows, words)
-        count, at = np.zeros(len(known)), 0
-        for r in rows:
+        known, codes, places = _dictionary(rows, words)
+        count = np.zeros(len(known))
+        for r, own, place in zip(rows, codes, places, strict=True):
             if r.kind == kind:
-                strings, place = r.strings(words)
                 of, _, times = r.met()
                 here = place[of]
                 have = here >= 0
                 # Strings are distinct in a row.
-                count[codes[at : at + len(strings)]] += np.bincount(here[have], times[have], len(strings))
-                at += len(strings)
+                count[own] += np.bincount(here[have], times[have], len(own))
         total += np.bincount(_buckets(known), count, BUCKETS)
     at = np.flatnonzero(total)
     return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
@@ -312,18 +316,15 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
         rows = [_Row(table, i) for i in range(table.num_rows)]
         weights: list[np.ndarray | int] = [0] * len(rows)
         for words, kind in _FEATURES.items():
-            known, codes = _dictionary(rows, words)
-            own, at = gain[_buckets(known)][codes], 0
-            del known, codes
-            for k, r in enumerate(rows):
+            known, codes, places = _dictionary(rows, words)
+            gains_of = gain[_buckets(known)]
+            for k, (r, own, place) in enumerate(zip(rows, codes, places, strict=True)):
                 if r.kind == kind:
-                    strings, place = r.strings(words)
                     of, doc, times = r.met()
                     here = place[of]
                     have = here >= 0
-                    part = own[at : at + len(strings)][here[have]] * times[have]
+                    part = gains_of[own[here[have]]] * times[have]
                     weights[k] = weights[k] + np.bincount(doc[have], part, int(doc.max(initial=-1)) + 1).astype(np.int64)
-                    at += len(strings)
         for r, weight in zip(rows, weights, strict=True):
             if r.kind:
                 met = np.unique(r.met()[1])
