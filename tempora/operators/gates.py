@@ -10,7 +10,7 @@ Everything is a column expression over the unit's text, title and key: no Python
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.text import MARKERS
@@ -100,14 +100,27 @@ def _after(text: Column, pattern: str) -> Column:
     return F.coalesce(F.get(F.split(text, pattern, 2), F.lit(1)), F.lit(""))
 
 
-def gate(text: Column, key: Column) -> Column:
+def evidence(text: Column) -> dict[str, Column]:
+    """The references that a gate is read from: before a clause of effect, after an exclusion, before a clause of application."""
+    none = F.slice(references(F.lit("")), 1, 0)
+    read = lambda pattern, where: F.when(text.rlike(pattern), references(where)).otherwise(none)
+    effect = text.rlike(EFFECT)
+    return {
+        "said": read(EFFECT, _before(text, EFFECT)),
+        "left_out": F.when(effect & text.rlike(EXCEPT), references(_after(text, EXCEPT))).otherwise(none),
+        "head": F.when(effect, none).otherwise(read(APPLIES, F.regexp_extract(text, APPLIES, 1))),
+    }
+
+
+def gate(text: Column, key: Column, refs: dict[str, Column] | None = None) -> Column:
     """(kind, scope, targets, exclusions, derivable, negative, note) of the gate that a unit's text states, or null.
 
     kind: 'time' or 'subject'. targets and exclusions are node keys; without targets a scope stands for itself. derivable:
     whether all that the clause names became keys, or it names nothing. note: 'foreign' where another document's provisions
     are named, 'unresolved' where references gave no key, 'replaces' where other documents end, 'no_node' for chapters and
-    sections, 'partly' where some references were dropped.
+    sections, 'partly' where some references were dropped. refs: the evidence, where it is in columns already.
     """
+    refs = refs or evidence(text)
     number, article = F.nullif(F.regexp_extract(key, "^([^#]+)", 1), F.lit("")), F.nullif(F.regexp_extract(key, "dieu_([^#]+)", 1), F.lit(""))
     clause = F.nullif(F.regexp_extract(key, "khoan_([^#]+)", 1), F.lit(""))
     foreign = lambda refs: F.exists(refs, lambda r: r["number"].isNotNull() & F.coalesce(r["number"] != number, F.lit(True)))
@@ -121,8 +134,8 @@ def gate(text: Column, key: Column) -> Column:
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
         return F.struct(F.lit(kind).alias("kind"), lit(scope).alias("scope"), targets.alias("targets"), exclusions.alias("exclusions"), lit(derivable).alias("derivable"), lit(negative).alias("negative"), lit(note).alias("note"))
 
-    said = references(_before(text, EFFECT))
-    inner, left_out = own(said), own(references(_after(text, EXCEPT)))
+    said = refs["said"]
+    inner, left_out = own(said), own(refs["left_out"])
     targets, exclusions = keys(inner), keys(left_out)
     dropped = vague(inner) | vague(left_out)
     time = (
@@ -134,7 +147,7 @@ def gate(text: Column, key: Column) -> Column:
     replaces = made("time", "document", none, none, False, False, "replaces")
 
     part = lambda n: F.regexp_extract(text, APPLIES, n)
-    head = references(part(1))
+    head = refs["head"]
     named = F.when(foreign(head), none).otherwise(keys(own(head)))
     negative = part(3).rlike(rf"(?iu){_EDGE}không{_END}")
     word = F.lower(F.regexp_replace(part(2), r"(?U)\s+", " "))
@@ -181,15 +194,17 @@ def duties(text: Column) -> Column:
     return F.lower(text).rlike(f"{_EDGE}(?:{words}){_END}")
 
 
-def verdict(text: Column, title: Column, key: Column, level: Column) -> Column:
+def verdict(text: Column, title: Column, key: Column, level: Column, of: Column | None = None, duty: Column | None = None) -> Column:
     """(type, premise_kind, path, warnings, gate) of a unit: 'actor_cu', 'meta_cu' or 'premise'.
 
     A: a unit without a gate, whose title isn't one of premises or gates, is a norm: by its markers or by default. B: one
     with markers under a title of gates is a norm too; under a title of premises it stays a premise and is warned of. C: a
     gate makes it a gate; else a premise by its title; an article under a title of gates is the gate of its document, a
     clause or point there only names a role. path holds the tests' outcomes in order. level: 'article', 'clause' or 'point'.
+    of and duty: the gate and the markers, where they are in columns already.
     """
-    found, (by_title, kind), duty = gate(text, key), title_class(F.coalesce(title, F.lit(""))), duties(text)
+    found, (by_title, kind) = gate(text, key) if of is None else of, title_class(F.coalesce(title, F.lit("")))
+    duty = duties(text) if duty is None else duty
     has = found.isNotNull()
     aside = F.coalesce(by_title.isin("premise", "meta_cu"), F.lit(False))
     premise_title = F.coalesce(by_title == "premise", F.lit(False))
@@ -211,3 +226,13 @@ def verdict(text: Column, title: Column, key: Column, level: Column) -> Column:
         .when(level == "article", out("meta_cu", none, some("A:title", "B:nothing", "C:article"), nothing, document_gate))
         .otherwise(out("premise", F.lit("vai_tro"), some("A:title", "B:nothing", "C:role"), nothing))
     )
+
+
+def classified(units: DataFrame, text: str, title: str, key: str, level: str) -> DataFrame:
+    """units with type, premise_kind, path, warnings, gate and duty; each piece of evidence is worked out once, in a step of its own."""
+    step = lambda df, columns: df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    # A generator ends a step: what it made is not worked out again for each use.
+    refs = step(units, {f"__{name}": column for name, column in evidence(F.col(text)).items()})
+    found = step(refs, {"__gate": gate(F.col(text), F.col(key), {n: F.col(f"__{n}") for n in ("said", "left_out", "head")}), "duty": duties(F.col(text))})
+    told = step(found, {"__v": verdict(F.col(text), F.col(title), F.col(key), F.col(level), F.col("__gate"), F.col("duty"))})
+    return told.select(*units.columns, "__v.*", "duty")

@@ -188,7 +188,7 @@ def graph_augmented(queries: DataFrame, items: DataFrame, edges: DataFrame, vali
     at = lambda name: F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last(name), "id")) - 1
     both = scored.withColumns({"d": at("dense"), "s": at("sparse")})
     part = lambda rank, weight, has: F.when(has & (F.col(rank) < pool), weight / (RRF + F.col(rank)))
-    both = both.withColumns({"d_part": part("d", DENSE, F.lit(True)), "s_part": part("s", sparse_weight, F.col("sparse").isNotNull())}).where("d_part IS NOT NULL OR s_part IS NOT NULL")
+    both = both.withColumns({"d_part": part("d", DENSE, F.col("dense").isNotNull()), "s_part": part("s", sparse_weight, F.col("sparse").isNotNull())}).where("d_part IS NOT NULL OR s_part IS NOT NULL")
     seen = F.least(F.when(F.col("d_part").isNotNull(), F.col("d")), F.when(F.col("s_part").isNotNull(), 1_000_000 + F.col("s")))
     both = both.select("query", "id", (F.coalesce("d_part", F.lit(0.0)) + F.coalesce("s_part", F.lit(0.0))).alias("score"), seen.alias("first_seen")).join(items.where(valid).select("id"), "id", "left_semi")
     more = both.join(base.select("query", "id"), ["query", "id"], "left_anti")

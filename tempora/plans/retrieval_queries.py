@@ -102,14 +102,14 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HYBRID = f"""dv AS (SELECT vec_id, embedding FROM embeddings), hq AS (SELECT item_id AS query, embedding AS qv FROM benchmark JOIN dv ON vec_id = item_id),
-items AS (SELECT doc_id AS id, embedding AS vector, n_chars, lang FROM documents JOIN dv ON vec_id = doc_id {{scope}}),
+items AS (SELECT doc_id AS id, embedding AS vector, n_chars, lang FROM documents LEFT JOIN dv ON vec_id = doc_id {{scope}}),
 toks AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS w FROM documents WHERE doc_id IN (SELECT id FROM items)), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
 bq AS (SELECT item_id AS query, unnest(list_distinct({_TOKENS.format('text')})) AS term FROM benchmark WHERE item_id IN (SELECT query FROM hq)),
 tf AS (SELECT id, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM bq) GROUP BY id, w, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 bm AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN bq USING (term), st GROUP BY query, id),
 sr AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM bm),
-cs AS (SELECT query, id, round(list_cosine_similarity(qv::DOUBLE[], vector::DOUBLE[]), 9) AS score FROM hq, items),
+cs AS (SELECT query, id, round(list_cosine_similarity(qv::DOUBLE[], vector::DOUBLE[]), 9) AS score FROM hq, items WHERE vector IS NOT NULL),
 dr AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS rank FROM cs),
 u AS (SELECT query, id, 1.0 / (60 + rank) AS part, rank AS seen FROM dr WHERE rank < {{pool}} UNION ALL SELECT query, id, 0.1 / (60 + rank), 1000000 + rank FROM sr WHERE rank < {{pool}}),
 f AS (SELECT query, id, sum(part) AS score, min(seen) AS seen FROM u GROUP BY query, id),
@@ -123,7 +123,7 @@ def _hybrid_sql(scope: str, pool: int, k: int) -> str:
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int, scope=None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "n_chars", "lang").join(vectors, "id")
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "n_chars", "lang").join(vectors, "id", "left")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text").join(vectors.select(F.col("id").alias("query"), "vector"), "query")
     return R.hybrid(queries, items, F.col("n_chars") <= 1500, k, scope=scope).select("query", "id", F.round("score", 9).alias("score"), "place")
 
@@ -260,7 +260,7 @@ def graph_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hybrid's hits, then up to three from the documents one edge away from theirs."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     docs = table(spark, sf_dir, "documents")
-    items = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "n_chars").join(vectors, "id")
+    items = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), "n_chars").join(vectors, "id", "left")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text").join(vectors.select(F.col("id").alias("query"), "vector"), "query")
     edges = docs.select(F.col("doc_id").alias("source_doc"), ((F.col("doc_id") * 7 + 3) % vectors.count()).alias("target_doc"))
     return R.graph_augmented(queries, items, edges, F.col("n_chars") <= 1500)

@@ -64,6 +64,7 @@ def test_folding_and_markers(spark):
 
 def test_html():
     assert inline_html('<p class="x"><b onclick="y">a<i>b</b> c &lt; d<script>x()</script><br/>') == "<b>a<i>b</i></b> c &lt; d<br>"
+    assert inline_html("<a href='>'>t</a> <b title=\"a>b\">u</b>") == "t <b>u</b>"
     assert inline_html(None) is None
     assert inline_html("") == ""
 
