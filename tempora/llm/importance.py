@@ -114,10 +114,12 @@ def _spelled(distinct: pa.Array, parts: list[np.ndarray], end: int) -> pa.Array:
     out[bounds[1:] - 1] = end
     to = bounds[:-1].copy()
     for k, (p, length) in enumerate(zip(parts, lengths, strict=True)):
-        have = np.flatnonzero(length)
-        size = sizes[p[have]]
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to[have] + (k > 0), size) + step] = body[np.repeat(off[p[have]], size) + step]
+        # Places of single bytes are made for some strings at a time.
+        for lo in range(0, n, 1 << 16):
+            have = np.flatnonzero(length[lo : lo + (1 << 16)]) + lo
+            size = sizes[p[have]]
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(to[have] + (k > 0), size) + step] = body[np.repeat(off[p[have]], size) + step]
         to += length
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(out)])
 
@@ -215,6 +217,7 @@ def _features(shards: int, block_bytes: int):
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"]
             for a, b in slices(texts, block_bytes):
+                pa.default_memory_pool().release_unused()
                 rows = _block(ids[a:b], texts.slice(a, b - a), (task << 32) + k, shards)
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
@@ -223,11 +226,11 @@ def _features(shards: int, block_bytes: int):
 
 
 def _cut(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The strings [start, end) of a buffer."""
-    size = end - start
-    bounds = np.append(0, np.cumsum(size))
-    step = np.arange(int(bounds[-1])) - np.repeat(bounds[:-1], size)
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(body[np.repeat(start, size) + step])])
+    """The strings [start, end) of a buffer: ascending, not empty, not touching."""
+    edge = np.zeros(len(body) + 1, np.int8)
+    edge[start], edge[end] = 1, -1
+    kept = body[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(end - start))), pa.py_buffer(kept)])
 
 
 class _Row:
@@ -300,6 +303,8 @@ def _bucket_counts(table: pa.Table) -> pa.Table:
                 # Strings are distinct in a row.
                 count[own] += np.bincount(here[have], times[have], len(own))
         total += np.bincount(_buckets(known), count, BUCKETS)
+        del known, codes, places
+        pa.default_memory_pool().release_unused()
     at = np.flatnonzero(total)
     return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
@@ -318,6 +323,7 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
         for words, kind in _FEATURES.items():
             known, codes, places = _dictionary(rows, words)
             gains_of = gain[_buckets(known)]
+            del known
             for k, (r, own, place) in enumerate(zip(rows, codes, places, strict=True)):
                 if r.kind == kind:
                     of, doc, times = r.met()
@@ -325,6 +331,8 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
                     have = here >= 0
                     part = gains_of[own[here[have]]] * times[have]
                     weights[k] = weights[k] + np.bincount(doc[have], part, int(doc.max(initial=-1)) + 1).astype(np.int64)
+            del codes, places
+            pa.default_memory_pool().release_unused()
         for r, weight in zip(rows, weights, strict=True):
             if r.kind:
                 met = np.unique(r.met()[1])
