@@ -23,42 +23,68 @@ def test_references(spark):
     assert refs(spark, "điều kiện khoảng điểmx 12/2020/TT-NHNN") == []
 
 
-def judge(spark, text, title="", article="37", clause="1", level="clause"):
-    key = f"{ND}#than/dieu_{article}" + (f"#khoan_{clause}" if clause else "")
-    return spark.createDataFrame([(text, title, key, level)], "t string, title string, k string, l string").select(A.verdict(F.col("t"), F.col("title"), F.col("k"), F.col("l")).alias("v")).first()["v"]
-
-
-def test_effect_is_a_gate_of_the_document(spark):
+#: (text, title, article, clause, level) of all units that the tests below ask about: judged in one job.
+UNITS = (
+    ("Nghị định này có hiệu lực thi hành từ ngày 01 tháng 7 năm 2024.", "Hiệu lực thi hành", "37", "1", "clause"),
+    ("Nghị định này có hiệu lực thi hành kể từ ngày 01 tháng 7 năm 2024.", "Hiệu lực thi hành", "37", "1", "clause"),
+    ("Quy định tại Điều 11, Điều 12 Nghị định này có hiệu lực từ ngày 01 tháng 1 năm 2025, trừ trường hợp quy định tại khoản 2 Điều 12.", "", "37", "1", "clause"),
+    ("điểm c khoản 1, điểm b khoản 2 Điều 25 có hiệu lực từ ngày 01 tháng 1 năm 2025", "", "37", "1", "clause"),
+    ("khoản 2 Điều 17, Điều 18 có hiệu lực từ ngày 01 tháng 1 năm 2025", "", "37", "1", "clause"),
+    ("Điều 2 Thông tư số 39/2014/TT-NHNN hết hiệu lực kể từ ngày Thông tư này có hiệu lực", "", "37", "1", "clause"),
+    ("Bãi bỏ Thông tư số 39/2014/TT-NHNN.", "", "37", "1", "clause"),
+    ("Quy định tại khoản 1 Điều này không áp dụng đối với tổ chức.", "", "26", "2", "clause"),
+    ("Quy định tại Mục này chỉ áp dụng đối với tổ chức đã được cấp Giấy phép.", "Điều kiện cung ứng dịch vụ", "20", "1", "clause"),
+    ("Khoản này áp dụng đối với ngân hàng.", "", "3", "4", "clause"),
+    ("Tổ chức cung ứng dịch vụ trung gian thanh toán.", "Đối tượng áp dụng", "37", "1", "clause"),
+    ("1. Tổ chức\n2. Cá nhân", "Đối tượng áp dụng", "37", "1", "article"),
+    ("Ví điện tử là dịch vụ phải thu phí.", "Giải thích từ ngữ", "37", "1", "clause"),
+    ("Bộ trưởng phải tổ chức thực hiện.", "Trách nhiệm thi hành", "37", "1", "clause"),
+    ("Ngân hàng phải báo cáo.", "Điều khoản chuyển tiếp", "37", "1", "clause"),
+    ("tổ chức không phải là ngân hàng", "Giải thích từ ngữ", "37", "1", "clause"),
+    ("số tiền phải thu, phải trả", "Quản lý", "37", "1", "clause"),
+    ("Khách hàng được cấp thẻ.", None, "37", "1", "clause"),
+)
+
+
+@pytest.fixture(scope="module")
+def judge(spark):
+    rows = [(n, text, title, f"{ND}#than/dieu_{article}#khoan_{clause}", level) for n, (text, title, article, clause, level) in enumerate(UNITS)]
+    df = spark.createDataFrame(rows, "n int, t string, title string, k string, l string")
+    found = {UNITS[r["n"]]: r for r in A.classified(df, "t", "title", "k", "l").collect()}
+    return lambda text, title="", article="37", clause="1", level="clause": found[text, title, article, clause, level]
+
+
+def test_effect_is_a_gate_of_the_document(judge):
     for said in ("từ ngày", "kể từ ngày"):
-        v = judge(spark, f"Nghị định này có hiệu lực thi hành {said} 01 tháng 7 năm 2024.", "Hiệu lực thi hành")
+        v = judge(f"Nghị định này có hiệu lực thi hành {said} 01 tháng 7 năm 2024.", "Hiệu lực thi hành")
         assert (v["type"], v["gate"]["kind"], v["gate"]["scope"], v["gate"]["derivable"]) == ("meta_cu", "time", "document", True)
 
 
-def test_effect_of_named_articles_with_exclusions(spark):
-    v = judge(spark, "Quy định tại Điều 11, Điều 12 Nghị định này có hiệu lực từ ngày 01 tháng 1 năm 2025, trừ trường hợp quy định tại khoản 2 Điều 12.")
+def test_effect_of_named_articles_with_exclusions(judge):
+    v = judge("Quy định tại Điều 11, Điều 12 Nghị định này có hiệu lực từ ngày 01 tháng 1 năm 2025, trừ trường hợp quy định tại khoản 2 Điều 12.")
     assert v["gate"]["targets"] == [f"{ND}#than/dieu_11", f"{ND}#than/dieu_12"] and v["gate"]["scope"] == "article"
     assert v["gate"]["exclusions"] == [f"{ND}#than/dieu_12#khoan_2"] and v["gate"]["derivable"]
 
 
-def test_vague_references_give_no_keys(spark):
-    v = judge(spark, "điểm c khoản 1, điểm b khoản 2 Điều 25 có hiệu lực từ ngày 01 tháng 1 năm 2025")
+def test_vague_references_give_no_keys(judge):
+    v = judge("điểm c khoản 1, điểm b khoản 2 Điều 25 có hiệu lực từ ngày 01 tháng 1 năm 2025")
     assert v["gate"]["targets"] == [f"{ND}#than/dieu_25#khoan_2#diem_b"] and not v["gate"]["derivable"] and v["warnings"] == ["scope_unresolved"]
-    v = judge(spark, "khoản 2 Điều 17, Điều 18 có hiệu lực từ ngày 01 tháng 1 năm 2025")
+    v = judge("khoản 2 Điều 17, Điều 18 có hiệu lực từ ngày 01 tháng 1 năm 2025")
     assert (v["gate"]["targets"], v["gate"]["scope"], v["gate"]["note"]) == ([], "document", "unresolved")
 
 
-def test_other_documents_are_not_resolved(spark):
-    v = judge(spark, "Điều 2 Thông tư số 39/2014/TT-NHNN hết hiệu lực kể từ ngày Thông tư này có hiệu lực")
+def test_other_documents_are_not_resolved(judge):
+    v = judge("Điều 2 Thông tư số 39/2014/TT-NHNN hết hiệu lực kể từ ngày Thông tư này có hiệu lực")
     assert (v["gate"]["note"], v["gate"]["targets"], v["gate"]["derivable"]) == ("foreign", [], False)
-    assert judge(spark, "Bãi bỏ Thông tư số 39/2014/TT-NHNN.")["gate"]["note"] == "replaces"
+    assert judge("Bãi bỏ Thông tư số 39/2014/TT-NHNN.")["gate"]["note"] == "replaces"
 
 
-def test_polarity_and_scope_of_subject_gates(spark):
-    v = judge(spark, "Quy định tại khoản 1 Điều này không áp dụng đối với tổ chức.", article="26", clause="2")
+def test_polarity_and_scope_of_subject_gates(judge):
+    v = judge("Quy định tại khoản 1 Điều này không áp dụng đối với tổ chức.", article="26", clause="2")
     assert (v["type"], v["gate"]["negative"], v["gate"]["targets"], v["gate"]["scope"]) == ("meta_cu", True, [f"{ND}#than/dieu_26#khoan_1"], "clause")
-    v = judge(spark, "Quy định tại Mục này chỉ áp dụng đối với tổ chức đã được cấp Giấy phép.", "Điều kiện cung ứng dịch vụ", "20")
+    v = judge("Quy định tại Mục này chỉ áp dụng đối với tổ chức đã được cấp Giấy phép.", "Điều kiện cung ứng dịch vụ", "20")
     assert (v["gate"]["kind"], v["gate"]["scope"], v["gate"]["derivable"], v["gate"]["negative"]) == ("subject", "section", False, False)
-    assert judge(spark, "Khoản này áp dụng đối với ngân hàng.", article="3", clause="4")["gate"]["targets"] == [f"{ND}#than/dieu_3#khoan_4"]
+    assert judge("Khoản này áp dụng đối với ngân hàng.", article="3", clause="4")["gate"]["targets"] == [f"{ND}#than/dieu_3#khoan_4"]
 
 
 @pytest.mark.parametrize(("text", "title", "level", "want"), [
@@ -71,17 +97,12 @@ def test_polarity_and_scope_of_subject_gates(spark):
     ("số tiền phải thu, phải trả", "Quản lý", "clause", ("actor_cu", None, ["A:default"], [])),
     ("Khách hàng được cấp thẻ.", None, "clause", ("actor_cu", None, ["A:default"], [])),
 ])
-def test_three_tests(spark, text, title, level, want):
-    v = judge(spark, text, title, level=level)
+def test_three_tests(judge, text, title, level, want):
+    v = judge(text, title, level=level)
     assert (v["type"], v["premise_kind"], v["path"], v["warnings"]) == want
 
 
-def guard(spark, text):
-    row = spark.createDataFrame([(text,)], "t string").select(*(c.alias(n) for c, n in zip(U.guards_in(F.col("t")), "gw"))).first()
-    return (tuple(row["g"]) if row["g"] else None), row["w"]
-
-
-@pytest.mark.parametrize(("text", "want"), [
+GUARDS = (
     ("(i) Đối với khách hàng là cá nhân: giấy tờ tùy thân", (("khách hàng", "cá nhân"), "")),
     ("a) giấy tờ (đối với khách hàng là tổ chức), con dấu", (("khách hàng", "tổ chức"), "")),
     ("1. Đối với tài khoản thanh toán của cá nhân: mở tại chi nhánh", (("tài khoản thanh toán", "cá nhân"), "")),
@@ -93,9 +114,14 @@ def guard(spark, text):
     ("nộp hồ sơ đối với ví điện tử, thẻ", (None, "odd")),
     ("không có gì", (None, "")),
     (None, (None, "")),
-])
-def test_guards(spark, text, want):
-    assert guard(spark, text) == want
+)
+
+
+def test_guards(spark):
+    rows = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(GUARDS)], "n int, t string")
+    found, warning = U.guards_in(F.col("t"))
+    got = {r["n"]: (tuple(r["g"]) if r["g"] else None, r["w"]) for r in rows.select("n", found.alias("g"), warning.alias("w")).collect()}
+    assert [got[n] for n in range(len(GUARDS))] == [want for _, want in GUARDS]
 
 
 def test_guards_along_the_path(spark):
