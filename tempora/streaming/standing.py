@@ -31,7 +31,7 @@ class Standing(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for r in batch.itertuples(index=False):
-                at = r.valid_from.value // 1_000_000
+                at = r.valid_from
                 if r.kind == "withdraw":
                     if not self.withdrawn.containsKey((r.target,)) or at < self.withdrawn.getValue((r.target,))[0]:
                         self.withdrawn.updateValue((r.target,), (at,))
@@ -66,7 +66,9 @@ def standing(changes: DataFrame, late: str) -> DataFrame:
     Of a unit's changes that aren't withdrawn as of then, the one of the latest date counts, ties to the greater id: a text is
     in force, a repeal repeals. Dates must not be null. Repeated changes count once; ids must not be used for two changes.
     """
-    return changes.withWatermark("ts", late).groupBy("unit").transformWithStateInPandas(Standing(), STANDING, "Append", "EventTime")
+    # Moments travel as milliseconds: in pandas they would be wall time of the session.
+    rows = changes.withWatermark("ts", late).withColumn("valid_from", F.unix_millis("valid_from"))
+    return rows.groupBy("unit").transformWithStateInPandas(Standing(), STANDING, "Append", "EventTime")
 
 
 def standing_at(changes: DataFrame, as_of) -> DataFrame:
