@@ -73,6 +73,10 @@ def badge_labels(lines: DataFrame, key: str) -> DataFrame:
 
 
 def cleaned_texts(lines: DataFrame, key: str) -> DataFrame:
-    """(key, text): the kept lines of each text, joined again; empty where none is kept."""
+    """(key, text, n_lines, n_kept, n_differs, n_glued): the kept lines of each text, joined again, and counts of its lines.
+
+    The text is empty where no line is kept.
+    """
     kept = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("line_no", "line"))))
-    return lines.groupBy(key).agg(F.array_join(F.transform(kept, lambda r: r["line"]), "\n").alias("text"))
+    counts = (F.count_if(c).alias(f"n_{c}") for c in ("kept", "differs", "glued"))
+    return lines.groupBy(key).agg(F.array_join(F.transform(kept, lambda r: r["line"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_lines"), *counts)

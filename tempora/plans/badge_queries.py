@@ -41,10 +41,8 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LINES} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE kept) AS n_kept, count(*) FILTER (WHERE before <> said) AS n_differs, count(*) FILTER (WHERE i % 11 = 9) AS n_glued, sha256(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE kept)) AS kept_sha256 FROM k GROUP BY doc_id""")
 def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without page marks and repeated units, and how many of its clauses differ under one number."""
-    lines = B.marked_lines(_numbered(spark, sf_dir), "doc_id", "text")
-    count = lambda c: F.count_if(F.col(c))
-    numbers = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), count("kept").alias("n_kept"), count("differs").alias("n_differs"), count("glued").alias("n_glued"))
-    return numbers.join(B.cleaned_texts(lines, "doc_id").select("doc_id", F.sha2("text", 256).alias("kept_sha256")), "doc_id")
+    texts = B.cleaned_texts(B.marked_lines(_numbered(spark, sf_dir), "doc_id", "text"), "doc_id")
+    return texts.select("doc_id", "n_lines", "n_kept", "n_differs", "n_glued", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query(f"""WITH {_LINES} SELECT b.doc_id, (b.i)::INTEGER AS line_no, b.said AS badge, CAST(n.nth AS VARCHAR) AS article, n.level, CASE n.level WHEN 'clause' THEN left(n.said, 1) END AS number FROM k b JOIN k n ON n.doc_id = b.doc_id AND n.i = b.i + 1 WHERE b.level = 'badge'""")
