@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,8 +28,16 @@ HARD, TURN_WORDS = ("obligation", "prohibition"), 6
 #: Words by which a text points at its own unit.
 SELF = {"article": "Điều", "clause": "khoản"}
 _LETTER = r"\p{L}\p{N}_À-ỹ"
-_MARKER = "|".join(sorted((m for group in LEXICON.values() for m in group), key=len, reverse=True))
-_AT = rf"(?<![{_LETTER}])({_MARKER})(?![{_LETTER}])"
+
+
+def _whole(words: Iterable[str]) -> str:
+    """A pattern of words that stand whole, the longest first; the letters they begin with are looked at before all else."""
+    return rf"(?=[{''.join(sorted({w[0] for w in words}))}])(?<![{_LETTER}])({'|'.join(sorted(words, key=len, reverse=True))})(?![{_LETTER}])"
+
+
+_AT = _whole([m for group in LEXICON.values() for m in group])
+# No other marker holds a hard one within, so these can be looked for on their own.
+_HARD_AT = _whole([m for group in HARD for m in LEXICON[group]])
 _EDITS = ArrayType(StructType([StructField("at", IntegerType()), *(StructField(c, StringType()) for c in ("kind", "source", "claim"))]))
 
 
@@ -62,11 +70,11 @@ def plain_numbers(text: Column) -> Column:
 
 
 def loose_duties(claim: Column, source: Column) -> Column:
-    """Hard markers of a claim, each with the word or sign after it, that the source doesn't hold in that company."""
-    ahead = rf"{_AT}(?=\s*([{_LETTER}]+|[^\s{_LETTER}])?)"
-    part = lambda n: F.regexp_extract_all(F.lower(claim), F.lit(ahead), n)
-    said = F.filter(F.arrays_zip(part(1).alias("marker"), part(2).alias("next")), lambda p: group_of(p["marker"]).isin(*HARD))
-    return F.filter(F.transform(said, lambda p: F.rtrim(F.concat(p["marker"], F.lit(" "), p["next"]))), lambda p: ~F.contains(F.lower(source), p))
+    """Hard markers of a claim, each with the word or sign after it, that the source doesn't hold in that company; both in lower case."""
+    ahead = rf"{_HARD_AT}(?=\s*([{_LETTER}]+|[^\s{_LETTER}])?)"
+    part = lambda n: F.regexp_extract_all(claim, F.lit(ahead), n)
+    said = F.zip_with(part(1), part(2), lambda marker, after: F.rtrim(F.concat(marker, F.lit(" "), after)))
+    return F.filter(said, lambda p: ~F.contains(source, p))
 
 
 def spelled_out(claim: Column, source: Column, unit: dict[str, Column]) -> Column:
@@ -86,13 +94,19 @@ def token_counts(pairs: DataFrame, id_: str) -> DataFrame:
     unit counts numbers that only spell out the unit; kind 'loose' are the claim's hard markers in new company. A pair
     without tokens keeps one row whose token is null. Ids are unique.
     """
-    text = {side: F.coalesce(F.col(side), F.lit("")) for side in ("claim", "source", "evidence")}
+    sides = ("claim", "source", "evidence")
     rows = lambda side, kind, found: F.transform(found, lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("token")))
-    parts = [rows(side, kind, find(t)) for side, t in text.items() for kind, find in (("marker", markers), ("number", plain_numbers))]
-    parts.append(rows("claim", "loose", loose_duties(text["claim"], text["source"])))
     unit = {level: F.coalesce(F.col(level), F.lit(0)) for level in SELF}
-    parts.append(rows("unit", "number", spelled_out(text["claim"], text["source"], unit)))
-    found = pairs.select(F.col(id_), F.explode_outer(F.concat(*parts)).alias("t")).select(id_, "t.*")
+    whole = pairs.select(id_, *unit.keys(), *(F.coalesce(F.col(s), F.lit("")).alias(s) for s in sides))
+    # Lower case and the claim's markers are columns of their own, as several expressions read them.
+    low = whole.select("*", *(F.lower(s).alias(f"__{s}") for s in sides)).withColumn("__markers", F.regexp_extract_all("__claim", F.lit(_AT), 1))
+    marked = {"claim": F.col("__markers")} | {s: F.regexp_extract_all(f"__{s}", F.lit(_AT), 1) for s in sides[1:]}
+    none = F.array().cast("array<string>")
+    hard = F.exists("__markers", lambda m: group_of(m).isin(*HARD))
+    parts = [rows(s, "marker", marked[s]) for s in sides] + [rows(s, "number", plain_numbers(F.col(s))) for s in sides]
+    parts.append(rows("claim", "loose", F.when(hard, loose_duties(F.col("__claim"), F.col("__source"))).otherwise(none)))
+    parts.append(rows("unit", "number", spelled_out(F.col("claim"), F.col("source"), unit)))
+    found = low.select(id_, F.explode_outer(F.concat(*parts)).alias("t")).select(id_, "t.*")
     return found.groupBy(id_, "kind", "token").agg(*(F.count_if(F.col("side") == s).alias(s) for s in ("claim", "source", "evidence", "unit")))
 
 

@@ -36,6 +36,7 @@ SELECT e.doc_id, e.i::INTEGER AS sentence, coalesce(array_to_string(added, ','),
 FROM e LEFT JOIN b ON b.doc_id = e.doc_id AND b.i = e.i LEFT JOIN a ON a.doc_id = e.doc_id AND a.i = e.i LEFT JOIN o ON o.doc_id = e.doc_id AND o.i = e.i""")
 def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of all documents as a claim about the one before it, the one before that being its wider evidence."""
+
     def word(w, s):
         out = w
         for n, said in _SAID.items():
@@ -43,12 +44,10 @@ def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = F.when(F.char_length(w) == 6, F.concat(F.lit("Điều "), (F.char_length(s) % 5 + 1).cast("string"))).otherwise(out)
         return F.when(F.char_length(w) == 5, (F.char_length(s) % 7).cast("string")).otherwise(out)
 
-    def told(piece):
-        s = F.trim(F.regexp_replace(piece, r"[\s\p{Z}]+", " "))
-        return F.array_join(F.transform(F.split(s, " ", -1), lambda w: word(w, s)), " ")
-
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    said = docs.select("doc_id", F.transform(F.split("text", r"[.\n]+", -1), told).alias("__said"))
+    # The sentences are an array of their own, so that what depends on a whole sentence isn't worked out anew for each word.
+    sentences = F.transform(F.split("text", r"[.\n]+", -1), lambda piece: F.trim(F.regexp_replace(piece, r"[\s\p{Z}]+", " ")))
+    told = F.transform(sentences, lambda s: F.array_join(F.transform(F.split(s, " ", -1), lambda w: word(w, s)), " "))
+    said = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", told.alias("__said"))
     each = F.transform("__said", lambda s, i: F.struct(i.alias("sentence"), s.alias("claim"), F.get("__said", i - 1).alias("source"), F.get("__said", i - 2).alias("evidence")))
     pairs = said.select("doc_id", F.explode(each).alias("p")).select(F.struct("doc_id", "p.sentence").alias("id"), "p.claim", "p.source", "p.evidence", (F.col("p.sentence") % 6).alias("article"), F.lit(0).alias("clause"))
     lists = ("added", "lost", "invented", "numbers", "notes")
