@@ -1,7 +1,7 @@
 """Wording: what a claim adds to the text it cites, loses from it or turns round in it, and which of that other texts bear out.
 
-Counts of markers and numbers are rows of (id, token), so that long texts cost what they hold; only the alignment of two
-word sequences is Python, in Arrow batches. A null text is an empty one.
+Markers and numbers are counted within the row, as runs of sorted tokens; nothing is shuffled. Only the alignment of two
+word sequences is Python, in Arrow batches. A null text is an empty one; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -61,7 +61,8 @@ def groups(text: Column) -> Column:
 
 def plain_number(digits: Column) -> Column:
     """Digits without points, commas and leading zeros."""
-    return F.regexp_replace(F.regexp_replace(digits, "[.,]", ""), r"^0+(?=\d)", "")
+    kept = F.ltrim(F.translate(digits, ".,", ""), F.lit("0"))
+    return F.when(kept == "", "0").otherwise(kept)
 
 
 def plain_numbers(text: Column) -> Column:
@@ -88,26 +89,36 @@ def spelled_out(claim: Column, source: Column, unit: dict[str, Column]) -> Colum
     return F.array_compact(F.array(*out))
 
 
-def token_counts(pairs: DataFrame, id_: str) -> DataFrame:
-    """(id, kind, token, claim, source, evidence, unit): how often each text of a pair holds a marker or number.
+def token_runs(pairs: DataFrame, id_: str) -> DataFrame:
+    """(id, runs): for each pair the markers and numbers of its texts, sorted, with how often each text holds them.
 
-    unit counts numbers that only spell out the unit; kind 'loose' are the claim's hard markers in new company. A pair
-    without tokens keeps one row whose token is null. Ids are unique.
+    runs: array of (kind, token, claim, source, evidence, unit). unit counts numbers that only spell out the unit; kind
+    'loose' are the claim's hard markers in new company. All within the row: tokens are sorted, and runs of equal ones are
+    measured by where the next begins, so that nothing is shuffled and long texts cost what they hold.
     """
     sides = ("claim", "source", "evidence")
-    rows = lambda side, kind, found: F.transform(found, lambda t: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), t.alias("token")))
+    rows = lambda side, kind, found: F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"), F.lit(side).alias("side")))
     unit = {level: F.coalesce(F.col(level), F.lit(0)) for level in SELF}
     whole = pairs.select(id_, *unit.keys(), *(F.coalesce(F.col(s), F.lit("")).alias(s) for s in sides))
     # Lower case and the claim's markers are columns of their own, as several expressions read them.
     low = whole.select("*", *(F.lower(s).alias(f"__{s}") for s in sides)).withColumn("__markers", F.regexp_extract_all("__claim", F.lit(_AT), 1))
     marked = {"claim": F.col("__markers")} | {s: F.regexp_extract_all(f"__{s}", F.lit(_AT), 1) for s in sides[1:]}
-    none = F.array().cast("array<string>")
     hard = F.exists("__markers", lambda m: group_of(m).isin(*HARD))
     parts = [rows(s, "marker", marked[s]) for s in sides] + [rows(s, "number", plain_numbers(F.col(s))) for s in sides]
-    parts.append(rows("claim", "loose", F.when(hard, loose_duties(F.col("__claim"), F.col("__source"))).otherwise(none)))
+    parts.append(rows("claim", "loose", F.when(hard, loose_duties(F.col("__claim"), F.col("__source"))).otherwise(F.array().cast("array<string>"))))
     parts.append(rows("unit", "number", spelled_out(F.col("claim"), F.col("source"), unit)))
-    found = low.select(id_, F.explode_outer(F.concat(*parts)).alias("t")).select(id_, "t.*")
-    return found.groupBy(id_, "kind", "token").agg(*(F.count_if(F.col("side") == s).alias(s) for s in ("claim", "source", "evidence", "unit")))
+    tokens = low.select(id_, F.array_sort(F.concat(*parts)).alias("__tokens"))
+    at = lambda i: F.get("__tokens", i)
+    new = lambda i: (i == 0) | (at(i)["token"] != at(i - 1)["token"]) | (at(i)["kind"] != at(i - 1)["kind"])
+    # A sequence can't be empty: the one that ends where it begins stands for no tokens and is filtered out.
+    starts = tokens.withColumn("__starts", F.filter(F.sequence(F.lit(0), F.size("__tokens")), lambda i: (i < F.size("__tokens")) & new(i)))
+    ends = F.concat(F.slice("__starts", F.lit(2), F.size("__starts")), F.array(F.size("__tokens")))
+
+    def run(start: Column, end: Column) -> Column:
+        count = lambda side: F.size(F.filter(F.slice("__tokens", start + 1, end - start), lambda t: t["side"] == side))
+        return F.when(start.isNotNull(), F.struct(at(start)["kind"].alias("kind"), at(start)["token"].alias("token"), *(count(s).alias(s) for s in (*sides, "unit"))))
+
+    return starts.select(id_, F.array_compact(F.zip_with("__starts", ends, run)).alias("runs"))
 
 
 def wording_deltas(pairs: DataFrame, id_: str) -> DataFrame:
@@ -116,20 +127,21 @@ def wording_deltas(pairs: DataFrame, id_: str) -> DataFrame:
     added, lost: 'group:marker' that the claim has more often, or less often, than its source. invented: hard groups, and
     numbers: those, that neither source nor evidence bears out. A number that spells out 'this article' is no invention.
     turned_duty: a condition was lost and a duty stands in new company; wider evidence doesn't excuse that. notes: what was
-    excused, as 'group:<g>:evidence', 'number:<n>:evidence' or 'number:<n>:unit'; the last goes first where both would do.
+    excused, as 'group:<g>:evidence', 'number:<n>:evidence' or 'number:<n>:unit'; where both would do, the unit is named.
     """
-    counts = token_counts(pairs, id_).withColumn("group", F.when(F.col("kind") == "marker", group_of(F.col("token"))))
-    marker, number = F.col("kind") == "marker", (F.col("kind") == "number") & (F.col("claim") > F.col("source"))
-    named = F.concat_ws(":", "group", "token")
-    some = lambda holds, value: F.array_sort(F.collect_set(F.when(holds, value)))
-    by_unit, by_evidence = F.col("unit") > 0, F.col("claim") <= F.col("evidence")
-    sets = counts.groupBy(id_).agg(
-        some(marker & (F.col("claim") > F.col("source")), named).alias("added"), some(marker & (F.col("claim") < F.col("source")), named).alias("lost"),
-        *(some(F.col(side) > 0, F.col("group")).alias(f"__{side}") for side in ("claim", "source", "evidence")),
-        some(number & ~by_unit & ~by_evidence, F.col("token")).alias("numbers"),
-        some(number & by_unit, F.concat(F.lit("number:"), "token", F.lit(":unit"))).alias("__unit"),
-        some(number & ~by_unit & by_evidence, F.concat(F.lit("number:"), "token", F.lit(":evidence"))).alias("__wide"),
-        F.coalesce(F.bool_or(F.col("kind") == "loose"), F.lit(False)).alias("__loose"),
+    marker = lambda r: r["kind"] == "marker"
+    number = lambda r: (r["kind"] == "number") & (r["claim"] > r["source"])
+    named = lambda r: F.concat_ws(":", group_of(r["token"]), r["token"])
+    take = lambda holds, value: F.array_sort(F.transform(F.filter("runs", holds), value))
+    held = lambda side: F.array_distinct(take(lambda r: marker(r) & (r[side] > 0), lambda r: group_of(r["token"])))
+    excuse = lambda by: lambda r: F.concat(F.lit("number:"), r["token"], F.lit(f":{by}"))
+    by_unit, by_evidence = (lambda r: r["unit"] > 0), (lambda r: r["claim"] <= r["evidence"])
+    sets = token_runs(pairs, id_).select(
+        id_, take(lambda r: marker(r) & (r["claim"] > r["source"]), named).alias("added"), take(lambda r: marker(r) & (r["claim"] < r["source"]), named).alias("lost"),
+        *(held(side).alias(f"__{side}") for side in ("claim", "source", "evidence")),
+        take(lambda r: number(r) & ~by_unit(r) & ~by_evidence(r), lambda r: r["token"]).alias("numbers"),
+        take(lambda r: number(r) & by_unit(r), excuse("unit")).alias("__unit"), take(lambda r: number(r) & ~by_unit(r) & by_evidence(r), excuse("evidence")).alias("__wide"),
+        F.exists("runs", lambda r: r["kind"] == "loose").alias("__loose"),
     )
     brought = F.array_intersect(F.array_except("__claim", "__source"), F.array(*map(F.lit, HARD)))
     excused = F.transform(F.array_intersect(brought, F.col("__evidence")), lambda g: F.concat(F.lit("group:"), g, F.lit(":evidence")))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -108,3 +109,12 @@ def places(text):
     """(marker, end) of each marker in order."""
     all_ = sorted((m for ms in W.LEXICON.values() for m in ms), key=len, reverse=True)
     return [(m.group(), m.end()) for m in re.finditer(rf"(?<!\w)(?:{'|'.join(all_)})(?!\w)", text.lower())]
+
+
+def test_a_long_claim_is_counted_in_linear_time(spark):
+    said = " ".join(str(n % 50_000) for n in range(100_000))
+    rows = [("long", said + " phải 7", said, "", 0, 0), ("long", said + " phải 7", said, "phải", 0, 0)]
+    began = time.perf_counter()
+    got = W.wording_deltas(spark.createDataFrame(rows, PAIR), "id").orderBy("invented").collect()
+    assert [(r["invented"], r["numbers"], r["lost"]) for r in got] == [([], ["7"], []), (["obligation"], ["7"], [])]
+    assert time.perf_counter() - began < 30
