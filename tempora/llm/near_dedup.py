@@ -9,15 +9,15 @@ Classes are the connected components of these links.
 similarity(a, b) = A / (|a| + |b| - A), with A the length of the longest common subsequence of the two sequences of
 five-word shingles: Jaccard similarity that respects order.
 
-Exact copies are folded onto their smallest id before anything else, by aggregation. A sample that many documents share
-gives each of them a link to the sample's smallest document and to a few others, dealt anew for every sample, never all
-pairs. Families larger than a block are aligned block by block; blocks are dealt anew as long as that finds a link. After
-that, every candidate of these families whose sides are not yet in one class is aligned.
+Exact copies are folded onto their smallest id before anything else, by aggregation. Documents that share a sample all
+meet: those of a small group as pairs, those of a larger one in blocks, two at a time, of which a task keeps as few pairs
+as connect what agrees; so a family holds every two documents that agree. Families larger than a block are aligned block by
+block; blocks are dealt anew as long as that links enough. Then what still agrees across classes is connected once more,
+and every two blocks of such documents are aligned with each other, so that no pair that agrees is left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,8 +34,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: of about s**4: at 0.8 on 13 of 32, and on fewer than AGREE of 32 once in a thousand pairs. Of few shingles, c shared and
 #: u in all, samples agree with C(c, 4) / C(u, 4), which is less: below SHORT shingles one sample is enough.
 SAMPLES, LENGTH, AGREE, SHORT = 32, 4, 5, 40
-#: Documents that a shared sample brings together at once, and that are aligned together.
-NEAR, BLOCK = 8, 64
+#: Documents that share a sample and meet as pairs, that are aligned together while classes form, and of a block of larger
+#: groups: of their samples, and of their texts. These deal the work out; none of them bounds what meets.
+NEAR, BLOCK, MEET, TEXTS = 8, 64, 2048, 256
+#: Families are dealt anew while that links one in so many of the documents of large families.
+FEW = 100
 _RNG = np.random.default_rng(7919)
 _XOR = _RNG.integers(0, 2**63, (SAMPLES, 1), dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**62, (SAMPLES, 1), dtype=np.uint64) * U64(2) + U64(1)
@@ -160,11 +163,48 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
+def _connect(table: pa.Table) -> pa.Table:
+    """In each pair of blocks of a sample's documents, as few pairs as connect those of two classes that agree."""
+    key, i, j, ids, n, known = (np.asarray(table[c]) for c in ("key", "i", "j", "id", "n", "known"))
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
+    by = np.lexsort((ids, j, i, key))
+    new = np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in (key, i, j)])
+    a, b = [], []
+    for left in np.split(by, np.flatnonzero(new) + 1):
+        while len(left) > 1:
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                k = reached.pop()
+                low, high = np.minimum(n[left], n[k]), np.maximum(n[left], n[k])
+                near = (known[left] != known[k]) & (low >= SIMILARITY * high - 1e-9) & ((sig[left] == sig[k]).sum(1) >= _least_agreeing(low))
+                hit, left = left[near], left[~near]
+                reached += hit.tolist()
+                a.append(np.full(len(hit), ids[k]))
+                b.append(ids[hit])
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+
+
+def _in_pairs(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """rows with i and j: each group dealt into blocks of about `most` rows by id, each row once for each pair of blocks it is in."""
+    blocks = F.ceil(F.col(size) / most).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", group), blocks).cast("int")).withColumn("blocks", blocks)
+    others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _connected(rows: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) that connect those of two classes that agree, of rows (key, many, id, n, sig, known) that share a key."""
+    dealt = _in_pairs(rows, "key", "many", MEET).withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, total // MEET))))
+    return dealt.groupBy("part").applyInArrow(_connect, "a long, b long")
+
+
 def _align(table: pa.Table) -> pa.Table:
     """Links inside each block of a family, as few as connect what the similarity connects; known classes stay joined."""
     ids, block, known = (table[c].to_pylist() for c in ("id", "block", "known"))
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
-    runs = [own.tolist() for _, own, _ in shingle_runs(table["text"].combine_chunks())]
+    shingles = [own for _, own, _ in shingle_runs(table["text"].combine_chunks())]
     members: dict[str, list[int]] = {}
     for i in sorted(range(len(ids)), key=ids.__getitem__):
         members.setdefault(block[i], []).append(i)
@@ -180,56 +220,47 @@ def _align(table: pa.Table) -> pa.Table:
         seen: dict[int, int] = {}
         for i in rows:
             root[find(i)] = find(seen.setdefault(known[i], i))
-        sets = {i: Counter(runs[i]) for i in rows}
-        agree = np.concatenate([(sig[rows][k : k + 1] == sig[rows]).sum(1)[None] for k in range(len(rows))])
-        n = np.array([len(runs[i]) for i in rows])
-        x, y = np.nonzero(np.triu(agree >= _least_agreeing(np.minimum(n[:, None], n[None, :])), 1))
-        for k in np.argsort(-agree[x, y], kind="stable"):
-            i, j = rows[x[k]], rows[y[k]]
-            if find(i) == find(j):
-                continue
-            total = len(runs[i]) + len(runs[j])
-            small, large = sorted((sets[i], sets[j]), key=len)
-            if sum(min(v, large[s]) for s, v in small.items() if s in large) < SIMILARITY * total / (1 + SIMILARITY) - 1e-9:
+        if len(seen) == 1:
+            continue
+        runs = {i: shingles[i].tolist() for i in rows}
+        n, own, sigs = np.array([len(runs[i]) for i in rows]), np.array([find(i) for i in rows]), sig[rows]
+        codes = np.unique(np.concatenate([_labelled(shingles[i]) for i in rows]), return_inverse=True)[1]
+        first = np.cumsum(n) - n
+        mark = np.zeros(int(codes.max()) + 1, bool)
+        open_pairs: list[np.ndarray] = []
+        for k in range(len(rows) - 1):
+            agree = (sigs[k + 1 :] == sigs[k]).sum(1)
+            at = np.flatnonzero((own[k + 1 :] != own[k]) & (agree >= _least_agreeing(np.minimum(n[k + 1 :], n[k])))) + k + 1
+            if not len(at):
                 continue
-            if value := similarity(runs[i], runs[j]):
+            # What two documents share without regard to order bounds what they share in order.
+            mark[codes[first[k] : first[k] + n[k]]] = True
+            common = np.add.reduceat(mark[codes], first)[at]
+            mark[:] = False
+            at = at[common >= SIMILARITY * (n[at] + n[k]) / (1 + SIMILARITY) - 1e-9]
+            open_pairs.append(np.stack([np.full(len(at), k), at, agree[at - k - 1]]))
+        x, y, agree = np.concatenate([np.zeros((3, 0), np.int64), *open_pairs], axis=1)
+        for k in np.argsort(-agree, kind="stable"):
+            i, j = rows[x[k]], rows[y[k]]
+            if find(i) != find(j) and (value := similarity(runs[i], runs[j])):
                 root[find(j)] = find(i)
                 links.append((ids[i], ids[j], value))
     return pa.table({n: pa.array([r[k] for r in links], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
 
 
-def _align_candidates(table: pa.Table) -> pa.Table:
-    """Links among the candidates of some hubs: each row is a hub's own text (hub = id) or that of a candidate of the hub."""
-    hub, ids, known = (table[c].to_pylist() for c in ("hub", "id", "known"))
-    runs = [own.tolist() for _, own, _ in shingle_runs(table["text"].combine_chunks())]
-    own = {(h, k): run for h, k, i, run in zip(hub, table["chunk"].to_pylist(), ids, runs, strict=True) if h == i}
-    label = {h: k for h, i, k in zip(hub, ids, known, strict=True) if h == i}
-    root: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while (up := root.setdefault(i, i)) != i:
-            root[i] = i = root[up]
-        return i
-
-    links: list[tuple[int, int, float]] = []
-    for h, c, i, k, run in zip(hub, table["chunk"].to_pylist(), ids, known, runs, strict=True):
-        if h != i and (x := find(label[h])) != (y := find(k)) and (value := similarity(own[h, c], run)):
-            root[y] = x
-            links.append((h, i, value))
-    return pa.table({n: pa.array([r[k] for r in links], t) for k, (n, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())))})
-
-
-def _open_candidates(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
-    """(rows of _align_candidates, their number of candidates) for the candidates of large families in two classes."""
-    label = texts.where(F.col("size") > BLOCK).select("id").join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("known"))
+def _left_over(pairs: DataFrame, groups: DataFrame, total: int, texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
+    """(rows of _align, their number): all blocks of large families' documents that agree with some of another class, two by two."""
+    label = written(texts.where(F.col("size") > BLOCK).select("id").join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("known")), "labels")
     side = lambda s: label.select(F.col("id").alias(s), F.col("known").alias(f"k{s}"))
-    still = written(pairs.join(side("b"), "b").join(side("a"), "a").where("ka <> kb"), "candidates")
-    # A document that is the smallest of many samples has its candidates in chunks of about BLOCK, each with its text.
-    many = still.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"))
-    edges = still.join(many, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "chunks").alias("chunk"), "ka", F.col("b").alias("id"), F.col("kb").alias("known"))
-    hubs = edges.select("hub", "chunk", F.col("hub").alias("id"), F.col("ka").alias("known")).distinct()
-    rows = hubs.unionAll(edges.select("hub", "chunk", "id", "known")).join(texts.select("id", "text").hint("merge"), "id")
-    return rows, still.count()
+    few = pairs.join(side("b"), "b").join(side("a"), "a").where("ka <> kb").select("a", "b")
+    named = groups.join(label, "id")
+    mixed = named.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("key")
+    open_pairs = few.unionAll(_connected(named.join(mixed, "key", "left_semi"), total))
+    family = connected_components(open_pairs)
+    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    rows = written(_in_pairs(family.join(sizes, "component").join(label, "id"), "component", "many", TEXTS), "left_over")
+    block = F.concat_ws("/", "component", "i", "j").alias("block")
+    return rows.select("id", "known", block).join(texts.select("id", "sig", "text").hint("merge"), "id"), rows.count()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,22 +280,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = written(folded.where("copy_of IS NULL OR id = copy_of").select(*sketches.columns).dropDuplicates(["id"]), "distinct")
 
     keyed = distinct.select("id", "n", "sig", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("id", "n", "sig")).alias("least")).where("many > 1")
-    shared = written(shared, "shared")
-    met = join_hot(keyed, shared, ["key"], "many", SAMPLES * total).withColumn("deal", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("many") / NEAR)))
-    met = written(met.drop("many"), "met")
-    side = lambda s: met.select("key", "deal", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
-    near = side("a").join(side("b"), ["key", "deal"]).where("a < b").select("a", "b", "na", "nb", "sa", "sb")
-    star = met.where("id > least.id").select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.col("least.n").alias("na"), F.col("n").alias("nb"), F.col("least.sig").alias("sa"), F.col("sig").alias("sb"))
-    pairs = written(near.unionAll(star.distinct()).mapInArrow(_agreeing, "a long, b long").distinct(), "pairs")
-
-    family = connected_components(pairs)
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
+    met = written(join_hot(keyed, shared, ["key"], "many", SAMPLES * total), "met")
+    side = lambda s: met.where(F.col("many") <= NEAR).select("key", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
+    near = side("a").join(side("b"), "key").where("a < b").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = written(near.mapInArrow(_agreeing, "a long, b long").distinct(), "pairs")
+    groups = met.where(F.col("many") > NEAR)
+    grouped = groups.count()
+    connected = written(_connected(groups.withColumn("known", F.col("id")), grouped), "connected")
+
+    family = connected_components(pairs.unionAll(connected))
     sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # Texts are dealt out by id at every size: the plan, and with it the disk it takes, doesn't change as families grow.
     texts = ids.join(family.join(sizes, "component").hint("merge"), "id").join(distinct.select("id", "sig"), "id")
     texts = written(texts.dropDuplicates(["id"]), "families")
     links = classes = None
-    deal = 0
+    deal, large = 0, texts.where(F.col("size") > BLOCK).count()
     while True:
         if classes is None:
             todo = texts.withColumn("known", F.col("id"))
@@ -276,15 +307,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         todo = todo.withColumn("block", F.concat_ws("/", "component", spread))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(1, texts.count() // (4 * BLOCK)))))
         new = written(dealt.groupBy("part").applyInArrow(_align, "a long, b long, similarity double"), "links")
-        if new.isEmpty() and links is not None:
-            break
-        links = new if links is None else links.unionAll(new)
+        links, found = new if links is None else links.unionAll(new), new.count()
         classes = connected_components(links).select("id", F.col("component").alias("class_id"))
         deal += 1
-    rows, open_count = _open_candidates(pairs, texts, classes)
-    if open_count:
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64("hub", "chunk"), F.lit(max(1, open_count // (4 * BLOCK)))))
-        links = links.unionAll(written(dealt.groupBy("part").applyInArrow(_align_candidates, "a long, b long, similarity double"), "links"))
+        # Dealing only saves alignments: what it leaves is met in full.
+        if found * FEW < large or not large:
+            break
+    rows, left = _left_over(pairs, groups, grouped, texts, classes)
+    if left:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(1, left // (2 * TEXTS)))))
+        links = links.unionAll(written(dealt.groupBy("part").applyInArrow(_align, "a long, b long, similarity double"), "links"))
         classes = connected_components(links).select("id", F.col("component").alias("class_id"))
     kept = join_hot(all_sketches.select("id", "p", "q", "n"), copies, ["p", "q", "n"], "many", total, "left")
     kept = kept.select("id", F.when(F.col("n") > 0, F.coalesce("copy_of", "id")).otherwise(F.col("id")).alias("copy_of"))

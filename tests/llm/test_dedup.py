@@ -3,11 +3,14 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import components as C
-from tempora.llm.near_dedup import banded_lcs, near_duplicate_classes, similarity
+from tempora.llm import near_dedup as N
+from tempora.llm.near_dedup import banded_lcs, near_duplicate_classes, order_min_hash, shingle_runs, similarity
 from tempora.llm.substring_dedup import remove_repeated_passages
 
 from . import cases
@@ -148,3 +151,28 @@ def test_few_links_of_a_large_family_are_lost(spark):
         lost += any(similarity(runs[i], runs[j]) for j in near if got[i] != i or sum(c == got[i] for c in got.values()) == 1)
     print("lost", lost, "classes", len(set(got.values())))
     assert lost <= 9
+
+
+@pytest.mark.parametrize("blocks", [{"NEAR": 2, "BLOCK": 2, "MEET": 16, "TEXTS": 8}, {}])
+def test_no_pair_that_agrees_is_left_out(spark, monkeypatch, blocks):
+    """Classes are those of all pairs that share enough samples, however large their groups and small the blocks."""
+    for name, value in blocks.items():
+        monkeypatch.setattr(N, name, value, raising=False)
+    rng = random.Random(23)
+    base = cases.words(rng, 100)
+    texts = []
+    for _ in range(400):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            text[rng.randrange(len(text))] = f"edit{rng.randrange(1 << 30)}"
+        texts.append(" ".join(text))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    runs = [own for _, own, _ in shingle_runs(pa.array(texts))]
+    keys = np.stack([order_min_hash(own) for own in runs])
+    root = list(range(400))
+    for a in range(400):
+        for b in np.flatnonzero((keys[a + 1 :] == keys[a]).sum(1) >= N.AGREE) + a + 1:
+            if root[a] != root[b] and similarity(runs[a].tolist(), runs[b].tolist()):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
