@@ -28,8 +28,9 @@ from tempora.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, REMOVE_AT, GENERALISE_AT = 3, 0.9, 0.75
-#: Bits of the filters of entities, terms and pairs that the later passes look up: a fixed size, whatever the corpus.
-FILTER_BITS = 20
+#: Bits of the filters of entities, terms and pairs that the later passes look up: a fixed size, whatever the corpus. Of
+#: other words, one in 2^24 for each key is let through.
+FILTER_BITS = 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -111,17 +112,21 @@ def _unpacked(sent) -> bytes:
 
 
 def _pair_counts(keyed: DataFrame, entities: bytes, repeated: bytes) -> DataFrame:
-    """(entity, term, documents that hold both), for the entities that the filter lets through."""
+    """(entity, term, n_pair, share), for the entities that the filter lets through.
+
+    n_pair: documents that hold both. share: their texts, each divided by the number of such entities in it; summed over the
+    entities, it is the number of texts that hold the term and any of them.
+    """
     spark = keyed.sparkSession
     sent, again = spark.sparkContext.broadcast(entities), spark.sparkContext.broadcast(repeated)
-    schema = pa.schema([("id", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("id", pa.string()), ("entity", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, twice = _unpacked(sent), _unpacked(again)
-        counts: Counter = Counter()
+        counts: dict[tuple, list] = {}
 
         def rows() -> pa.RecordBatch:
-            columns = zip(*((*k, n) for k, n in counts.items()), strict=True) if counts else ([], [], [], [])
+            columns = zip(*((*k, *n) for k, n in counts.items()), strict=True) if counts else ([], [], [], [], [])
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
             counts.clear()
             return out
@@ -138,14 +143,16 @@ def _pair_counts(keyed: DataFrame, entities: bytes, repeated: bytes) -> DataFram
                 own = {t for t, _, _ in _terms(text, spans)}
                 for e in held:
                     for t in own:
-                        counts[name, e, t] += 1
+                        both = counts.setdefault((name, e, t), [0, 0.0])
+                        both[0] += 1
+                        both[1] += 1 / len(held)
                     if len(counts) > 200_000:
                         yield rows()
         yield rows()
 
-    met = keyed.mapInArrow(run, "id string, entity string, term string, n long")
-    once = met.groupBy("id", "entity", "term").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("id").isNull(), F.col("n")).otherwise(1))
-    return once.groupBy("entity", "term").agg(F.sum("n").alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+    met = keyed.mapInArrow(run, "id string, entity string, term string, n long, share double")
+    once = met.groupBy("id", "entity", "term").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).withColumn("n", F.when(F.col("id").isNull(), F.col("n")).otherwise(1))
+    return once.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.sum("share").alias("share"))
 
 
 def _occurrences(keyed: DataFrame, id_col: str, entities: bytes, pairs: bytes) -> DataFrame:
@@ -249,12 +256,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entities = _filter(entity, F.col("entity"))
     repeated = _filter(with_id.where(F.size("held") > 0).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col(id_col))
     named = keyed.where(F.col(id_col).isNotNull())
-    pair = _pair_counts(named.select(F.col(id_col).cast("string"), text_col), entities, repeated)
-    pairs = written(pair.join(entity, "entity"), "pairs")
-    terms = _term_counts(docs.select(text_col), _filter(pairs, F.col("term")))
+    counted = written(_pair_counts(named.select(F.col(id_col).cast("string"), text_col), entities, repeated), "counted")
     n = F.lit(float(max(total, 2)))
-    disclosure = F.log(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    known = pairs.join(terms, "term").where(F.col("n_entity") < total).withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISE_AT)
+    disclosure = lambda texts: F.log(n * F.col("n_pair") / (F.col("n_entity") * texts)) / F.log(n / F.col("n_entity"))
+    # A term stands in all texts that hold it beside an entity, if not in more: where that is too many, it needn't be counted.
+    least = counted.groupBy("term").agg(F.sum("share").alias("least"))
+    pairs = counted.where(F.col("n_pair") >= SUPPORT).join(entity.where(F.col("n_entity") < total), "entity").join(least, "term")
+    pairs = written(pairs.where(disclosure(F.col("least")) >= GENERALISE_AT - 1e-6).drop("share", "least"), "pairs")
+    terms = _term_counts(docs.select(text_col), _filter(pairs, F.col("term")))
+    known = pairs.join(terms, "term").withColumn("disclosure", disclosure(F.col("n_term"))).where(F.col("disclosure") >= GENERALISE_AT)
     known = written(known.select("entity", "term", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action")), "known")
     places = _occurrences(named, id_col, _filter(known, F.col("entity")), _filter(known, F.concat_ws("\n", "entity", "term")))
     revealed = places.join(known, ["entity", "term"]).groupBy(id_col, "text_key", "start", "end").agg(F.max("action").alias("action"))

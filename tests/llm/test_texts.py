@@ -296,3 +296,52 @@ def test_long_and_repeated_rows_of_licenses_and_personal_data(spark):
     assert {(r["doc_id"], r["template"]) for r in L.scan_licenses(docs).collect()} == {(1, 1), (None, 1)}
     found = pii.find_personal_data(docs).collect()
     assert [r["n_email"] for r in found] == [3000] * 3
+
+
+def test_terms_are_those_of_naive_counts_and_few_are_counted(spark, monkeypatch):
+    """Spans equal those of plain counts over a small corpus; a term that too many texts hold beside entities isn't counted over the corpus."""
+    rng = random.Random(31)
+    entities = [f"user{k}@mail.example.com" for k in range(9)]
+    names = cases.words(rng, 9)
+    rows = []
+    for i in range(900):
+        words = cases.words(rng, 5) + rng.sample(["red", "green", "blue", "amber"], 2) + (["office"] if i % 3 else [])
+        if i < 270:
+            words += ["contact", entities[i % 9]] + [names[i % 9]] * (i % 5 > 0) + [entities[(i + 1) % 9]] * (i % 7 == 0)
+        elif i % 20 == 0:
+            words.append(rng.choice(names))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    counted, own = [], pii._term_counts
+    monkeypatch.setattr(pii, "_term_counts", lambda texts, terms: counted.append(terms) or own(texts, terms))
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = {i: (pii.find_identifiers(t), {pii._entity(t, *s) for s in pii.find_identifiers(t)}) for i, t in rows}
+    terms = {i: list(pii._terms(t, held[i][0])) for i, t in rows}
+    n_term, n_entity, n_pair = {}, {}, {}
+    for i, _ in rows:
+        own_terms = {t for t, _, _ in terms[i]}
+        for t in own_terms:
+            n_term[t] = n_term.get(t, 0) + 1
+        for e in held[i][1]:
+            n_entity[e] = n_entity.get(e, 0) + 1
+            for t in own_terms:
+                n_pair[e, t] = n_pair.get((e, t), 0) + 1
+    reveal = {}
+    for (e, t), n in n_pair.items():
+        if n >= pii.SUPPORT and (d := np.log(900 * n / (n_entity[e] * n_term[t])) / np.log(900 / n_entity[e])) >= pii.GENERALISE_AT:
+            reveal[e, t] = "remove" if d >= pii.REMOVE_AT else "generalise"
+    want = {}
+    for i, _ in rows:
+        found = [(a, 4, b, max(does)) for t, a, b in terms[i] if (does := [reveal[e, t] for e in held[i][1] if (e, t) in reveal])]
+        want[i] = sorted([(a, k, b, "mask") for a, k, b in held[i][0]] + found)
+    assert got == want and any(s[1] == 4 for x in got.values() for s in x)
+    bits = np.unpackbits(np.frombuffer(counted[0], np.uint8))
+    assert all(bits[pii._bit(t)] for _, t in reveal)
+    assert not bits[pii._bit("contact")]
+
+
+def test_few_other_words_pass_the_filter_of_terms(spark):
+    words = spark.range(60_000).selectExpr("translate(md5(CAST(id AS STRING)), '0123456789', 'ghijklmnop') AS w", "id < 20000 AS mine")
+    sent = pii._filter(words.where("mine"), F.col("w"))
+    others = words.where("NOT mine").groupBy().agg(F.concat_ws(" ", F.collect_list("w")).alias("text"))
+    assert pii._term_counts(others, sent).count() <= 200
