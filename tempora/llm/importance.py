@@ -5,8 +5,8 @@ and sends each distinct one once, as a string, with the documents that have it a
 a hash of their first two words and carry the two-word string as their prefix; single words are dealt by the word. A shard
 puts the strings of all blocks into one dictionary, counts them over the corpus, hashes each distinct string once, and adds
 its counts up by bucket. From the buckets of the corpus and of the target come the gains. The gains are joined back to the
-shards: a string's gain times its count in a document goes to that document's weight, summed inside a block's part of a
-shard before it travels.
+shards: the gain of a block's string, hashed on from its first two words to all three, times its count in a document goes to
+that document's weight, summed inside a block's part of a shard before it travels.
 
 A string, however frequent, is one entry of a block, so that a shard holds what some tens of megabytes of text give. Both
 numbers, of blocks and of shards, grow with the input; a block has a row for a shard only if it has strings there, so there
@@ -51,24 +51,30 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
-def crc32s(strings: pa.Array) -> np.ndarray:
-    """The CRC-32 of each binary string: all strings a byte further at a time, the longest first."""
-    strings = strings.cast(pa.large_binary())
-    _, offsets, data = strings.buffers()
-    off = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
-    sizes = np.diff(off)
-    by = np.argsort(-sizes, kind="stable")
-    at, crc = off[:-1][by], np.full(len(by), 0xFFFFFFFF, np.uint32)
-    body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+def _crc_states(body: np.ndarray, start: np.ndarray, end: np.ndarray, states: np.ndarray | None = None) -> np.ndarray:
+    """The CRC-32 of the strings [start, end), from these states on: all strings a byte further at a time, the longest first."""
+    sizes = end - start
+    most = int(sizes.max(initial=0))
+    by = np.argsort(-sizes.astype(np.int16 if most < 1 << 15 else np.int64), kind="stable")
+    at, crc = start[by], np.full(len(by), 0xFFFFFFFF, np.uint32) if states is None else states[by]
     falling = -sizes[by]
-    for k in range(int(sizes.max(initial=0))):
+    for k in range(most):
         n = int(np.searchsorted(falling, -k, "left"))
         crc[:n] = _CRC[(crc[:n] ^ body[at[:n] + k]) & 0xFF] ^ crc[:n] >> np.uint32(8)
     out = np.empty(len(by), np.uint32)
-    out[by] = crc ^ np.uint32(0xFFFFFFFF)
+    out[by] = crc
     return out
 
 
+def crc32s(strings: pa.Array) -> np.ndarray:
+    """The CRC-32 of each binary string."""
+    strings = strings.cast(pa.large_binary())
+    _, offsets, data = strings.buffers()
+    off = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return _crc_states(body, off[:-1], off[1:]) ^ np.uint32(0xFFFFFFFF)
+
+
 class _Words:
     """The words of some texts, A-Z lower-cased: code of each word (in order of their bytes), first word of each text, and the distinct words."""
 
@@ -243,16 +249,30 @@ class _Row:
     def _numbers(self, column: str) -> np.ndarray:
         return _unzip(self.table[column][self.i].as_py())
 
-    def strings(self, feature: int) -> tuple[pa.Array, np.ndarray]:
-        """(distinct strings of so many words, the place among them of each string of the row, -1 if it isn't one)."""
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The row's bytes, and of each string where it starts, where its first two words end and where it ends."""
         packed = self.table["text"][self.i].as_py()
         body = np.frombuffer(_PACKED.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), np.uint8)
         end = np.flatnonzero(body == 0x0A)
         start = np.append(0, end[:-1] + 1)
-        if feature != 1:
-            # A string's second space, if it has one, ends its first two words.
-            space = np.flatnonzero(body == 0x20)
-            pair = np.minimum(np.append(space, len(body))[np.minimum(np.searchsorted(space, start) + 1, len(space))], end)
+        if self.kind == 1:
+            return body, start, end, end
+        # A string's second space, if it has one, ends its first two words.
+        space = np.flatnonzero(body == 0x20)
+        return body, start, np.minimum(np.append(space, len(body))[np.minimum(np.searchsorted(space, start) + 1, len(space))], end), end
+
+    def gains(self, gain: np.ndarray) -> np.ndarray:
+        """Of each string the gains of its features: of a word, or of the first two words and of all three, if there are three."""
+        body, start, pair, end = self.lines()
+        state = _crc_states(body, start, pair)
+        out = gain[_bucket(state ^ np.uint32(0xFFFFFFFF))]
+        full = np.flatnonzero(pair < end)
+        out[full] += gain[_bucket(_crc_states(body, pair[full], end[full], state[full]) ^ np.uint32(0xFFFFFFFF))]
+        return out
+
+    def strings(self, feature: int) -> tuple[pa.Array, np.ndarray]:
+        """(distinct strings of so many words, the place among them of each string of the row, -1 if it isn't one)."""
+        body, start, pair, end = self.lines()
         if feature == 3:
             full = pair < end
             return _cut(body, start[full], end[full]), np.where(full, np.cumsum(full) - 1, -1)
@@ -284,8 +304,12 @@ def _dictionary(rows: list[_Row], words: int) -> tuple[pa.Array, list[np.ndarray
     return coded.dictionary, np.split(np.asarray(coded.indices), ends), places
 
 
+def _bucket(crc: np.ndarray) -> np.ndarray:
+    return (crc % np.uint32(BUCKETS)).astype(np.int32)
+
+
 def _buckets(strings: pa.Array) -> np.ndarray:
-    return (crc32s(strings) % np.uint32(BUCKETS)).astype(np.int32)
+    return _bucket(crc32s(strings))
 
 
 def _bucket_counts(table: pa.Table) -> pa.Table:
@@ -318,27 +342,15 @@ def _weighed(table: pa.Table, gains: pa.Table) -> pa.Table:
     out: list[tuple] = []
     if table.num_rows:
         gain = np.asarray(gains["gains"][0].values, np.int64)
-        rows = [_Row(table, i) for i in range(table.num_rows)]
-        weights: list[np.ndarray | int] = [0] * len(rows)
-        for words, kind in _FEATURES.items():
-            known, codes, places = _dictionary(rows, words)
-            gains_of = gain[_buckets(known)]
-            del known
-            for k, (r, own, place) in enumerate(zip(rows, codes, places, strict=True)):
-                if r.kind == kind:
-                    of, doc, times = r.met()
-                    here = place[of]
-                    have = here >= 0
-                    part = gains_of[own[here[have]]] * times[have]
-                    weights[k] = weights[k] + np.bincount(doc[have], part, int(doc.max(initial=-1)) + 1).astype(np.int64)
-            del codes, places
-            pa.default_memory_pool().release_unused()
-        for r, weight in zip(rows, weights, strict=True):
-            if r.kind:
-                met = np.unique(r.met()[1])
-                out.append((r.block, None, None, None, _zip(met), weight[met].tolist()))
-            else:
+        for r in (_Row(table, i) for i in range(table.num_rows)):
+            if not r.kind:
                 out.append((r.block, *(table[c][r.i].as_py() for c in ("ids", "n", "m")), b"", None))
+                continue
+            of, doc, times = r.met()
+            weight = np.bincount(doc, r.gains(gain)[of] * times).astype(np.int64)
+            met = np.flatnonzero(np.bincount(doc))
+            out.append((r.block, None, None, None, _zip(met), weight[met].tolist()))
+            pa.default_memory_pool().release_unused()
     return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(_PART_TYPES.items())})
 
 

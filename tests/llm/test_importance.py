@@ -95,3 +95,23 @@ def test_nothing(spark):
     assert I.resample(I.importance_weights(docs, some)).count() == 0
     got = I.importance_weights(some, docs).collect()
     assert Counter(map(tuple, got)) == Counter(brute([(1, "a b c"), (None, None)], []))
+
+
+def test_gains_of_a_block_need_no_dictionary(monkeypatch):
+    """Weights summed from a block's rows are those of plain hashes, and the strings of a shard are put together in one pass only."""
+    texts = ["The cat sat on the mat, the cat sat", "", None, "one", "two words", "x " * 300 + "été 日本 word", "the cat sat on"]
+    rows = list(I._block(list(range(len(texts))), pa.array(texts, pa.string()), 0, 3))
+    table = pa.table({f.name: pa.array([r[k] for r in rows], f.type) for k, f in enumerate(I._ROW)})
+    gain = [(7919 * k) % 10007 - 5000 for k in range(I.BUCKETS)]
+
+    def unused(*_):
+        raise AssertionError("a dictionary was built")
+
+    monkeypatch.setattr(I, "_dictionary", unused)
+    got = [0] * len(texts)
+    for r in I._weighed(table, pa.table({"gains": [gain]})).to_pylist():
+        for doc, weight in zip(I._unzip(r["doc"]).tolist(), r["weight"] or [], strict=True):
+            got[doc] += weight
+    for k, text in enumerate(texts):
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+        assert got[k] == sum(gain[crc32(b" ".join(w[i : i + n])) % I.BUCKETS] for n in (1, 2, 3) for i in range(len(w) - n + 1))
