@@ -27,12 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest id."""
-    copies = near_duplicate_classes(docs).where(F.col("doc_id") > F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     # Rows that repeat an id are one document, the first of them by text; rows without an id are in no class and all stay.
     row = F.struct(F.col("text"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*").select(*docs.columns)
-    return one.unionByName(kept.where("doc_id IS NULL"))
+    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*").select(*docs.columns)
+    one = written(one, "one")
+    copies = near_duplicate_classes(one).where(F.col("doc_id") > F.col("class_id")).select("doc_id")
+    return one.join(copies, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Classes are the connected components of these links.
 similarity(a, b) = A / (|a| + |b| - A), with A the length of the longest common subsequence of the two sequences of
 five-word shingles: Jaccard similarity that respects order.
 
-Exact copies are folded onto their smallest id before anything else, by aggregation. Documents that share a sample all
+Exact copies are folded onto their smallest id before anything else, by aggregation. Where rows repeat an id with other
+words, each of its texts meets those of other ids, and the id joins what they are near to. Documents that share a sample all
 meet: those of a small group as pairs, those of a larger one in blocks, two at a time, of which a task keeps as few pairs
 as connect what agrees; so a family holds every two documents that agree. Families larger than a block are aligned block by
 block; blocks are dealt anew as long as that links enough. Then what still agrees across classes is connected once more,
@@ -127,17 +128,17 @@ def similarity(x: Sequence[int], y: Sequence[int], at_least: float = SIMILARITY)
 
 
 def _sketches(id_col: str, text_col: str):
-    schema = pa.schema([("id", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("p", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(id_col), []
+            ids, hashes, rows = batch.column(id_col), batch.column("text_hash"), []
             for i, own, words in shingle_runs(batch.column(text_col)):
                 keys = order_min_hash(own) if len(own) else np.zeros(0, np.uint64)
                 place = (np.arange(len(words), dtype=np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
                 p, q = (int(mix(words ^ (place * U64(k))).sum(dtype=np.uint64)) for k in (1, 0x2545F491))
                 sig = (keys & U64(255)).astype(np.uint8).tobytes()
-                rows.append((ids[i].as_py(), p - (1 << 63), q - (1 << 63), len(own), keys.view(np.int64).tolist(), sig))
+                rows.append((ids[i].as_py(), hashes[i].as_py(), p - (1 << 63), q - (1 << 63), len(own), keys.view(np.int64).tolist(), sig))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
                     rows = []
@@ -171,7 +172,7 @@ def _connect(table: pa.Table) -> pa.Table:
     new = np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in (key, i, j)])
     a, b = [], []
     for left in np.split(by, np.flatnonzero(new) + 1):
-        while len(left) > 1:
+        while len(left) > 1 and (known[left] != known[left[0]]).any():
             reached, left = [left[0]], left[1:]
             while reached and len(left):
                 k = reached.pop()
@@ -186,9 +187,9 @@ def _connect(table: pa.Table) -> pa.Table:
 
 
 def _in_pairs(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
-    """rows with i and j: each group dealt into blocks of about `most` rows by id, each row once for each pair of blocks it is in."""
+    """rows with i and j: each group dealt into blocks of about `most` rows by id and sig, each row once for each pair of blocks it is in."""
     blocks = F.ceil(F.col(size) / most).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", group), blocks).cast("int")).withColumn("blocks", blocks)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", "sig", group), blocks).cast("int")).withColumn("blocks", blocks)
     others = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     dealt = dealt.withColumn("other", F.explode(others))
     return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -250,17 +251,17 @@ def _align(table: pa.Table) -> pa.Table:
 
 def _left_over(pairs: DataFrame, groups: DataFrame, total: int, texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
     """(rows of _align, their number): all blocks of large families' documents that agree with some of another class, two by two."""
-    label = written(texts.where(F.col("size") > BLOCK).select("id").join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("known")), "labels")
+    label = written(texts.where(F.col("size") > BLOCK).select("id").distinct().join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("known")), "labels")
     side = lambda s: label.select(F.col("id").alias(s), F.col("known").alias(f"k{s}"))
     few = pairs.join(side("b"), "b").join(side("a"), "a").where("ka <> kb").select("a", "b")
     named = groups.join(label, "id")
     mixed = named.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("key")
     open_pairs = few.unionAll(_connected(named.join(mixed, "key", "left_semi"), total))
-    family = connected_components(open_pairs)
+    family = connected_components(open_pairs).join(label, "id").join(texts.select("id", "text_hash", "sig"), "id")
     sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    rows = written(_in_pairs(family.join(sizes, "component").join(label, "id"), "component", "many", TEXTS), "left_over")
+    rows = written(_in_pairs(family.join(sizes, "component"), "component", "many", TEXTS).drop("sig"), "left_over")
     block = F.concat_ws("/", "component", "i", "j").alias("block")
-    return rows.select("id", "known", block).join(texts.select("id", "sig", "text").hint("merge"), "id"), rows.count()
+    return rows.select("id", "text_hash", "known", block).join(texts.select("id", "text_hash", "sig", "text").hint("merge"), ["id", "text_hash"]), rows.count()
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,16 +269,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Words are runs of bytes other than ASCII white space. A text without words (or null) is a class of its own; one of
     fewer than five words is near only to texts with the same words. Rows with a null id are returned with null
-    classes. Rows that repeat an id share its class. Other columns are dropped, whatever their names.
+    classes. Rows that repeat an id share its class: that of all texts near any of theirs. Other columns are dropped,
+    whatever their names.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_sketches = written(ids.mapInArrow(_sketches("id", "text"), "id long, p long, q long, n int, keys array<long>, sig binary"), "sketches")
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    all_sketches = written(ids.mapInArrow(_sketches("id", "text"), "id long, text_hash long, p long, q long, n int, keys array<long>, sig binary"), "sketches")
     sketches = all_sketches.where("id IS NOT NULL AND n > 0")
     total = all_sketches.count()
     # Groups of exact copies only: what has no copy needs no look-up, and the largest groups are looked up by broadcast.
     copies = written(sketches.groupBy("p", "q", "n").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("copy_of")).where("many > 1"), "copies")
     folded = join_hot(sketches, copies, ["p", "q", "n"], "many", total, "left")
-    distinct = written(folded.where("copy_of IS NULL OR id = copy_of").select(*sketches.columns).dropDuplicates(["id"]), "distinct")
+    distinct = written(folded.where("copy_of IS NULL OR id = copy_of").select(*sketches.columns).dropDuplicates(["id", "p", "q", "n"]), "distinct")
+    kept = join_hot(all_sketches.select("id", "p", "q", "n"), copies, ["p", "q", "n"], "many", total, "left")
+    kept = written(kept.select("id", F.when(F.col("n") > 0, F.coalesce("copy_of", "id")).otherwise(F.col("id")).alias("copy_of")), "kept")
+    # An id that stands for several texts joins them.
+    several = kept.where("id IS NOT NULL").groupBy("id").agg(F.min("copy_of").alias("x"), F.max("copy_of").alias("y")).where("x < y").select("id")
+    joined = written(kept.join(several, "id", "left_semi").where("id <> copy_of").select(F.col("id").alias("a"), F.col("copy_of").alias("b")).distinct(), "joined")
 
     keyed = distinct.select("id", "n", "sig", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
@@ -290,10 +297,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     connected = written(_connected(groups.withColumn("known", F.col("id")), grouped), "connected")
 
     family = connected_components(pairs.unionAll(connected))
+    family = family.join(distinct.select("id", "text_hash", "sig"), "id")
     sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     # Texts are dealt out by id at every size: the plan, and with it the disk it takes, doesn't change as families grow.
-    texts = ids.join(family.join(sizes, "component").hint("merge"), "id").join(distinct.select("id", "sig"), "id")
-    texts = written(texts.dropDuplicates(["id"]), "families")
+    texts = ids.join(family.join(sizes, "component").hint("merge"), ["id", "text_hash"])
+    texts = written(texts.dropDuplicates(["id", "text_hash"]), "families")
     links = classes = None
     deal, large = 0, texts.where(F.col("size") > BLOCK).count()
     while True:
@@ -303,12 +311,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             label = texts.where(F.col("size") > BLOCK).join(classes, "id", "left").withColumn("known", F.coalesce("class_id", "id")).drop("class_id")
             split = label.groupBy("component").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("component")
             todo = label.join(split, "component", "left_semi")
-        spread = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("id", F.lit(deal)), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
+        spread = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("id", "sig", F.lit(deal)), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0))
         todo = todo.withColumn("block", F.concat_ws("/", "component", spread))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(1, texts.count() // (4 * BLOCK)))))
         new = written(dealt.groupBy("part").applyInArrow(_align, "a long, b long, similarity double"), "links")
         links, found = new if links is None else links.unionAll(new), new.count()
-        classes = connected_components(links).select("id", F.col("component").alias("class_id"))
+        classes = connected_components(links.select("a", "b").unionAll(joined)).select("id", F.col("component").alias("class_id"))
         deal += 1
         # Dealing only saves alignments: what it leaves is met in full.
         if found * FEW < large or not large:
@@ -317,8 +325,6 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if left:
         dealt = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(max(1, left // (2 * TEXTS)))))
         links = links.unionAll(written(dealt.groupBy("part").applyInArrow(_align, "a long, b long, similarity double"), "links"))
-        classes = connected_components(links).select("id", F.col("component").alias("class_id"))
-    kept = join_hot(all_sketches.select("id", "p", "q", "n"), copies, ["p", "q", "n"], "many", total, "left")
-    kept = kept.select("id", F.when(F.col("n") > 0, F.coalesce("copy_of", "id")).otherwise(F.col("id")).alias("copy_of"))
+        classes = connected_components(links.select("a", "b").unionAll(joined)).select("id", F.col("component").alias("class_id"))
     out = kept.join(classes.select(F.col("id").alias("copy_of"), "class_id"), "copy_of", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "copy_of")).alias("class_id"), F.when(F.col("id").isNotNull(), F.col("copy_of")).alias("copy_of"))

@@ -176,3 +176,30 @@ def test_no_pair_that_agrees_is_left_out(spark, monkeypatch, blocks):
                 low, high = sorted((root[a], root[b]))
                 root = [low if r == high else r for r in root]
     assert got == dict(enumerate(root))
+
+
+def test_every_text_of_a_repeated_id_meets(spark):
+    """Ids that stand for two texts are of one class with what either is near to, whichever row comes first."""
+    rng = random.Random(29)
+    rows, want = [], {}
+    near = lambda w: " ".join(w[:-1] + ["edited"])
+    for k in range(0, 200, 10):
+        a, b, c, d = (cases.words(rng, 60) for _ in range(4))
+        rows += [(k, near(a)), (k + 1, " ".join(a)), (k + 1, " ".join(b)), (k + 2, near(b)), (k + 3, " ".join(a))]
+        rows += [(k + 5, " ".join(c)), (k + 6, " ".join(c)), (k + 6, " ".join(d)), (k + 7, near(d)), (k + 7, ""), (k + 8, None), (k + 8, None)]
+        want |= {k + i: k for i in range(4)} | {k + i: k + 5 for i in range(5, 8)} | {k + 8: k + 8}
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["class_id"]) for r in got} == set(want.items())
+
+
+def test_a_large_family_of_one_repeated_id(spark, monkeypatch):
+    """Texts of one id are dealt into blocks as those of many ids are, and join what is near to any of them."""
+    for name, value in {"NEAR": 2, "BLOCK": 2, "MEET": 16, "TEXTS": 8}.items():
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(31)
+    base = cases.words(rng, 100)
+    edited = lambda: " ".join(base[:50] + cases.words(rng, 1) + base[51:])
+    rows = [(i if i < 60 else 7, edited()) for i in range(200)] + [(500, " ".join(cases.words(rng, 80)))]
+    got = {(r["doc_id"], r["class_id"]) for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(60)} | {(500, 500)}

@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from tempora.llm import near_dedup
 from tempora.llm.metric_search import MTree, top_inner_products
 from tempora.llm.packing import BestFit, pack_documents
 from tempora.llm.queries import URL_RULES
@@ -201,3 +203,42 @@ def test_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
     docs = spark.createDataFrame(rows, schema + ", __row long, __copy string, known string")
     out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and {r["__row"] for r in out.collect()} == {7}
+
+
+def test_pipeline_judges_the_text_that_it_keeps_of_an_id(spark, tmp_path):
+    """Of rows that repeat an id the first by text is the document: it goes if that is near a smaller id's, and only then."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(0, 200, 10):
+        x, y = (" ".join(cases.words(rng, 60)) for _ in range(2))
+        rows += [(k, f"m {x}"), (k + 1, f"m {x}"), (k + 1, f"a {y}"), (k + 2, f"a {y} edited"), (k + 3, f"z {y}"), (k + 3, f"m {x}")]
+        want |= {k: f"m {x}", k + 1: f"a {y}"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows] + [(None, "n", "en", "s", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None) == sorted(want.items())
+    assert sum(r["doc_id"] is None for r in got) == 2
+
+
+def test_pipeline_keeps_one_document_of_a_large_loose_family(spark, tmp_path, monkeypatch):
+    """What the near-copy stage keeps of a large group is what all pairs that agree and align leave, not what blocks happen to meet."""
+    for name, value in {"NEAR": 2, "BLOCK": 2, "MEET": 16, "TEXTS": 8}.items():
+        monkeypatch.setattr(near_dedup, name, value, raising=False)
+    rng = random.Random(23)
+    base = cases.words(rng, 100)
+    texts = []
+    for _ in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            text[rng.randrange(len(text))] = f"edit{rng.randrange(1 << 30)}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [own for _, own, _ in near_dedup.shingle_runs(pa.array(texts))]
+    keys = np.stack([near_dedup.order_min_hash(own) for own in runs])
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in np.flatnonzero((keys[a + 1 :] == keys[a]).sum(1) >= near_dedup.AGREE) + a + 1:
+            if root[a] != root[b] and near_dedup.similarity(runs[a].tolist(), runs[b].tolist()):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(root))
