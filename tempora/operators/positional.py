@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+#: Fixed value: repeat marks at a label's end.
+_MARKS = r"(?: \(\d+\))+\z"
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,19 +47,34 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column], begins:
 def uniquified(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], label: str, name: str) -> DataFrame:
     """Labels made unique in a group, in order (columns, ascending): a repeat gets the first ' (n)', from 2, that no label before it has.
 
-    Groups are the units of one document's article, which are gathered in a row.
+    Only labels that are equal but for such marks at their end can meet. Where none of those bears a mark, a repeat's number is
+    its place among them; the others are named one after the other, in time that grows with their number.
     """
-    row = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order), F.struct(*df.columns).alias("__row"))
-    groups = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-
-    def named(used: Column, own: Column) -> Column:
-        marked = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(own, F.lit(" ("), n.cast("string"), F.lit(")")))
-        free = F.get(F.filter(marked, lambda x: ~F.array_contains(used, x)), F.lit(0))
-        return F.concat(used, F.array(F.when(F.array_contains(used, own), free).otherwise(own)))
-
-    labels = F.aggregate(F.transform("__rows", lambda r: r["__row"][label].cast("string")), F.array().cast("array<string>"), named)
-    pairs = groups.select(F.explode(F.arrays_zip(F.col("__rows").alias("r"), labels.alias("n"))).alias("__pair"))
-    return pairs.select("__pair.r.__row.*", F.col("__pair.n").alias(name))
+    own = F.col(label).cast("string")
+    columns, family = df.columns, [*(F.col(k) for k in keys), F.regexp_replace(own, _MARKS, "")]
+    by = Window.partitionBy(*family)
+    # Marks first: rows that lie together by family need no other shuffle to be numbered.
+    rows = df.withColumn("__own", own).withColumn("__marked", F.max(F.coalesce(own.rlike(_MARKS), F.lit(False))).over(by))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*family, "__own").orderBy(*order, *columns)))
+    plain = rows.where("NOT __marked").select(*columns, F.when(F.col("__place") == 1, F.col("__own")).otherwise(F.concat("__own", F.lit(" ("), F.col("__place").cast("string"), F.lit(")"))).alias(name))
+    marked = rows.where("__marked").withColumns({"__family": F.regexp_replace("__own", _MARKS, ""), "__place": F.row_number().over(by.orderBy(*order, *columns))}).drop("__marked")
+    kinds = StructType([*df.schema.fields, StructField(name, StringType())])
+
+    def named(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__place")
+        used, upto, out = set(), {}, []
+        for said in group["__own"].to_pylist():
+            one = said
+            if said in used:
+                n = upto.get(said, 2)
+                while (one := f"{said} ({n})") in used:
+                    n += 1
+                upto[said] = n + 1
+            used.add(one)
+            out.append(one)
+        return group.select(columns).append_column(name, pa.array(out, pa.string()))
+
+    return plain.unionByName(marked.groupBy(*keys, "__family").applyInArrow(named, kinds))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -215,7 +215,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, CASE WHEN n = 1 THEN p_type ELSE p_type || ' (' || n || ')' END AS label FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)""")
 def unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels made unique by repeat marks."""
-    return P.uniquified(table(spark, sf_dir, "part"), ["p_brand"], ["p_partkey"], "p_type", "label").select("p_partkey", "label")
+    return P.uniquified(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_type"), ["p_brand"], ["p_partkey"], "p_type", "label").select("p_partkey", "label")
 
 
 @query("""

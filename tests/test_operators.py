@@ -122,6 +122,14 @@ def test_positions(spark):
     assert [r["u"] for r in P.uniquified(taken, [], ["i"], "l", "u").orderBy("i").collect()] == ["x", "x (2)", "x (2) (2)", "x (3)", "x (2) (3)"]
 
 
+def test_many_labels_that_repeat_are_named_in_linear_time(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "x").when(F.col("id") == 4_001, "y (2)").when(F.col("id") > 1, "y").alias("l"))
+    got = [r["u"] for r in P.uniquified(rows, [], ["id"], "l", "u").orderBy("id").collect()]
+    assert got[::2] == ["x", *(f"x ({n})" for n in range(2, 10_001))]
+    # The mark that a label bears is taken by the time it comes; what is null stays null.
+    assert got[1::2] == [None, "y", *(f"y ({n})" for n in range(2, 2_000)), "y (2) (2)", *(f"y ({n})" for n in range(2_000, 9_999))]
+
+
 TEXT = "Chương I\nĐiều 1. Phạm vi\n1. Một\na) điểm a\nđ) điểm đ\n“Điều 9. trong\ntrích dẫn”\nMục 1\nĐiều 2. Hai\nChương II\nĐiều 3. Ba\nNơi nhận:\n- Điều 4. không"
 
 
