@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tempora.functions.text import tokens
 from tempora.operators.graph import expansion
+from tempora.session import settled
 
 K1, B = 1.2, 0.75
 #: Reciprocal ranks: the constant, and the weights of the two branches.
 RRF, DENSE, SPARSE = 60, 1.0, 0.1
 #: Queries and items that meet in one task, and rows of a table that may be broadcast.
 QUERY_BLOCK, ITEM_SLICE, BROADCAST_ROWS = 512, 65_536, 100_000
+#: Scores of queries and items that a task holds at once.
+CELLS = 1_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -98,13 +103,144 @@ def bm25(queries: DataFrame, items: DataFrame, k1: float = K1, b: float = B) ->
     wanted = terms.select("term").distinct()
     sizes = items.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     lists = postings(items, wanted)
-    df = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _summed(lists.join(lists.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(small(terms), "term").join(F.broadcast(sizes), F.lit(True)), k1, b)
+
+
+def _summed(met: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query, id, score) of postings beside their queries, document frequencies and sizes of the corpus."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    met = lists.join(df, "term").join(small(terms), "term").join(F.broadcast(sizes), F.lit(True))
     return met.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
+def _lines(items: DataFrame) -> DataFrame:
+    """(id, dl, line): the tokens of items (id, text) as one string, for tasks that count them."""
+    return items.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").cast("long").alias("dl"), F.array_join("w", " ").alias("line"))
+
+
+def _counted(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, the place in words and the number of each distinct word of a batch of lines, by row and place."""
+    parts = pc.split_pattern(batch.column("line"), " ")
+    at = pc.index_in(pc.list_flatten(parts), value_set=words)
+    known = np.asarray(at.is_valid())
+    key = np.asarray(pc.list_parent_indices(parts), np.int64)[known] * len(words) + np.asarray(at.drop_null(), np.int64)
+    key, n = np.unique(key, return_counts=True)
+    return key // len(words), key % len(words), n
+
+
+class _Corpus:
+    """What BM25 needs to know of all items before it can score one: how many have a term, how many there are, how long they are.
+
+    The terms of the queries are gathered on the driver; a task over items sends a row for each. Rows that repeat an id are kept
+    apart (`repeated`), as their counts belong together; all other items (`single`) are scored where their text is read.
+    """
+
+    def __init__(self, terms: DataFrame, items: DataFrame):
+        asked = terms.orderBy("query", "term").collect()
+        self.queries, self.words = list(dict.fromkeys(r["query"] for r in asked)), sorted({r["term"] for r in asked})
+        place, number = {t: i for i, t in enumerate(self.words)}, {q: i for i, q in enumerate(self.queries)}
+        self.asked = sorted((place[r["term"]], number[r["query"]]) for r in asked)
+        items = items.select("id", "text")
+        twice = items.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        self.single, self.repeated = items, None
+        if not twice.isEmpty():
+            self.single, self.repeated = (items.join(small(twice), "id", how) for how in ("left_anti", "left_semi"))
+        words = self.words
+
+        def sizes(batches):
+            df, n, dl = np.zeros(len(words), np.int64), 0, 0
+            known = pa.array(words, pa.string())
+            for batch in batches:
+                n, dl = n + batch.num_rows, dl + int(np.asarray(batch.column("dl")).sum())
+                if words:
+                    df += np.bincount(_counted(batch, known)[1], minlength=len(words))
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([-2, -1, *some.tolist()], pa.int64()), "n": pa.array([n, dl, *df[some].tolist()], pa.int64())})
+
+        found = {r["at"]: r["n"] for r in _lines(self.single).mapInArrow(sizes, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+        n, dl = found.get(-2, 0), found.get(-1, 0)
+        self.df = np.array([found.get(i, 0) for i in range(len(words))], np.int64)
+        if self.repeated is not None:
+            more = self.repeated.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
+            n, dl = n + more["n"], dl + (more["dl"] or 0)
+            for r in postings(self.repeated, terms.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():
+                self.df[place[r["term"]]] += r["df"]
+        self.n, self.avgdl, self.terms = n, dl / n if n else 0.0, terms
+
+    def scored(self, items: DataFrame, k1: float, b: float, pairs: DataFrame | None = None) -> DataFrame:
+        """(query, id, score) of some of the items, by shuffle; of some pairs (query, id) only, if stated."""
+        spark = items.sparkSession
+        df = spark.createDataFrame([(t, int(x)) for t, x in zip(self.words, self.df) if x], "term string, df long")
+        sizes = spark.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
+        met = postings(items, self.terms.select("term").distinct()).join(F.broadcast(df), "term").join(F.broadcast(sizes), F.lit(True)).join(small(self.terms), "term")
+        return _summed(met if pairs is None else met.join(small(pairs.select("query", "id").distinct()), ["query", "id"], "left_semi"), k1, b)
+
+    def best(self, pool: int, k1: float, b: float) -> DataFrame:
+        """(query, id, score) of the single items: each task's `pool` best of each query."""
+        words, queries, n, avgdl = self.words, self.queries, self.n, self.avgdl
+        idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
+        of, who = np.array([t for t, _ in self.asked], np.int64), np.array([q for _, q in self.asked], np.int64)
+        first = np.searchsorted(of, np.arange(len(words) + 1))
+        kinds = self.terms.schema["query"].dataType, self.single.schema["id"].dataType
+        many, at_once = np.diff(first), max(1, CELLS // max(1, len(queries)))
+
+        def task(batches):
+            known, held = pa.array(words, pa.string()), None
+            for batch in batches:
+                row, term, tf = _counted(batch, known)
+                dl = np.asarray(batch.column("dl"))[row]
+                part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                for start in range(0, batch.num_rows, at_once):
+                    wide = min(at_once, batch.num_rows - start)
+                    x, y = np.searchsorted(row, [start, start + wide])
+                    times, terms = many[term[x:y]], term[x:y]
+                    upto = np.cumsum(times)
+                    query = who[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first[terms] - upto + times, times)]
+                    score = np.bincount(query * wide + np.repeat(row[x:y] - start, times), np.repeat(part[x:y], times), len(queries) * wide).reshape(len(queries), wide)
+                    score = np.round(score, 9)
+                    least = np.partition(score, wide - pool, axis=1)[:, wide - pool] if wide > pool else np.zeros(len(queries))
+                    q, i = np.nonzero((score >= least[:, None]) & (score > 0))
+                    new = pa.table({"q": q, "id": batch.column("id").take(pa.array(start + i)), "score": score[q, i]})
+                    held = new if held is None else pa.concat_tables([held, new])
+                    if held.num_rows > 8 * pool * len(queries):
+                        held = first_of(held)
+            if held is not None:
+                held = first_of(held)
+                yield from pa.table({"query": pa.array(queries).cast(to_arrow_type(kinds[0])).take(held["q"]), "id": held["id"], "score": held["score"]}).to_batches()
+
+        def first_of(held: pa.Table) -> pa.Table:
+            held = held.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+            q = np.asarray(held["q"])
+            return held.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < pool))
+
+        return _lines(self.single).mapInArrow(task, f"query {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double")
+
+
+def bm25_pool(queries: DataFrame, items: DataFrame, pool: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, id, score, rank): the pool best items of each query by bm25, rounded to nine places; ties by id.
+
+    An item is scored where its text is read, so that a task sends its best rows only, not a row for each query and item.
+    Where the queries have more terms than may be broadcast, all is done by shuffle.
+    """
+    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return ranked(bm25(queries, items, k1, b).withColumn("score", F.round("score", 9)), pool)
+    corpus = _Corpus(terms, items)
+    found = corpus.best(pool, k1, b)
+    if corpus.repeated is not None:
+        found = found.unionByName(corpus.scored(corpus.repeated, k1, b).withColumn("score", F.round("score", 9)))
+    return ranked(found, pool)
+
+
+def bm25_of(queries: DataFrame, items: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, id, score) as bm25 over all items, of the pairs (query, id) only: other items are counted, not scored."""
+    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
+    if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return bm25(queries, items, k1, b).join(pairs.select("query", "id").distinct(), ["query", "id"], "left_semi")
+    near = items.select("id", "text").join(small(pairs.select("id").distinct()), "id", "left_semi")
+    return _Corpus(terms, items).scored(near, k1, b, pairs)
+
+
 def phrase_bonus(queries: DataFrame, items: DataFrame, bonus: float) -> DataFrame:
     """(query, id, score): the bonus where the query's words stand in an item one after the other."""
     line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
@@ -157,7 +293,7 @@ def hybrid(queries: DataFrame, items: DataFrame, valid: Column, k: int = 6, spar
     inside = items if scope is None else items.where(scope)
     inside = inside.where(valid) if validity == "pre" else inside
     dense = vector_pool(queries, inside, pool)
-    sparse = ranked(bm25(queries, inside).withColumn("score", F.round("score", 9)), pool)
+    sparse = bm25_pool(queries, inside, pool)
     both = rrf({"dense": (dense, DENSE), "sparse": (sparse, sparse_weight)})
     kept = both.join(items.where(valid).select("id"), "id", "left_semi")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_seen"))
@@ -179,12 +315,13 @@ def graph_augmented(queries: DataFrame, items: DataFrame, edges: DataFrame, vali
     queries: (query, text, vector); items: (id, doc, text, vector, ...). The neighbours are ranked like a scoped search of
     their own, each query within its own scope: pairs of a query and an item meet by document, not all with all.
     """
-    base = hybrid(queries, items, valid, k, sparse_weight)
+    base = settled(hybrid(queries, items, valid, k, sparse_weight), "hybrid")
     seeds = base.join(items.select("id", "doc"), "id").select("query", F.col("doc").alias("id")).distinct()
     near = expansion(edges, seeds).select("query", F.col("id").alias("doc"))
     pool = max(2 * extra, 8)
     scope = near.join(items.select("id", "doc", "vector"), "doc").join(queries.select("query", F.col("vector").alias("q")), "query")
-    scored = scope.select("query", "id", F.round(cosine(F.col("q"), F.col("vector")), 9).alias("dense")).join(bm25(queries, items).select("query", "id", F.round("score", 9).alias("sparse")), ["query", "id"], "left")
+    scope = settled(scope.select("query", "id", F.round(cosine(F.col("q"), F.col("vector")), 9).alias("dense")), "scope")
+    scored = scope.join(bm25_of(queries, items, scope).select("query", "id", F.round("score", 9).alias("sparse")), ["query", "id"], "left")
     at = lambda name: F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last(name), "id")) - 1
     both = scored.withColumns({"d": at("dense"), "s": at("sparse")})
     part = lambda rank, weight, has: F.when(has & (F.col(rank) < pool), weight / (RRF + F.col(rank)))

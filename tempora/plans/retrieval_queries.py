@@ -50,8 +50,7 @@ def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query, id, round(score, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank < 15""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of every document for every benchmark text."""
-    scores = R.bm25(*_texts(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return R.ranked(scores, 15).select("query", "id", F.round("score", 5).alias("score"), "rank")
+    return R.bm25_pool(*_texts(spark, sf_dir), 15).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(rf"""WITH l AS (SELECT doc_id AS id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS line FROM documents),
@@ -73,7 +72,7 @@ def _branches(spark: SparkSession, sf_dir: str, pool: int = 15) -> tuple[DataFra
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked, docs = _texts(spark, sf_dir)
     queries = asked.select("query").join(vectors.select(F.col("id").alias("query"), "vector"), "query")
-    return R.vector_pool(queries, vectors, pool), R.ranked(R.bm25(asked, docs).withColumn("score", F.round("score", 9)), pool)
+    return R.vector_pool(queries, vectors, pool), R.bm25_pool(asked, docs, pool)
 
 
 @query(f"""WITH {_BRANCHES}, u AS (SELECT query, id, 1.0 / (60 + rank) AS part FROM dr WHERE rank < 15 UNION ALL SELECT query, id, 0.1 / (60 + rank) FROM sr WHERE rank < 15)

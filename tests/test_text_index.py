@@ -108,3 +108,17 @@ def test_no_text_is_read_for_a_query(spark, tmp_path):
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and all("text" not in line.split("Batched")[0] for line in scans)
     assert not any("positions" in line for line in scans)
+
+
+def test_pools_are_the_best_of_all_scores_where_ids_repeat_too(spark):
+    words = [" ".join(f"w{(i * 7 + j * j) % 23}" for j in range(i % 9)) for i in range(200)]
+    items = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(3, "w1 w2 w3"), (3, words[3]), (5, "w1"), (7, "")], "id long, text string")
+    queries = spark.createDataFrame([("a", "w1 w2 w2 W3"), ("b", "w4 w22"), ("c", "none of it"), ("d", "")], "query string, text string")
+    rows = lambda df: {(r["query"], r["id"], round(r["score"], 8)) for r in df.collect()}
+    scores = R.bm25(queries, items).withColumn("score", F.round("score", 9))
+    for some in (items, items.where("id NOT IN (3, 5, 7)")):
+        scores = R.bm25(queries, some).withColumn("score", F.round("score", 9))
+        assert rows(R.bm25_pool(queries, some, 7)) == rows(R.ranked(scores, 7))
+        assert rows(R.bm25_pool(queries, some, 1000)) == rows(scores)
+        pairs = spark.createDataFrame([("a", 3), ("a", 5), ("b", 9), ("zz", 3)], "query string, id long")
+        assert rows(R.bm25_of(queries, some, pairs).withColumn("score", F.round("score", 9))) == {r for r in rows(scores) if r[:2] in {("a", 3), ("a", 5), ("b", 9)}}
