@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import impacts as I
 from tempora.plans.catalog import query
-from tempora.session import settled, table
+from tempora.session import table
 
 _ARTICLES = r"""a AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, 'A' || l_orderkey || '#than/dieu_' || l_linenumber AS source_key, l_orderkey || '/2019/NĐ-CP' AS base, (l_suppkey % 60 + 1) || '/2020/TT-NHNN' AS other, CAST(l_partkey % 50 + 1 AS VARCHAR) AS b, l_linenumber AS ln, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS valid_from, l_partkey % 5 AS kind FROM lineitem),
 t AS (SELECT *, 'Điều ' || ln || '. ' || CASE kind WHEN 0 THEN 'Sửa đổi một số điều của Thông tư số ' || other || chr(10) || '1. Sửa đổi khoản ' || ln || ' Điều ' || b || ' như sau:' || chr(10) || '“' || ln || '. Hàng ' || l_returnflag || ' theo Điều 9.”' || chr(10) || '2. Bãi bỏ Điều ' || b || ', Điều 90.'
@@ -27,10 +27,11 @@ e AS (
   UNION ALL SELECT key, source_key || '#khoan_2', base || '#than/dieu_' || b, 'bo_sung', NULL, NULL, valid_from, 'Bổ sung Điều ' || b || '.', 'unworded' FROM s WHERE kind = 4)"""
 
 
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a document, its lines as articles that change others."""
+def _articles(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Every order as a document, its lines as articles that change others; of some orders (l_orderkey), if stated."""
     s, lit = (lambda c: F.col(c).cast("string")), F.lit
-    lines = table(spark, sf_dir, "lineitem").withColumns({"ln": s("l_linenumber"), "b": (F.col("l_partkey") % 50 + 1).cast("string"), "other": F.concat((F.col("l_suppkey") % 60 + 1).cast("string"), lit("/2020/TT-NHNN")), "base": F.concat(s("l_orderkey"), lit("/2019/NĐ-CP"))})
+    lines = table(spark, sf_dir, "lineitem")
+    lines = (lines if orders is None else lines.join(orders, "l_orderkey", "left_semi")).withColumns({"ln": s("l_linenumber"), "b": (F.col("l_partkey") % 50 + 1).cast("string"), "other": F.concat((F.col("l_suppkey") % 60 + 1).cast("string"), lit("/2020/TT-NHNN")), "base": F.concat(s("l_orderkey"), lit("/2019/NĐ-CP"))})
     join = lambda *parts: F.concat(*(F.col(p[1:]) if p.startswith("$") else lit(p) for p in parts))
     body = (
         F.when(F.col("l_partkey") % 5 == 0, join("Sửa đổi một số điều của Thông tư số ", "$other", "\n1. Sửa đổi khoản ", "$ln", " Điều ", "$b", " như sau:\n“", "$ln", ". Hàng ", "$l_returnflag", " theo Điều 9.”\n2. Bãi bỏ Điều ", "$b", ", Điều 90."))
@@ -46,7 +47,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ARTICLES}, d AS (SELECT DISTINCT l_orderkey FROM s WHERE kind <> 3), k AS (SELECT key FROM s WHERE l_orderkey IN (SELECT l_orderkey FROM d)) SELECT key, source_key, target_key, op, s1::INTEGER AS span_start, s2::INTEGER AS span_end, valid_from, command, warnings FROM e WHERE key IN (SELECT key FROM k)")
 def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of all amending documents, with the place of the new wording and what can't be told."""
-    edges = I.impact_edges(I.amending(_articles(spark, sf_dir), "l_orderkey"))
+    edges = I.impact_edges(_articles(spark, sf_dir, I.amending_documents(_articles(spark, sf_dir), "l_orderkey")))
     return edges.withColumn("warnings", F.array_join("warnings", ","))
 
 
@@ -56,7 +57,7 @@ SELECT 'edge' AS side, * FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.base =
 UNION ALL SELECT 'list', * FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE l.base = o.base AND l.article = o.article AND (l.level IS NULL OR o.level IS NULL OR (l.level = o.level AND l.number = o.number)))""")
 def impact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the edges and the units that documents list as affected disagree, both ways."""
-    edges = settled(I.impact_edges(_articles(spark, sf_dir)), "impacts")
+    edges = I.impact_edges(_articles(spark, sf_dir))
     below = F.col("l_quantity") > 25
     listed = table(spark, sf_dir, "lineitem").where("l_partkey % 5 IN (1, 2, 3)").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("/2019/NĐ-CP")).alias("base"), (F.col("l_partkey") % 50 + 1).cast("string").alias("article"), F.when(below, "khoan").alias("level"), F.when(below, (F.col("l_suppkey") % 3 + 3).cast("string")).alias("number"))
     return I.checked(edges, listed)

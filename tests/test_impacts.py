@@ -65,3 +65,18 @@ def test_check_both_ways(spark):
     listed = spark.createDataFrame([("N", "1", "khoan", "9"), ("N", "2", None, None), ("N", "3", "khoan", "1"), ("N", "4", None, None)], "base string, article string, level string, number string")
     got = {tuple(r) for r in I.checked(edges_, listed).collect()}
     assert got == {("edge", "N", "3", "diem", "a"), ("edge", "M", "1", None, None), ("list", "N", "3", "khoan", "1"), ("list", "N", "4", None, None)}
+
+
+def test_edges_and_their_check_shuffle_no_text(spark):
+    rows = [(f"k{i}", "Điều 8. Tên\n1. Bãi bỏ khoản 4 Điều 24, điểm a khoản 5 Điều 24 của Nghị định số 1/2020/NĐ-CP", "S#than/dieu_1", b, "2025-01-01") for i, b in enumerate(["1/2020/NĐ-CP", "2/2020/NĐ-CP", "", None])]
+    found = I.impact_edges(spark.createDataFrame(rows, SCHEMA))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["key"], r["target_key"]) for r in found.collect())
+    other = "1/2020/NĐ-CP#than/dieu_24#khoan_5#diem_a"
+    assert got == [("k0", "1/2020/NĐ-CP#than/dieu_24#khoan_4"), ("k0", other), ("k1", other), ("k1", "2/2020/NĐ-CP#than/dieu_24#khoan_4"), ("k2", other), ("k3", other)]
+
+
+def test_what_a_list_leaves_open_meets_nothing(spark):
+    edges_ = spark.createDataFrame([("N#than/dieu_1#khoan_1",)], "target_key string")
+    listed = spark.createDataFrame([("N", "1", "khoan", None), (None, "1", None, None), ("N", None, None, None)], "base string, article string, level string, number string")
+    assert {tuple(r) for r in I.checked(edges_, listed).collect()} == {("edge", "N", "1", "khoan", "1"), ("list", "N", "1", "khoan", None), ("list", None, "1", None, None)}
