@@ -28,6 +28,17 @@ def test_spans_meet_once(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_measured_spans_are_listed_where_the_other_side_has_some(spark):
+    rows = [(k, k % 4, (k * 37) % 900, (k * 37) % 900 + w) for k, w in enumerate([0, 3, 63, 64, 150, 500, 511, 40] * 12)]
+    left, right = (spark.createDataFrame([r for r in rows if r[3] - r[2] <= long], f"{p}k int, doc int, {p}a int, {p}b int") for p, long in (("l", 100), ("r", 600)))
+    pairs = lambda **more: J.met(left, right, ["doc"], ("la", "lb"), ("ra", "rb"), **more)
+    got = sorted((r["lk"], r["rk"]) for r in pairs(measured=True).collect())
+    assert got == sorted((r["lk"], r["rk"]) for r in pairs().collect()) and got
+    assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[3] - x[2] <= 100 and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+    none = left.limit(0)
+    assert J.met(none, right, ["doc"], ("la", "lb"), ("ra", "rb"), True).isEmpty()
+
+
 def brute_painted(text, spans):
     sound = [s for s in spans if 0 <= s[0] < s[1] <= len(text)]
     edges = sorted({0, len(text), *(x for s in sound for x in s[:2])})
