@@ -15,6 +15,7 @@ from tempora.functions.keys import ancestors, citation, letter_rank, node_key
 from tempora.functions.spans import overlap
 from tempora.operators import span_joins
 from tempora.operators.hierarchy import REPEAL, alive, applied
+from tempora.session import settled
 
 #: Units that a citation names at most; the rest is counted.
 NAMED = 8
@@ -59,44 +60,59 @@ def _on_or_above(keys: DataFrame, live: DataFrame) -> DataFrame:
     """(key, edge): the latest live edge on each key or an ancestor of it."""
     reach = keys.select("key").distinct().select("key", F.explode(ancestors(F.col("key"))).alias("target_key"))
     edge = F.struct("source_key", "target_key", "op", "valid_from")
-    return reach.join(live, "target_key").groupBy("key").agg(F.max_by(edge, F.struct("valid_from", "ord")).alias("edge"))
+    return _latest(reach.join(live, "target_key").select("key", "valid_from", "ord", edge.alias("edge")))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """(key, edge): the last edge of each key by (valid_from, ord); of several of one place the greatest, so that runs agree."""
+    return rows.groupBy("key").agg(F.max(F.struct("valid_from", "ord", "edge"))["edge"].alias("edge"))
 
 
 def _below(keys: DataFrame, live: DataFrame) -> DataFrame:
     """(key, edge): the latest live edge strictly below each key."""
     edge = F.struct("source_key", "target_key", "op", "valid_from")
     up = live.select(edge.alias("edge"), "valid_from", "ord", F.explode(ancestors(F.col("target_key"))).alias("key")).where(F.col("key") != F.col("edge.target_key"))
-    return up.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by("edge", F.struct("valid_from", "ord")).alias("edge"))
+    return _latest(up.join(keys.select("key").distinct(), "key", "left_semi"))
 
 
-def routed(chunks: DataFrame, edges: DataFrame, as_of: str) -> DataFrame:
+def routed(chunks: DataFrame, edges: DataFrame, as_of: str, say: str = "all") -> DataFrame:
     """(chunk_id, key, route, target_key, op, citation) of chunks (chunk_id, number, span_start, span_end) at a date.
 
     edges: (source_key, target_key, op, valid_from, ord, span_start, span_end), the last two where the new wording stands in
     the amending text. A chunk of an amending document whose span meets new wording is 'quoted': its citation names all
     targets that still count, or all it once had. Else the latest edge on or above its key, else the newest below it,
-    makes it 'amended' or 'repealed'; what no edge touches is 'intact'. Chunks without a key have no route.
+    makes it 'amended' or 'repealed'; what no edge touches is 'intact'. Chunks without a key have no route. say 'quoted':
+    citation is only what a quoted chunk's wording amends; 'none': there is no citation, which costs most of the work.
+
+    Keys, live edges and what spans meet are read by several parts: each is written once, which also keeps plans small.
     """
-    known = chunks.withColumn("key", node_key(F.col("chunk_id"), F.col("number")))
-    live = alive(applied(edges, as_of))
+    known = settled(chunks.withColumn("key", node_key(F.col("chunk_id"), F.col("number"))), "chunks")
+    live = settled(alive(applied(edges.select("source_key", "target_key", "op", "valid_from", "ord"), as_of)), "live")
     worded = edges.where("span_start IS NOT NULL").select("source_key", "target_key", F.regexp_extract("source_key", "^([^#]+)", 1).alias("number"), F.col("span_start").alias("a"), F.col("span_end").alias("b"))
     counts = live.select("source_key", "target_key").distinct().withColumn("alive", F.lit(True))
-    met = span_joins.met(known.where("key IS NOT NULL").drop("key"), worded, ["number"], ("span_start", "span_end"), ("a", "b")).where(overlap(F.col("span_start"), F.col("span_end"), F.col("a"), F.col("b")))
-    met = met.join(counts, ["source_key", "target_key"], "left").withColumn("alive", F.coalesce("alive", F.lit(False)))
-    some = met.groupBy("chunk_id").agg(F.max("alive").alias("some"))
-    told = met.join(some, "chunk_id").where(F.col("alive") | ~F.col("some"))
+    met = span_joins.met(known.where("key IS NOT NULL").drop("key"), worded, ["number"], ("span_start", "span_end"), ("a", "b"), True).where(overlap(F.col("span_start"), F.col("span_end"), F.col("a"), F.col("b")))
+    met = met.select("chunk_id", "source_key", "target_key").distinct().join(counts, ["source_key", "target_key"], "left")
+    met = met.select("chunk_id", "source_key", "target_key", F.coalesce("alive", F.lit(False)).alias("alive")).withColumn("some", F.max("alive").over(Window.partitionBy("chunk_id")))
+    told = settled(met.where(F.col("alive") | ~F.col("some")).drop("alive"), "told")
     side = lambda column, name: cited(told.select("chunk_id", F.col(column).alias("key")), ["chunk_id"]).withColumnRenamed("citation", name)
-    quoted = told.groupBy("chunk_id", "some").agg(F.min("target_key").alias("target_key")).join(side("target_key", "what"), "chunk_id").join(side("source_key", "by"), "chunk_id")
-    said = F.when(F.col("some"), F.concat("what", F.lit(" (sửa bởi "), "by", F.lit(")"))).otherwise(F.concat("what", F.lit(" (từng được sửa bởi "), "by", F.lit(", hiện không áp dụng)")))
-    quoted = quoted.select("chunk_id", F.col("target_key").alias("q_target"), said.alias("q_said"))
+    quoted = told.groupBy("chunk_id", "some").agg(F.min("target_key").alias("target_key"))
     on, below = _on_or_above(known, live).withColumnRenamed("edge", "on"), _below(known, live).withColumnRenamed("edge", "below")
-    both = known.join(quoted, "chunk_id", "left").join(on, "key", "left").join(below, "key", "left")
     edge = F.coalesce("on", "below")
-    named = F.when(F.col("on").isNotNull(), citation(F.col("key"))).otherwise(citation(F.col("below.target_key")))
     gone = edge["op"] == REPEAL
+    found = F.col("q_target").isNotNull()
+    route = F.when(F.col("key").isNull(), None).when(found, "quoted").when(edge.isNull(), "intact").when(F.col("on").isNotNull() & gone, "repealed").otherwise("amended")
+    shown = ["chunk_id", "key", route.alias("route"), F.coalesce("q_target", edge["target_key"]).alias("target_key"), F.when(~found, edge["op"]).alias("op")]
+    by_key = lambda quoted: known.join(quoted, "chunk_id", "left").join(on, "key", "left").join(below, "key", "left")
+    if say != "all":
+        what = side("target_key", "citation") if say == "quoted" else None
+        quoted = quoted if what is None else quoted.join(what, "chunk_id")
+        return by_key(quoted.drop("some").withColumnRenamed("target_key", "q_target")).select(*shown, *(["citation"] if say == "quoted" else []))
+    quoted = quoted.join(side("target_key", "what"), "chunk_id").join(side("source_key", "by"), "chunk_id")
+    said = F.when(F.col("some"), F.concat("what", F.lit(" (sửa bởi "), "by", F.lit(")"))).otherwise(F.concat("what", F.lit(" (từng được sửa bởi "), "by", F.lit(", hiện không áp dụng)")))
+    quoted = quoted.select("chunk_id", F.col("target_key").alias("q_target"), said.alias("q_said"))
+    named = F.when(F.col("on").isNotNull(), citation(F.col("key"))).otherwise(citation(F.col("below.target_key")))
     change = F.concat(named, F.when(gone, " (đã bị bãi bỏ bởi ").otherwise(F.when(F.col("on").isNotNull(), " (đã sửa bởi ").otherwise(" (sửa bởi ")), citation(edge["source_key"]), F.lit(")"))
-    route = F.when(F.col("key").isNull(), None).when(F.col("q_said").isNotNull(), "quoted").when(edge.isNull(), "intact").when(F.col("on").isNotNull() & gone, "repealed").otherwise("amended")
-    return both.select("chunk_id", "key", route.alias("route"), F.coalesce("q_target", edge["target_key"]).alias("target_key"), F.when(F.col("q_said").isNull(), edge["op"]).alias("op"), F.when(F.col("key").isNotNull(), F.coalesce("q_said", F.when(edge.isNull(), citation(F.col("key"))).otherwise(change))).alias("citation"))
+    return by_key(quoted).select(*shown, F.when(F.col("key").isNotNull(), F.coalesce("q_said", F.when(edge.isNull(), citation(F.col("key"))).otherwise(change))).alias("citation"))
 
 
 def current_text(routes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -112,7 +128,7 @@ def with_origins(hits: DataFrame, routes: DataFrame, chunks: DataFrame, valid: C
     told = hits.join(routes.select("chunk_id", "route", "target_key"), "chunk_id")
     keep = F.coalesce(F.col("route") != "repealed", F.lit(True))
     some = F.max(keep.cast("int")).over(Window.partitionBy("query"))
-    kept = told.withColumn("some", some).where(keep | (F.col("some") == 0))
+    kept = settled(told.withColumn("some", some).where(keep | (F.col("some") == 0)).select("query", "chunk_id", "rank", "route", "target_key"), "kept")
     under = chunks.where(valid).select(F.col("chunk_id").alias("origin"), F.explode(ancestors(F.col("key"))).alias("target_key"))
     first = under.withColumn("n", F.row_number().over(Window.partitionBy("target_key").orderBy("origin"))).where(F.col("n") <= per)
     pulled = kept.where("route = 'quoted'").join(first, "target_key").groupBy("query", F.col("origin").alias("chunk_id")).agg(F.min("rank").alias("rank")).withColumn("route", F.lit("origin"))

@@ -86,8 +86,8 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ROUTES}, tq AS (SELECT chunk_id, target_key AS key FROM told), {_citations_sql('tq', 'chunk_id')} SELECT chunk_id, r.key, route, target_key, CASE WHEN route = 'quoted' THEN citation END AS quoted FROM r LEFT JOIN cit USING (chunk_id)")
 def route_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk as intact, amended, repealed, or quoted inside an amending act, with what decides it."""
-    out = O.routed(_chunks(spark, sf_dir), settled(_edges(spark, sf_dir), "edges"), AS_OF)
-    return out.select("chunk_id", "key", "route", "target_key", F.when(F.col("route") == "quoted", F.regexp_extract("citation", r"^(.*?) \((?:sửa|từng)", 1)).alias("quoted"))
+    out = O.routed(_chunks(spark, sf_dir), settled(_edges(spark, sf_dir), "edges"), AS_OF, "quoted")
+    return out.select("chunk_id", "key", "route", "target_key", F.when(F.col("route") == "quoted", F.col("citation")).alias("quoted"))
 
 
 @query(f"""WITH {_ROUTES}, x AS (SELECT DISTINCT target_key AS key FROM live), xa AS (SELECT key, unnest(list_transform(range(1, len(string_split(key, '#')) + 1), lambda i: array_to_string(string_split(key, '#')[1:i], '#'))) AS target_key FROM x),
@@ -107,7 +107,7 @@ SELECT query, chunk_id, rank, route FROM kept UNION ALL SELECT query, chunk_id,
 def annotate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits without repealed ones, and behind quotations the chunks of the units that they amend."""
     chunks = _chunks(spark, sf_dir)
-    routes = O.routed(chunks, settled(_edges(spark, sf_dir), "edges"), AS_OF)
+    routes = settled(O.routed(chunks, settled(_edges(spark, sf_dir), "edges"), AS_OF, "none").select("chunk_id", "key", "route", "target_key"), "routes")
     from pyspark.sql import Window
 
     hits = chunks.select(F.col("number").alias("query"), "chunk_id", F.row_number().over(Window.partitionBy("number").orderBy("chunk_id")).alias("rank"))

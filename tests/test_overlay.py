@@ -82,3 +82,14 @@ def test_grounding(spark):
     claims = spark.createDataFrame([(1, [0, 1], "uvw")], "id int, uids array<int>, quote string")
     assert tuple(X.grounded(claims, units).first()) == (1, 15, 18)
     assert tuple(X.grounded(claims.withColumn("uids", F.array(F.lit(0), F.lit(7))), units).first()) == (1, None, None)
+
+
+def test_routes_are_the_same_whatever_is_said_and_ties_have_one_answer(spark):
+    edges = spark.createDataFrame([
+        ("Q#than/dieu_1", "N#than/dieu_4", "sua_doi", "2024-01-01", 1, 100, 200, "x"), ("Q#than/dieu_1", "N#than/dieu_5", "sua_doi", "2024-01-01", 1, 100, 200, "x"),
+        ("T#than/dieu_1", "N#than/dieu_4", "bai_bo", "2024-01-01", 1, None, None, None), ("S#than/dieu_1", "N#than/dieu_4", "bai_bo", "2024-01-01", 1, None, None, None)], EDGE)
+    chunks = spark.createDataFrame([("N::Điều 4", "N", None, None), ("N::Điều 9", "N", None, None), ("Q::Điều 1", "Q", 150, 160), ("N::lạ", "N", None, None)], "chunk_id string, number string, span_start int, span_end int")
+    at = lambda say: {r["chunk_id"]: (r["key"], r["route"], r["target_key"], r["op"]) for r in O.routed(chunks, edges, "2025-01-01", say).collect()}
+    assert at("none") == at("quoted") == at("all")
+    assert {r["citation"] for r in O.routed(chunks, edges, "2025-01-01", "quoted").collect()} == {None, "N Điều 4 và N Điều 5"}
+    assert {r["source_key"] for r in O.impacts(edges.orderBy("source_key"), "2025-01-01").where("key = 'N#than/dieu_4'").collect()} == {"T#than/dieu_1"} == {r["source_key"] for r in O.impacts(edges.orderBy(F.desc("source_key")), "2025-01-01").where("key = 'N#than/dieu_4'").collect()}
